@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from encoscope.functions.vectors import argmax0, dot
 from encoscope.operators.stats import sufficient_stats
 
 # Iteration cap, ridge and tolerances of the two published variants.
@@ -153,10 +154,6 @@ def project_stats(n_rows, gram, weights, sums, total, components: int):
     return basis.T @ scatter @ basis, (sums - weights[:, None] * mean) @ basis
 
 
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
-    return [df.schema[k] for k in keys]
-
-
 def fit_stats(
     stats: DataFrame, keys: Sequence[str] = ("encoder",), variant: str = "fixed_point", components: int = 0
 ) -> DataFrame:
@@ -170,7 +167,7 @@ def fit_stats(
     solve = SOLVERS[variant]
     keys = list(keys)
     schema = T.StructType(
-        _key_schema(stats, keys)
+        [stats.schema[k] for k in keys]
         + [
             T.StructField("class", T.IntegerType()),
             T.StructField("alpha", T.DoubleType()),
@@ -265,8 +262,6 @@ def predict(
 
 def _predict_by_join(df, models, features, keys, regression):
     """Models too large to hold at once: one row per class meets each feature row by key."""
-    from encoscope.functions.vectors import argmax0, dot
-
     grouped = models.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("class", "m"))), lambda s: s["m"]).alias("_ms")
     )

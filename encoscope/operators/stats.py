@@ -21,12 +21,6 @@ ACCUMULATOR_BYTES = 256 << 20
 # Rows of one emitted batch hold at most this many bytes.
 BATCH_BYTES = 8 << 20
 
-STATS_FIELDS = "kind string, i long, n double, vec array<double>"
-
-
-def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
-    return [df.schema[k] for k in keys]
-
 
 def sufficient_stats(
     df: DataFrame,
@@ -48,7 +42,9 @@ def sufficient_stats(
     """
     keys = list(keys)
     response = targets if targets is not None else label
-    wanted = [F.col(k) for k in keys] + [F.col(features).cast("array<float>" if _is_float(df, features) else "array<double>").alias("_f")]
+    single = df.schema[features].dataType.simpleString() == "array<float>"
+    wanted = [F.col(k) for k in keys]
+    wanted.append(F.col(features).cast("array<float>" if single else "array<double>").alias("_f"))
     if targets is not None:
         wanted.append(F.col(targets).cast("array<double>").alias("_y"))
     elif response is not None:
@@ -57,9 +53,8 @@ def sufficient_stats(
     cores = df.sparkSession.sparkContext.defaultParallelism
     slim = slim.coalesce(max_partials or 8 * cores)
 
-    key_fields = _key_fields(df, keys)
     out_schema = T.StructType(
-        key_fields
+        [df.schema[k] for k in keys]
         + [
             T.StructField("kind", T.StringType()),
             T.StructField("i", T.LongType()),
@@ -105,15 +100,12 @@ def sufficient_stats(
     )
 
 
-def _is_float(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.simpleString() == "array<float>"
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column whose rows share one length, as a 2-D array."""
     flat = column.flatten()
     rows = len(column)
-    if flat.null_count or len(flat) % rows or len(set(np.diff(column.offsets.to_numpy()))) > 1:
+    lengths = np.diff(column.offsets.to_numpy())
+    if flat.null_count or (lengths != lengths[0]).any():
         raise ValueError("feature vectors must have one length and no nulls")
     return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
 
