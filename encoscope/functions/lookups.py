@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOOKUP_ROWS = 100_000
+LOOKUP_BYTES = 64 << 20
 SALTS = 32
 
 
-def bounded_rows(small: DataFrame, max_rows: int) -> DataFrame | None:
-    """``small`` as an in-memory frame if it has at most ``max_rows`` rows, else None.
+def bounded_rows(small: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> DataFrame | None:
+    """``small`` as an in-memory frame if its rows and bytes are within the bounds, else None.
 
     At most ``max_rows + 1`` rows are fetched; the plan below ``small`` runs once.
     """
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = small.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
         return None
     return small.sparkSession.createDataFrame(rows, small.schema)
 
@@ -48,8 +49,8 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``big`` with a lookup table on ``on`` (``inner``, ``left``, ``left_semi``, ``left_anti``).
 
-    The lookup table is broadcast when its measured size is within ``max_rows``; beyond that the
-    join shuffles with salted keys, so a key that holds a third of ``big`` is still spread.
+    The lookup table is broadcast when its measured size is within the bounds. Beyond them the join
+    shuffles with salted keys, so a key that holds a third of ``big`` is still spread.
     """
     on = [on] if isinstance(on, str) else list(on)
     local = bounded_rows(small, max_rows)

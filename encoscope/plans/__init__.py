@@ -34,7 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> dict[str, Registered]:
     from encoscope.plans import (  # noqa: F401
         data,
+        embedding,
         evaluation,
+        studies,
         transfer,
     )
 

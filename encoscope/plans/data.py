@@ -97,7 +97,12 @@ def token_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "label_level",
-    """SELECT 'conversations' AS dataset, 'token' AS level UNION ALL SELECT 'labels', 'sequence'""",
+    f"""WITH {SQL_TAGS},
+lines AS (
+  SELECT 'conversations' AS dataset, string_agg(gold, ' ' ORDER BY pos) AS label FROM tags GROUP BY conv_id, turn
+  UNION ALL SELECT 'labels', quality::VARCHAR FROM labels
+)
+SELECT dataset, CASE WHEN bool_or(contains(label, ' ')) THEN 'token' ELSE 'sequence' END AS level FROM lines GROUP BY 1""",
 )
 def label_level(spark, sf_dir):
     """Level found in a token dataset and in a sequence dataset."""

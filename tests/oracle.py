@@ -13,6 +13,7 @@ import duckdb
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+TIMES: dict[str, float] = {}
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 
 
@@ -43,7 +44,9 @@ def bag(rows, names):
 def difference(spark, name, item, con, sf_dir: str = SF_DIR):
     """None when equal, else a short report."""
     df = item.run(spark, sf_dir)
+    start = time.time()
     ours = df.collect()
+    TIMES[name] = time.time() - start
     got = con.execute(item.sql)
     theirs_names = [c[0] for c in got.description]
     theirs = got.fetchall()
@@ -82,7 +85,7 @@ def main(names):
         except Exception as err:  # noqa: BLE001
             report = f"{name}: {type(err).__name__} {str(err)[:1500]}"
         bad += report is not None
-        print(f"{'BAD' if report else 'ok '} {name} {time.time() - start:.2f}s {'' if item.sql else '(rows only)'} {report or ''}", flush=True)
+        print(f"{'BAD' if report else 'ok '} {name} {time.time() - start:.2f}s (collect {TIMES.get(name, 0):.2f}s) {'' if item.sql else '(rows only)'} {report or ''}", flush=True)
     print("bad:", bad)
     spark.stop()
 
