@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ CONTINUATION_MARK = "##"
 WORD_START_MARK = "Ġ"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` refers to it inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_spaces(text: Column) -> Column:
     """Split on single spaces, keeping empty tokens."""
     return F.split(text, " ", -1)

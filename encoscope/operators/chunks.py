@@ -128,9 +128,8 @@ def chunk_scores_by_type(marks: DataFrame, keys: Sequence[str] = ()) -> DataFram
             name, lambda t: F.struct(t.alias("type"), ones[0].alias("g"), ones[1].alias("p"), ones[2].alias("c"))
         )
 
-    rows = marks.select(
-        *keys, F.inline(F.concat(side("gold_chunks", 0), side("pred_chunks", 1), side("correct_chunks", 2)))
-    )
+    sides = F.concat(side("gold_chunks", 0), side("pred_chunks", 1), side("correct_chunks", 2))
+    rows = marks.select(*keys, F.inline_outer(sides)).where("type IS NOT NULL")
     sums = rows.groupBy(*keys, "type").agg(
         F.sum("g").alias("found"), F.sum("p").alias("predicted"), F.sum("c").alias("correct")
     )

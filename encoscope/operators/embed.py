@@ -20,7 +20,7 @@ CLS_POSITION = -1
 
 
 def token_rows(df: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    return df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    return df.select(*keys, F.posexplode_outer(tokens).alias("pos", "token")).where("pos IS NOT NULL")
 
 
 def static_vectors(tokens: DataFrame, vocabulary: DataFrame, unknown: str = UNKNOWN_WORD) -> DataFrame:

@@ -28,8 +28,8 @@ def label_pairs(df: DataFrame, gold: str, pred: str, keys: Sequence[str] = ()) -
     """Token pairs of two label arrays; arrays of unequal length are an error."""
     same = F.size(gold) == F.size(pred)
     checked = df.where(F.when(same, True).otherwise(F.raise_error(F.lit("gold and predicted labels differ in length")).cast("boolean")))
-    pair = F.explode(F.arrays_zip(F.col(gold).alias("gold"), F.col(pred).alias("pred"))).alias("_p")
-    return checked.select(*keys, pair).select(*keys, "_p.gold", "_p.pred")
+    pair = F.explode_outer(F.arrays_zip(F.col(gold).alias("gold"), F.col(pred).alias("pred"))).alias("_p")
+    return checked.select(*keys, pair).where("_p IS NOT NULL").select(*keys, "_p.gold", "_p.pred")
 
 
 def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred", keys: Sequence[str] = ()) -> DataFrame:

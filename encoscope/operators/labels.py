@@ -50,9 +50,10 @@ def with_label_level(df: DataFrame, label: str = "label", out: str = "labels") -
 
 def flatten_labels(df: DataFrame, keys: Sequence[str], tokens: str, labels: str) -> DataFrame:
     """One row per token: ``(keys, pos, token, label)``."""
-    return df.select(*keys, F.posexplode(F.arrays_zip(F.col(tokens).alias("token"), F.col(labels).alias("label"))).alias("pos", "_p")).select(
-        *keys, F.col("pos").cast("long").alias("pos"), F.col("_p.token").alias("token"), F.col("_p.label").alias("label")
-    )
+    pairs = F.arrays_zip(F.col(tokens).alias("token"), F.col(labels).alias("label"))
+    # the outer form keeps the optimizer from computing the arrays once more to drop empty rows early
+    rows = df.select(*keys, F.posexplode_outer(pairs).alias("pos", "_p")).where("pos IS NOT NULL")
+    return rows.select(*keys, F.col("pos").cast("long").alias("pos"), "_p.token", "_p.label")
 
 
 def label_types(df: DataFrame, label: str = "label") -> DataFrame:

@@ -38,6 +38,7 @@ def load_all() -> dict[str, Registered]:
         evaluation,
         studies,
         transfer,
+        treebanks,
     )
 
     return REGISTRY

@@ -244,7 +244,8 @@ def concat_splits(spark, sf_dir):
 
 
 def _words(spark, sf_dir, name):
-    return table(spark, sf_dir, name).select(F.explode(whitespace_tokens(F.col("text"))).alias("label"))
+    words = F.explode_outer(whitespace_tokens(F.col("text"))).alias("label")
+    return table(spark, sf_dir, name).select(words).where("label IS NOT NULL")
 
 
 SQL_WORDS = f"""

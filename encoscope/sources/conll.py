@@ -41,19 +41,24 @@ def number_records(records: DataFrame, out: str = "idx") -> DataFrame:
     """
     blocks = records.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
     in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    files = blocks.groupBy("file").agg(F.sum("_n").alias("_size"))
-    in_corpus = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.withColumn("_file_start", F.coalesce(F.sum("_size").over(in_corpus), F.lit(0))).drop("_size")
-    starts = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(in_file), F.lit(0))).join(files, "file")
+    starts = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
+    starts = starts.join(file_starts(blocks.groupBy("file").agg(F.sum("_n").alias("size"))), "file")
     at = F.col("at") - F.col("_first") + F.col("_start")
+    kept = [c for c in records.columns if c not in ("file", "block", "at")]
     return (
         lookup_join(records, starts.drop("_n"), ["file", "block"], "inner", spread_by=["at"])
         .withColumn("sent", at.cast("long"))
-        .withColumn(out, (at + F.col("_file_start")).cast("long"))
-        .select("file", "sent", out, "record")
+        .withColumn(out, (at + F.col("file_start")).cast("long"))
+        .select("file", "sent", out, *kept)
     )
 
 
+def file_starts(sizes: DataFrame) -> DataFrame:
+    """Corpus position at which each file begins, from ``(file, size)``; one row per file."""
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("file_start"))
+
+
 def parse_bio(record: Column) -> Column:
     """``token<TAB>tag`` lines to ``array<struct<token, tag>>``."""
     lines = F.filter(F.split(record, r"\r?\n", -1), lambda x: F.trim(x) != "")
