@@ -1,17 +1,20 @@
 """Chunk-level precision, recall and F1 of tagged sentences.
 
-A sentence is one row with two tag arrays, so boundaries are found by comparing an array with
-itself shifted by one place, inside the row: no shuffle, sort or window is needed.
+A sentence is one row with two tag arrays. Each task turns its Arrow batches into a few counts per
+chunk type, so neither tokens nor sentences are shuffled; only the counts are summed. Boundaries of
+all sentences of a batch are found together with array operations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from encoscope.functions.text import tag_prefix, tag_type
+from pyspark.sql import types as T
 
 # Prefix pairs (previous, current) at which a chunk ends or starts.
 END_PAIRS = ("BB", "BO", "IB", "IO", "EE", "EI", "EO")
@@ -19,80 +22,147 @@ START_PAIRS = ("BB", "IB", "OB", "OI", "EE", "EI", "OE")
 SINGLE_TOKEN_TAGS = ("[", "]")
 OUTSIDE_TAGS = ("O", ".")
 
-
-def _parsed(tags: Column, raw: bool, outside: str) -> Column:
-    def one(tag: Column) -> Column:
-        if raw:
-            tag = F.when(tag == outside, F.lit("O")).otherwise(F.concat(F.lit("B-"), tag))
-        return F.struct(tag_prefix(tag).alias("prefix"), tag_type(tag).alias("kind"))
-
-    return F.transform(tags, one)
-
-
-def _outside() -> Column:
-    return F.array(F.struct(F.lit("O").alias("prefix"), F.lit("").alias("kind")))
-
-
-def _ends(prev: Column, cur: Column) -> Column:
-    pair = F.concat(prev["prefix"], F.lit("|"), cur["prefix"]).isin(*[f"{p[0]}|{p[1]}" for p in END_PAIRS])
-    changed = ~prev["prefix"].isin(*OUTSIDE_TAGS) & (prev["kind"] != cur["kind"])
-    return pair | changed | prev["prefix"].isin(*SINGLE_TOKEN_TAGS)
-
-
-def _starts(prev: Column, cur: Column) -> Column:
-    pair = F.concat(prev["prefix"], F.lit("|"), cur["prefix"]).isin(*[f"{p[0]}|{p[1]}" for p in START_PAIRS])
-    changed = ~cur["prefix"].isin(*OUTSIDE_TAGS) & (prev["kind"] != cur["kind"])
-    return pair | changed | cur["prefix"].isin(*SINGLE_TOKEN_TAGS)
+COUNTS = ("found", "predicted", "correct", "tokens", "tags_ok")
+
+
+class _TagTable:
+    """Numbers for prefixes and types seen in a task, and what they imply at a boundary."""
+
+    def __init__(self, raw: bool, outside: str):
+        self.raw, self.outside = raw, outside
+        self.prefixes: dict[str, int] = {"O": 0}
+        self.types: dict[str, int] = {"": 0}
+
+    def _split(self, tag: str) -> tuple[str, str]:
+        if self.raw:
+            tag = "O" if tag == self.outside else f"B-{tag}"
+        prefix, hyphen, kind = tag.partition("-")
+        return prefix, "" if not hyphen or kind == "0" else kind
+
+    def encode(self, tags: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix and type numbers of each tag; only distinct tags are looked at one by one."""
+        coded = pc.dictionary_encode(tags)
+        if coded.null_count:
+            raise ValueError("a tag is missing")
+        parts = [self._split(tag) for tag in coded.dictionary.to_pylist()]
+        prefix = np.array([self.prefixes.setdefault(p, len(self.prefixes)) for p, _ in parts], dtype=np.int64)
+        kind = np.array([self.types.setdefault(k, len(self.types)) for _, k in parts], dtype=np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        if not len(parts):
+            return codes.astype(np.int64), codes.astype(np.int64)
+        return prefix[codes], kind[codes]
+
+    def member(self, names: Sequence[str]) -> np.ndarray:
+        return np.array([p in names for p in self.prefixes])
+
+    def pairs(self, listed: Sequence[str]) -> np.ndarray:
+        known = list(self.prefixes)
+        return np.array([[f"{a}|{b}" in {f"{x[0]}|{x[1]}" for x in listed} for b in known] for a in known])
+
+
+def _edges(prefix: np.ndarray, kind: np.ndarray, tags: _TagTable):
+    """Previous type, and whether a chunk starts or ends, at every place."""
+    before, was = np.concatenate([[0], prefix[:-1]]), np.concatenate([[0], kind[:-1]])
+    changed = was != kind
+    single, outside = tags.member(SINGLE_TOKEN_TAGS), tags.member(OUTSIDE_TAGS)
+    starts = tags.pairs(START_PAIRS)[before, prefix] | (~outside[prefix] & changed) | single[prefix]
+    ends = tags.pairs(END_PAIRS)[before, prefix] | (~outside[before] & changed) | single[before]
+    return was, starts, ends
+
+
+def _count_batch(gold: pa.Array, pred: pa.Array, group: np.ndarray, groups: int, tags: _TagTable):
+    """Counts per group and type of one batch, as ``{name: array[groups, types]}``."""
+    offsets = gold.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    if not np.array_equal(lengths, np.diff(pred.offsets.to_numpy())):
+        raise ValueError("gold and predicted tags differ in length")
+    sentence = np.repeat(np.arange(len(lengths)), lengths)
+    # one outside place after each sentence keeps chunks from running on
+    place = np.arange(len(sentence)) + sentence
+    total = len(sentence) + len(lengths)
+    sides = []
+    for column in (gold, pred):
+        prefix, kind = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
+        prefix[place], kind[place] = tags.encode(column.flatten())
+        sides.append((prefix, kind))
+    (gp, gk), (pp, pk) = sides
+    gold_was, gold_start, gold_end = _edges(gp, gk, tags)
+    pred_was, pred_start, pred_end = _edges(pp, pk, tags)
+
+    done = gold_end & pred_end & (gold_was == pred_was)
+    opened = gold_start & pred_start & (gk == pk)
+    event = opened | done | (gold_end != pred_end) | (gk != pk)
+    # the newest event before each place, inside the same sentence
+    at = np.arange(total)
+    newest = np.maximum.accumulate(np.where(event, at, -1))
+    newest = np.concatenate([[-1], newest[:-1]])
+    first = np.repeat(offsets[:-1] - offsets[0] + np.arange(len(lengths)), lengths + 1)
+    correct = done & (newest >= first) & opened[newest]
+
+    owner = np.repeat(group, lengths + 1)
+    types = len(tags.types)
+
+    def by_type(mask: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return np.bincount(owner[mask] * types + kind[mask], minlength=groups * types).reshape(groups, types)
+
+    same = (gp[place] == pp[place]) & (gk[place] == pk[place])
+    per_token = np.repeat(group, lengths)
+    return (
+        by_type(gold_start, gk),
+        by_type(pred_start, pk),
+        by_type(correct, gold_was),
+        np.bincount(per_token, minlength=groups),
+        np.bincount(per_token[same], minlength=groups),
+    )
 
 
-def chunk_marks(
-    df: DataFrame, gold: str = "gold", pred: str = "pred", raw: bool = False, outside: str = "O"
+def chunk_counts(
+    df: DataFrame,
+    gold: str = "gold",
+    pred: str = "pred",
+    keys: Sequence[str] = (),
+    raw: bool = False,
+    outside: str = "O",
 ) -> DataFrame:
-    """Per sentence: ``n_tokens``, ``n_tags_ok`` and the types of gold, predicted and correct chunks."""
-    same = F.size(gold) == F.size(pred)
-    checked = df.where(F.when(same, True).otherwise(F.raise_error(F.lit("gold and predicted tags differ in length")).cast("boolean")))
-    parsed = checked.withColumn("_g", _parsed(F.col(gold), raw, outside)).withColumn("_p", _parsed(F.col(pred), raw, outside))
-    # every place between two tokens, with the outside before the first and after the last one
-    places = F.arrays_zip(
-        F.concat(_outside(), F.col("_g")).alias("pg"),
-        F.concat(F.col("_g"), _outside()).alias("cg"),
-        F.concat(_outside(), F.col("_p")).alias("pp"),
-        F.concat(F.col("_p"), _outside()).alias("cp"),
+    """Counts per ``keys`` and chunk type; token counts stand in the row without a type.
+
+    ``raw`` reads every tag but ``outside`` as a one-token chunk of that type.
+    """
+    keys = list(keys)
+    schema = T.StructType(
+        [df.schema[k] for k in keys]
+        + [T.StructField("type", T.StringType())]
+        + [T.StructField(c, T.LongType()) for c in COUNTS]
     )
 
-    def mark(z: Column) -> Column:
-        return F.struct(
-            _starts(z["pg"], z["cg"]).alias("start_g"),
-            _starts(z["pp"], z["cp"]).alias("start_p"),
-            _ends(z["pg"], z["cg"]).alias("end_g"),
-            _ends(z["pp"], z["cp"]).alias("end_p"),
-            z["pg"]["kind"].alias("was_g"),
-            z["pp"]["kind"].alias("was_p"),
-            z["cg"]["kind"].alias("kind_g"),
-            z["cp"]["kind"].alias("kind_p"),
-        )
-
-    def event(m: Column) -> Column:
-        done = m["end_g"] & m["end_p"] & (m["was_g"] == m["was_p"])
-        opened = m["start_g"] & m["start_p"] & (m["kind_g"] == m["kind_p"])
-        broken = done | (m["end_g"] != m["end_p"]) | (m["kind_g"] != m["kind_p"])
-        state = F.when(opened, 1).when(broken, 0)
-        return F.struct(state.alias("state"), done.alias("done"), m["was_g"].alias("kind"))
-
-    events = F.filter(F.transform("_marks", event), lambda e: e["state"].isNotNull())
-    lagged = F.concat(F.array(F.lit(0)), F.transform("_events", lambda e: e["state"]))
-    correct = F.zip_with("_events", lagged, lambda e, before: F.when(e["done"] & (before == 1), e["kind"]))
-    matches = F.filter(F.arrays_zip(F.col("_g").alias("g"), F.col("_p").alias("p")), lambda z: z["g"] == z["p"])
-    return (
-        parsed.withColumn("_marks", F.transform(places, mark))
-        .withColumn("_events", events)
-        .withColumn("n_tokens", F.size("_g").cast("long"))
-        .withColumn("n_tags_ok", F.size(matches).cast("long"))
-        .withColumn("gold_chunks", F.transform(F.filter("_marks", lambda m: m["start_g"]), lambda m: m["kind_g"]))
-        .withColumn("pred_chunks", F.transform(F.filter("_marks", lambda m: m["start_p"]), lambda m: m["kind_p"]))
-        .withColumn("correct_chunks", F.filter(correct, lambda k: k.isNotNull()))
-        .drop("_g", "_p", "_marks", "_events")
-    )
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tags = _TagTable(raw, outside)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if keys:
+                frame = batch.select(range(len(keys))).to_pandas()
+                group = frame.groupby(list(frame.columns), sort=False, dropna=False).ngroup().to_numpy()
+                firsts = np.unique(group, return_index=True)[1]
+            else:
+                group, firsts = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(1, dtype=np.int64)
+            found, predicted, correct, tokens, ok = _count_batch(
+                batch.column(len(keys)), batch.column(len(keys) + 1), group, len(firsts), tags
+            )
+            names = list(tags.types)
+            g, t = np.nonzero(found + predicted + correct)
+            own = np.arange(len(firsts))
+            zeros = np.zeros(len(own), dtype=np.int64)
+            rows = firsts[np.concatenate([own, g])]
+            columns = [batch.column(k).take(pa.array(rows)) for k in range(len(keys))]
+            columns.append(pa.array([None] * len(own) + [names[k] for k in t], pa.string()))
+            for totals, per_type in ((zeros, found), (zeros, predicted), (zeros, correct), (tokens, None), (ok, None)):
+                tail = per_type[g, t] if per_type is not None else np.zeros(len(g), dtype=np.int64)
+                columns.append(pa.array(np.concatenate([totals, tail]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+
+    partial = df.select(*keys, F.col(gold), F.col(pred)).mapInArrow(count, schema)
+    return partial.groupBy(*keys, "type").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def _rates(df: DataFrame) -> DataFrame:
@@ -106,49 +176,26 @@ def _rates(df: DataFrame) -> DataFrame:
     )
 
 
-def chunk_scores(marks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def chunk_scores(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Overall counts, tag accuracy, precision, recall and F1 in percent."""
-    sums = marks.groupBy(*keys).agg(
-        F.sum("n_tokens").alias("tokens"),
-        F.sum("n_tags_ok").alias("tags_ok"),
-        F.sum(F.size("gold_chunks")).alias("found"),
-        F.sum(F.size("pred_chunks")).alias("predicted"),
-        F.sum(F.size("correct_chunks")).alias("correct"),
-    )
+    sums = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
     accuracy = F.when(F.col("tokens") > 0, 100 * F.col("tags_ok") / F.col("tokens")).otherwise(0.0)
     return _rates(sums.withColumn("accuracy", accuracy).drop("tags_ok"))
 
 
-def chunk_scores_by_type(marks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def chunk_scores_by_type(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The same counts and rates per chunk type, for every type that is found or predicted."""
+    return _rates(counts.where("type IS NOT NULL").select(*keys, "type", "found", "predicted", "correct"))
 
-    def side(name: str, place: int) -> Column:
-        ones = [F.lit(1 if k == place else 0) for k in range(3)]
-        return F.transform(
-            name, lambda t: F.struct(t.alias("type"), ones[0].alias("g"), ones[1].alias("p"), ones[2].alias("c"))
-        )
 
-    sides = F.concat(side("gold_chunks", 0), side("pred_chunks", 1), side("correct_chunks", 2))
-    rows = marks.select(*keys, F.inline_outer(sides)).where("type IS NOT NULL")
-    sums = rows.groupBy(*keys, "type").agg(
-        F.sum("g").alias("found"), F.sum("p").alias("predicted"), F.sum("c").alias("correct")
-    )
-    return _rates(sums)
-
-
-def span_report(marks: DataFrame) -> DataFrame:
+def span_report(counts: DataFrame) -> DataFrame:
     """The four overall numbers at two decimals, under the names the scorer prints."""
-    scores = chunk_scores(marks)
-    return scores.select(
-        F.round("accuracy", 2).alias("accuracy:"),
-        F.round("precision", 2).alias("precision:"),
-        F.round("recall", 2).alias("recall:"),
-        F.round("f1", 2).alias("FB1:"),
-    )
+    printed = {"accuracy": "accuracy:", "precision": "precision:", "recall": "recall:", "f1": "FB1:"}
+    return chunk_scores(counts).select(*[F.round(c, 2).alias(name) for c, name in printed.items()])
 
 
 def sentences(tokens: DataFrame, keys: Sequence[str], pos: str = "pos", **columns: str) -> DataFrame:
     """Token rows to one row per sentence, each named column collected in token order."""
-    ordered = F.array_sort(F.collect_list(F.struct(pos, *[F.col(c) for c in columns.values()])))
+    ordered: Column = F.array_sort(F.collect_list(F.struct(pos, *[F.col(c) for c in columns.values()])))
     rows = tokens.groupBy(*keys).agg(ordered.alias("_rows"))
     return rows.select(*keys, *[F.col("_rows")[c].alias(name) for name, c in columns.items()])

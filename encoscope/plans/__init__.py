@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from encoscope.functions.partitions import spread
+
 
 @dataclass(frozen=True)
 class Registered:
@@ -31,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores before per-row text work."""
+    return spread(table(spark, sf_dir, name))
+
+
 def load_all() -> dict[str, Registered]:
     from encoscope.plans import (  # noqa: F401
         data,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from encoscope.functions.text import split_spaces, whitespace_tokens
 from encoscope.operators import labels, splits
-from encoscope.plans import query, table
+from encoscope.plans import query, table, texts
 from encoscope.sources.conll import parse_bio, render_bio
 
 # The white space class of ``functions.text`` in SQL spelling.
@@ -37,7 +37,7 @@ def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``pred`` is ``gold`` with about one tag in seven changed.
     """
-    rows = table(spark, sf_dir, "conversations").select(
+    rows = texts(spark, sf_dir, "conversations").select(
         "conv_id", "turn", whitespace_tokens(F.col("text")).alias("tokens")
     )
     kind = lambda t: F.when(~t.rlike("^[A-Z]"), "").when(F.length(t) >= 6, "LONG").otherwise("SHORT")
@@ -127,7 +127,7 @@ def flatten_labels(spark, sf_dir):
        md5(array_to_string(t, ' ')) AS joined FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents) AS d""",
 )
 def whitespace_tokens_query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", whitespace_tokens(F.col("text")).alias("t"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", whitespace_tokens(F.col("text")).alias("t"))
     return docs.select(
         "doc_id",
         F.size("t").cast("long").alias("n_tokens"),
@@ -142,7 +142,7 @@ def whitespace_tokens_query(spark, sf_dir):
        len(list_filter(string_split(text, ' '), lambda x: x = ''))::BIGINT AS n_empty FROM documents""",
 )
 def split_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", split_spaces(F.col("text")).alias("t"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", split_spaces(F.col("text")).alias("t"))
     return docs.select(
         "doc_id",
         F.size("t").cast("long").alias("n_tokens"),
@@ -202,7 +202,7 @@ FROM (SELECT conv_id, turn, string_split(text, ' ') AS a, {sql_tokens('text')} A
 )
 def length_check(spark, sf_dir):
     """Turns whose single-space split disagrees with their white space tokens."""
-    rows = table(spark, sf_dir, "conversations").select(
+    rows = texts(spark, sf_dir, "conversations").select(
         "conv_id", "turn", split_spaces(F.col("text")).alias("a"), whitespace_tokens(F.col("text")).alias("b")
     )
     return labels.length_mismatches(rows, "a", "b").select(
@@ -245,7 +245,7 @@ def concat_splits(spark, sf_dir):
 
 def _words(spark, sf_dir, name):
     words = F.explode_outer(whitespace_tokens(F.col("text"))).alias("label")
-    return table(spark, sf_dir, name).select(words).where("label IS NOT NULL")
+    return texts(spark, sf_dir, name).select(words).where("label IS NOT NULL")
 
 
 SQL_WORDS = f"""
@@ -276,7 +276,7 @@ def label_union(spark, sf_dir):
 )
 def pair_concat(spark, sf_dir):
     """Consecutive turns as sentence pairs, for each encoder with its family's separator."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = texts(spark, sf_dir, "conversations")
     nexts = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text2"))
     pairs = turns.select("conv_id", "turn", F.col("text").alias("text1")).join(nexts, ["conv_id", "turn"])
     listed = F.array(*[F.lit(e) for e in ENCODERS])

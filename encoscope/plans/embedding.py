@@ -12,7 +12,7 @@ from encoscope.functions.lookups import lookup_join
 from encoscope.functions.text import recombine_pieces, whitespace_tokens
 from encoscope.functions.vectors import array_sum
 from encoscope.operators import embed, leep
-from encoscope.plans import query, table
+from encoscope.plans import query, table, texts
 from encoscope.plans.data import SQL_TOKENS, sql_tokens
 
 PIECE = 3
@@ -53,7 +53,7 @@ vectors AS (
 
 
 def conversation_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", whitespace_tokens(F.col("text")).alias("tokens"))
+    return texts(spark, sf_dir, "conversations").select("conv_id", "turn", whitespace_tokens(F.col("text")).alias("tokens"))
 
 
 @query(
@@ -226,7 +226,7 @@ SELECT d.doc_id, r.bucket::INT AS bucket, coalesce(n, 0)::DOUBLE AS value
 FROM documents d CROSS JOIN unnest(range(0, {BUCKETS})) AS r(bucket) LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.bucket = r.bucket""",
 )
 def embed_callable(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", whitespace_tokens(F.col("text")).alias("tokens"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", whitespace_tokens(F.col("text")).alias("tokens"))
     vectors = embed.embed_texts(docs, hashing_encoder, "tokens")
     return vectors.select("doc_id", F.posexplode("features").alias("bucket", "value"))
 

@@ -142,8 +142,8 @@ sums AS (SELECT sum(n)::BIGINT AS tokens, sum(n * (cg = cp AND tg = tp)::INT) AS
 {SQL_RATES.format(keys='tokens,', accuracy='round(100.0::DOUBLE * ok / tokens, 6) AS accuracy,')}""",
 )
 def chunk_scores(spark, sf_dir):
-    marks = chunks.chunk_marks(tagged_sentences(spark, sf_dir))
-    return _rounded(chunks.chunk_scores(marks), "accuracy", "precision", "recall", "f1")
+    counts = chunks.chunk_counts(tagged_sentences(spark, sf_dir))
+    return _rounded(chunks.chunk_scores(counts), "accuracy", "precision", "recall", "f1")
 
 
 @query(
@@ -158,8 +158,8 @@ sums AS (SELECT type, sum(g)::BIGINT AS found, sum(p)::BIGINT AS predicted, sum(
 {SQL_RATES.format(keys='type,', accuracy='')}""",
 )
 def chunk_scores_by_type(spark, sf_dir):
-    marks = chunks.chunk_marks(tagged_sentences(spark, sf_dir))
-    return _rounded(chunks.chunk_scores_by_type(marks), "precision", "recall", "f1")
+    counts = chunks.chunk_counts(tagged_sentences(spark, sf_dir))
+    return _rounded(chunks.chunk_scores_by_type(counts), "precision", "recall", "f1")
 
 
 @query(

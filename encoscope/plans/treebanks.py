@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from encoscope.functions.text import whitespace_tokens
 from encoscope.operators import labels, treebank
-from encoscope.plans import query, table
+from encoscope.plans import query, table, texts
 from encoscope.plans.data import SQL_TOKENS
 from encoscope.sources import conllu
 
@@ -23,7 +23,7 @@ ROLE_FILES = {"assistant": "en_assistant-ud-test.conllu", "system": "en_system-u
 def conllu_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CoNLL-U record per turn. A long first token is a range of two words; some turns end in an
     empty node; long tokens carry features, tokens with a final stop have no blank after them."""
-    rows = table(spark, sf_dir, "conversations").select(
+    rows = texts(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", whitespace_tokens(F.col("text")).alias("tokens")
     ).where(F.size("tokens") > 0)
     files = F.create_map(*[F.lit(x) for pair in ROLE_FILES.items() for x in pair])

@@ -15,11 +15,13 @@ from encoscope.sources.conll import number_records, read_records
 # The ten fields of a word line, in file order.
 FIELDS = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
 
-# Shapes of a word id (plain, range, empty node) and of a comment with metadata.
-ID_WORD, ID_RANGE, ID_EMPTY = r"^\d+$", r"^\d+-\d+$", r"^\d+\.\d+$"
+# Shapes of a comment with metadata.
 META_EQUALS = r"(?dU)^# ?(.+?) ?= ?(.+)"
 META_BLANK = r"(?dU)^# ?([^\s]+?)\s([^\s]+)$"
 
+# A dictionary text in which some key comes twice.
+REPEATED_KEY = r"(?:^|\|)([^=|]*)(?:=[^|]*)?(?:\|.*)?\|\1(?:=|\||$)"
+
 # Fixed value: start of the key-value block of a treebank README.
 README_BLOCK = r"(?s)[-=]+ Machine[-\s]readable metadata(.+)"
 
@@ -42,22 +44,24 @@ def _last_wins(entries: Column) -> Column:
 
 
 def parse_pairs(text: Column) -> Column:
-    """``a=1|b=2`` to a map; items without ``=`` are left out, values may hold ``=``."""
-    items = F.filter(F.split(F.coalesce(text, F.lit("")), r"\|", -1), lambda s: F.instr(s, "=") > 1)
-    return _last_wins(
-        F.transform(
-            items,
-            lambda s: F.struct(
-                F.substring_index(s, "=", 1).alias("key"), F.substr(s, F.instr(s, "=") + 1).alias("value")
-            ),
-        )
+    """``a=1|b=2`` to a map; items without ``=`` are left out, values may hold ``=``.
+
+    The built-in parser refuses repeated keys, so only texts that have some go the longer way.
+    """
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    usual = F.map_filter(F.str_to_map(text, F.lit(r"\|"), F.lit("=")), lambda k, v: v.isNotNull())
+    items = F.filter(F.split(text, r"\|", -1), lambda s: F.instr(s, "=") > 0)
+    pairs = F.transform(
+        items,
+        lambda s: F.struct(F.substring_index(s, "=", 1).alias("key"), F.substr(s, F.instr(s, "=") + 1).alias("value")),
     )
+    return F.when(text.isNull(), nothing).when(text.rlike(REPEATED_KEY), _last_wins(pairs)).otherwise(usual)
 
 
 def _word(f: Column) -> Column:
     raw = {name: F.get(f, F.lit(k)) for k, name in enumerate(FIELDS)}
     value = {name: F.nullif(raw[name], F.lit("_")) for name in FIELDS}
-    kind = F.when(raw["id"].rlike(ID_RANGE), "range").when(raw["id"].rlike(ID_EMPTY), "empty").otherwise("word")
+    kind = F.when(F.instr(raw["id"], "-") > 0, "range").when(F.instr(raw["id"], ".") > 0, "empty").otherwise("word")
     return F.struct(
         raw["id"].alias("id"),
         kind.alias("kind"),
@@ -75,10 +79,8 @@ def _word(f: Column) -> Column:
     )
 
 
-def _good(f: Column) -> Column:
-    word_id, head = F.get(f, F.lit(0)), F.get(f, F.lit(6))
-    shaped = word_id.rlike(ID_WORD) | word_id.rlike(ID_RANGE) | word_id.rlike(ID_EMPTY)
-    return (F.size(f) == len(FIELDS)) & shaped & ((head == "_") | head.rlike(r"^[+-]?\d+$"))
+# A word line that parses: ten fields, an id of a known shape, a number or nothing as head.
+WORD_LINE = r"^(?:\d+|\d+-\d+|\d+\.\d+)\t(?:[^\t]*\t){5}(?:_|[+-]?\d+)(?:\t[^\t]*){3}$"
 
 
 def parse_sentences(records: DataFrame, record: str = "record") -> DataFrame:
@@ -91,11 +93,11 @@ def parse_sentences(records: DataFrame, record: str = "record") -> DataFrame:
     lines = F.filter(F.transform(F.split(record, r"\r?\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     out = records.withColumn("_lines", lines)
     out = out.withColumn("comments", F.filter("_lines", lambda x: F.startswith(x, F.lit("#"))))
-    fields = F.transform(F.filter("_lines", lambda x: ~F.startswith(x, F.lit("#"))), lambda x: F.split(x, "\t", -1))
-    out = out.withColumn("_fields", fields)
-    out = out.withColumn("_ok", ~F.exists("_fields", lambda f: ~_good(f)))
-    nothing = F.filter("_fields", lambda f: F.lit(False))
-    out = out.withColumn("_plain", F.transform(F.when(F.col("_ok"), F.col("_fields")).otherwise(nothing), _word))
+    out = out.withColumn("_words", F.filter("_lines", lambda x: ~F.startswith(x, F.lit("#"))))
+    out = out.withColumn("_ok", ~F.exists("_words", lambda x: ~x.rlike(WORD_LINE)))
+    nothing = F.array().cast("array<string>")
+    usable = F.when(F.col("_ok"), F.col("_words")).otherwise(nothing)
+    out = out.withColumn("_plain", F.transform(usable, lambda x: let(F.split(x, "\t", -1), _word)))
 
     def token_of(w: Column, ranges: Column) -> Column:
         covering = F.filter(ranges, lambda r: (r["start"] <= w["start"]) & (w["start"] <= r["end"]))
@@ -117,7 +119,7 @@ def parse_sentences(records: DataFrame, record: str = "record") -> DataFrame:
     return (
         out.withColumn("words", words)
         .withColumn("corrupt", F.when(~F.col("_ok"), F.col(record)))
-        .drop("_lines", "_fields", "_ok", "_plain", "_tokens")
+        .drop("_lines", "_words", "_ok", "_plain", "_tokens")
     )
 
 
