@@ -194,8 +194,8 @@ def span_report(counts: DataFrame) -> DataFrame:
     return chunk_scores(counts).select(*[F.round(c, 2).alias(name) for c, name in printed.items()])
 
 
-def sentences(tokens: DataFrame, keys: Sequence[str], pos: str = "pos", **columns: str) -> DataFrame:
+def sentences(rows: DataFrame, keys: Sequence[str], pos: str = "pos", **columns: str) -> DataFrame:
     """Token rows to one row per sentence, each named column collected in token order."""
     ordered: Column = F.array_sort(F.collect_list(F.struct(pos, *[F.col(c) for c in columns.values()])))
-    rows = tokens.groupBy(*keys).agg(ordered.alias("_rows"))
-    return rows.select(*keys, *[F.col("_rows")[c].alias(name) for name, c in columns.items()])
+    grouped = rows.groupBy(*keys).agg(ordered.alias("_rows"))
+    return grouped.select(*keys, *[F.col("_rows")[c].alias(name) for name, c in columns.items()])

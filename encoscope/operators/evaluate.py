@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encoscope.functions.ordered import dense_index
 from encoscope.functions.vectors import argmax0, cross_entropy
@@ -26,10 +27,16 @@ def align(gold: DataFrame, pred: DataFrame, on: Sequence[str], strict: bool = Tr
 
 def label_pairs(df: DataFrame, gold: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
     """Token pairs of two label arrays; arrays of unequal length are an error."""
-    same = F.size(gold) == F.size(pred)
-    checked = df.where(F.when(same, True).otherwise(F.raise_error(F.lit("gold and predicted labels differ in length")).cast("boolean")))
-    pair = F.explode_outer(F.arrays_zip(F.col(gold).alias("gold"), F.col(pred).alias("pred"))).alias("_p")
-    return checked.select(*keys, pair).where("_p IS NOT NULL").select(*keys, "_p.gold", "_p.pred")
+    zipped = F.arrays_zip(F.col(gold).alias("gold"), F.col(pred).alias("pred"))
+    message = F.lit("gold and predicted labels differ in length")
+    checked = F.when(F.size(gold) == F.size(pred), zipped).otherwise(
+        F.raise_error(message).cast(T.ArrayType(T.StructType([T.StructField("gold", _element(df, gold)), T.StructField("pred", _element(df, pred))])))
+    )
+    return df.select(*keys, F.explode_outer(checked).alias("_p")).where("_p IS NOT NULL").select(*keys, "_p.gold", "_p.pred")
+
+
+def _element(df: DataFrame, column: str) -> T.DataType:
+    return df.schema[column].dataType.elementType
 
 
 def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred", keys: Sequence[str] = ()) -> DataFrame:

@@ -33,7 +33,11 @@ VARIANTS = ("fixed_point", "em")
 
 
 def assemble_stats(frame: pd.DataFrame):
-    """Statistics rows of one encoder to ``(n_rows, gram, class_weights, class_sums, total)``."""
+    """Statistics rows of one encoder to ``(n_rows, gram, weights, sums, total, shares)``.
+
+    Per class or target, ``weights`` is its sum of squares and ``shares`` its plain sum; for classes
+    both are the count.
+    """
     total = frame[frame["kind"] == "total"].iloc[0]
     n_rows, total_vec = float(total["n"]), np.asarray(total["vec"], dtype=float)
     width = len(total_vec)
@@ -46,7 +50,10 @@ def assemble_stats(frame: pd.DataFrame):
     weights, sums = np.zeros(count), np.zeros((count, width))
     for c, n, vec in classes[["i", "n", "vec"]].itertuples(index=False):
         weights[c], sums[c] = n, vec
-    return n_rows, gram, weights, sums, total_vec
+    shares = weights.copy()
+    for c, n in frame.loc[frame["kind"] == "target", ["i", "n"]].itertuples(index=False):
+        shares[c] = n
+    return n_rows, gram, weights, sums, total_vec, shares
 
 
 def _spectrum(gram: np.ndarray):
@@ -143,7 +150,7 @@ def evidence_em(n_rows, gram, weights, sums):
 SOLVERS = {"fixed_point": evidence_fixed_point, "em": evidence_em}
 
 
-def project_stats(n_rows, gram, weights, sums, total, components: int):
+def project_stats(n_rows, gram, sums, total, shares, components: int):
     """Statistics of the features after centred PCA, without touching the features again."""
     if n_rows < components:
         raise ValueError(f"not enough rows for {components} components ({int(n_rows)})")
@@ -151,7 +158,7 @@ def project_stats(n_rows, gram, weights, sums, total, components: int):
     scatter = gram - n_rows * np.outer(mean, mean)
     _, vectors = np.linalg.eigh(scatter)
     basis = vectors[:, ::-1][:, :components]
-    return basis.T @ scatter @ basis, (sums - weights[:, None] * mean) @ basis
+    return basis.T @ scatter @ basis, (sums - shares[:, None] * mean) @ basis
 
 
 def fit_stats(
@@ -179,9 +186,9 @@ def fit_stats(
     )
 
     def solve_group(frame: pd.DataFrame) -> pd.DataFrame:
-        n_rows, gram, weights, sums, total = assemble_stats(frame)
+        n_rows, gram, weights, sums, total, shares = assemble_stats(frame)
         if components:
-            gram, sums = project_stats(n_rows, gram, weights, sums, total, components)
+            gram, sums = project_stats(n_rows, gram, sums, total, shares, components)
         alpha, beta, evidence, steps, means = solve(n_rows, gram, weights, sums)
         out = pd.DataFrame({k: [frame[k].iloc[0]] * len(weights) for k in keys})
         out["class"] = np.arange(len(weights), dtype=np.int32)
@@ -246,16 +253,17 @@ def predict(
 
     @F.pandas_udf(kind)
     def apply_model(values: pd.Series, key: pd.DataFrame) -> pd.Series:
-        out = pd.Series([None] * len(values), dtype=object)
+        out = np.full(len(values), None, dtype=object)
         for name, rows in key.groupby(list(key.columns), sort=False).indices.items():
             matrix = held.get(name if isinstance(name, tuple) else (name,))
             if matrix is None:
                 continue
-            logits = np.stack(values.iloc[rows].to_list()).astype(float) @ matrix.T
-            picked = list(logits) if regression else list(logits.argmax(axis=1))
-            for at, value in zip(rows, picked):
-                out.iat[at] = value
-        return out if regression else out.astype("Int32")
+            logits = np.stack(values.to_numpy()[rows]).astype(float) @ matrix.T
+            if regression:
+                out[rows] = pd.Series(list(logits), dtype=object).to_numpy()
+            else:
+                out[rows] = logits.argmax(axis=1)
+        return pd.Series(out) if regression else pd.Series(out).astype("Int32")
 
     return df.withColumn("prediction", apply_model(F.col(features), F.struct(*keys)))
 

@@ -37,33 +37,26 @@ def weighted_tau(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str =
     Weights add the inverse ranks of both members of a pair; the two ways of ranking (by x then y, by
     y then x) are averaged. The pair sum is rewritten as one signed count per row, so no pairs are
     formed: a row appears once per bit of its y rank, and the rows below it in both orders are
-    counted by a running sum inside nodes of equal rank prefix. M rows cost M log M.
+    counted by a running sum inside nodes of equal rank prefix. M rows cost M log M. A group is one
+    ranking, one row per model of a pool, so callers aggregate to that first.
     """
     keys = list(keys)
-
-    def lower(by: str, *within: str) -> Column:
-        return F.rank().over(Window.partitionBy(*keys, *within).orderBy(by)) - 1
-
-    def same(*within: str) -> Column:
-        return F.count("*").over(Window.partitionBy(*keys, *within))
-
-    def weight(first: str, second: str) -> Column:
-        return 1.0 / F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(first), F.desc(second)))
-
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = rows.select(
-        *keys,
-        lower("_x").alias("_xr"),
-        lower("_y").alias("_yr"),
-        same().alias("_m"),
-        same("_x").alias("_xs"),
-        same("_y").alias("_ys"),
-        same("_x", "_y").alias("_both"),
-        lower("_x", "_y").alias("_x_in_y"),
-        lower("_y", "_x").alias("_y_in_x"),
-        weight("_x", "_y").alias("_w1"),
-        weight("_y", "_x").alias("_w2"),
+    rows = (
+        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        .select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+        .repartition(*keys)
     )
+    # Two sorts inside a group serve every count: by (x, y), then by (y, x).
+    for first, second, place in (("_x", "_y", "_w1"), ("_y", "_x", "_w2")):
+        ties = Window.partitionBy(*keys, first)
+        rows = rows.withColumns({f"{second}_in{first}": F.rank().over(ties.orderBy(second)) - 1})
+        rows = rows.withColumns({f"{first}s": F.count("*").over(ties)})
+        rows = rows.withColumns({f"{first}r": F.rank().over(Window.partitionBy(*keys).orderBy(first)) - 1})
+        rows = rows.withColumns({place: F.row_number().over(Window.partitionBy(*keys).orderBy(first, second))})
+    rows = rows.withColumn("_both", F.count("*").over(Window.partitionBy(*keys, "_y", "_x")))
+    rows = rows.withColumn("_m", F.count("*").over(Window.partitionBy(*keys)))
+    # ranks count from the top, and rows equal in both scores may swap places
+    ranked = rows.withColumns({w: 1.0 / (F.col("_m") - F.col(w) + 1) for w in ("_w1", "_w2")})
     above = F.col("_m") - F.col("_yr") - F.col("_ys")
     base = (
         F.col("_both") + 2 * F.col("_x_in_y") + 2 * F.col("_y_in_x") + above - F.col("_yr") - 2 * F.col("_xr") - F.col("_xs")

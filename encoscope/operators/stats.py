@@ -35,6 +35,7 @@ def sufficient_stats(
     ``gram``: row ``i`` of the upper triangle of the Gram matrix, from column ``i`` on.
     ``class``: label ``i`` with its count and feature sum (negative labels join no class); with
     ``targets`` (``array<double>`` per row) target ``i`` with its sum of squares and weighted sum.
+    ``target``: the plain sum of target ``i``, in ``n``.
     ``total``: row count and feature sum.
 
     ``max_partials`` bounds the number of partial matrices that are shuffled; the default is eight
@@ -83,7 +84,7 @@ def sufficient_stats(
             for key, rows in _groups(batch, key_count):
                 acc = held.get(key)
                 if acc is None:
-                    acc = held[key] = _Accumulator(matrix.shape[1])
+                    acc = held[key] = _Accumulator(matrix.shape[1], regression)
                     size += acc.gram.nbytes
                 f = matrix if rows is None else matrix[rows]
                 part = None if y is None else (y if rows is None else y[rows])
@@ -125,11 +126,12 @@ def _groups(batch: pa.RecordBatch, key_count: int):
 class _Accumulator:
     """Running statistics of one group inside one task."""
 
-    def __init__(self, width: int):
+    def __init__(self, width: int, regression: bool):
         self.gram = np.zeros((width, width))
         self.total = np.zeros(width)
         self.rows = 0
         self.classes: dict[int, list] = {}
+        self.target_sums = 0.0 if regression else np.zeros(0)
 
     def add(self, f: np.ndarray, y, regression: bool) -> int:
         self.gram += f.T @ f
@@ -139,6 +141,7 @@ class _Accumulator:
             return 0
         if regression:
             sums, weights, ids = y.T @ f, (y * y).sum(axis=0), range(y.shape[1])
+            self.target_sums = self.target_sums + y.sum(axis=0)
         else:
             ids, inverse = np.unique(y, return_inverse=True)
             order = np.argsort(inverse, kind="stable")
@@ -161,6 +164,8 @@ class _Accumulator:
         yield "total", 0, float(self.rows), self.total
         for c, (weight, vec) in self.classes.items():
             yield "class", int(c), float(weight), vec
+        for c, value in enumerate(self.target_sums):
+            yield "target", c, float(value), np.zeros(1)
         for i in range(len(self.gram)):
             yield "gram", i, 0.0, self.gram[i, i:]
 

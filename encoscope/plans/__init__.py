@@ -43,6 +43,7 @@ def load_all() -> dict[str, Registered]:
         data,
         embedding,
         evaluation,
+        files,
         studies,
         transfer,
         treebanks,

@@ -12,6 +12,8 @@ from encoscope.plans.data import ENCODERS
 
 # The seven line numbers of an order stand for the seven encoders of a pool.
 POOL_SIZE = 7
+# Added before rounding: means of amounts in cents may lie halfway between two rounded values.
+TIE = 1e-9
 
 
 def target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,18 +120,21 @@ def weighted_tau(spark, sf_dir):
 
 
 @query(
-    "weighted_tau_large",
+    "weighted_tau_ties",
     f"""WITH big AS (
-  SELECT l_linestatus AS task, l_suppkey AS model, round(sum(l_extendedprice), 0) AS x, count(*) AS y FROM lineitem GROUP BY 1, 2),
+  SELECT p_brand AS task, p_size AS model, round(sum(l_extendedprice) / 10000, 0) AS x, count(*) AS y
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
 {sql_tau('tau_table', 'big', 'task')}
 SELECT task, n_models::BIGINT AS n_models, round(tau, 6) + 0.0 AS tau FROM tau_table""",
 )
-def weighted_tau_large(spark, sf_dir):
-    """Rankings that grow with the data (all suppliers), with ties."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("task"), "l_suppkey").agg(
-        F.round(F.sum("l_extendedprice"), 0).alias("x"), F.count("*").alias("y")
+def weighted_tau_ties(spark, sf_dir):
+    """Longer rankings with many ties: brand = task, part size = model."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice").join(parts, "l_partkey")
+    scores = rows.groupBy(F.col("p_brand").alias("task"), F.col("p_size").alias("model")).agg(
+        F.round(F.sum("l_extendedprice") / 10000, 0).alias("x"), F.count("*").alias("y")
     )
-    return ranking.weighted_tau(rows, ["task"], "x", "y").select("task", "n_models", F.round("tau", 6).alias("tau"))
+    return ranking.weighted_tau(scores, ["task"], "x", "y").select("task", "n_models", F.round("tau", 6).alias("tau"))
 
 
 @query(
@@ -182,7 +187,7 @@ def loss_log(spark, sf_dir):
     """Event type = run, day = epoch, mean value = dev loss."""
     events = table(spark, sf_dir, "events")
     return events.groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch")).agg(
-        F.round(F.avg("value"), 6).alias("loss")
+        F.round(F.avg("value") + TIE, 6).alias("loss")
     )
 
 
@@ -190,19 +195,19 @@ def loss_log(spark, sf_dir):
     "epoch_metrics",
     """WITH batched AS (
   SELECT event_type AS run, day(ts)::INT AS epoch, hour(ts)::INT AS batch, avg(value) AS loss FROM events GROUP BY 1, 2, 3)
-SELECT run, epoch, count(*)::BIGINT AS batches, round(avg(loss), 6) AS loss FROM batched GROUP BY 1, 2""",
+SELECT run, epoch, count(*)::BIGINT AS batches, round(avg(loss) + 1e-9, 6) AS loss FROM batched GROUP BY 1, 2""",
 )
 def epoch_metrics(spark, sf_dir):
     """Mean of hourly batch means, per run and epoch."""
     events = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch"), F.hour("ts").alias("batch"), F.col("value").alias("loss")
     )
-    return batch_means(events, ["run", "epoch"], ["loss"]).withColumn("loss", F.round("loss", 6))
+    return batch_means(events, ["run", "epoch"], ["loss"]).withColumn("loss", F.round(F.col("loss") + TIE, 6))
 
 
 @query(
     "early_stop",
-    """WITH RECURSIVE log AS (SELECT event_type AS run, day(ts)::INT AS epoch, round(avg(value), 6) AS loss FROM events GROUP BY 1, 2),
+    """WITH RECURSIVE log AS (SELECT event_type AS run, day(ts)::INT AS epoch, round(avg(value) + 1e-9, 6) AS loss FROM events GROUP BY 1, 2),
 walk AS (
   SELECT run, epoch, loss AS low, epoch AS low_epoch, epoch AS kept, 1 AS saves, false AS stop
   FROM log l WHERE epoch = (SELECT min(epoch) FROM log m WHERE m.run = l.run)
@@ -265,13 +270,13 @@ def pending_runs(spark, sf_dir):
 @query(
     "seed_summary",
     """WITH log AS (SELECT event_type AS run, user_id % 5 AS seed, avg(value) AS value FROM events GROUP BY 1, 2)
-SELECT run, count(*)::BIGINT AS n_seeds, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev FROM log GROUP BY 1""",
+SELECT run, count(*)::BIGINT AS n_seeds, round(avg(value) + 1e-9, 6) AS mean, round(stddev_samp(value), 6) AS stddev FROM log GROUP BY 1""",
 )
 def seed_summary(spark, sf_dir):
     per_seed = table(spark, sf_dir, "events").groupBy(
         F.col("event_type").alias("run"), F.pmod("user_id", F.lit(5)).alias("seed")
     ).agg(F.avg("value").alias("value"))
-    return runs.over_seeds(per_seed, ["run"]).withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
+    return runs.over_seeds(per_seed, ["run"]).withColumns({"mean": F.round(F.col("mean") + TIE, 6), "stddev": F.round("stddev", 6)})
 
 
 def head_parts(spark, sf_dir):

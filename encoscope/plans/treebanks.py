@@ -117,7 +117,7 @@ def conllu_words(spark, sf_dir):
         treebank.heads(words).alias("head"),
         treebank.relations(words, include_subtypes=False).alias("relation"),
     )
-    return sentences(spark, sf_dir).select("conv_id", "turn", F.posexplode(columns).alias("pos", "w")).select(
+    return sentences(spark, sf_dir).select("conv_id", "turn", F.posexplode_outer(columns).alias("pos", "w")).where("pos IS NOT NULL").select(
         "conv_id", "turn", "pos", "w.form", "w.upos", "w.head", "w.relation"
     )
 
@@ -345,8 +345,8 @@ def conllu_render(spark, sf_dir):
     f"WITH {SQL_FILES} SELECT conv_id, turn, true AS same FROM roles",
 )
 def conllu_round_trip(spark, sf_dir):
-    """Writing a parsed sentence and parsing it again gives the same words."""
-    first = sentences(spark, sf_dir)
-    text = conllu.render_sentence(F.col("words"), F.col("comments"))
-    again = conllu.parse_sentences(first.select("conv_id", "turn", F.to_json("words").alias("was"), text.alias("record")))
-    return again.select("conv_id", "turn", (F.to_json("words") == F.col("was")).alias("same"))
+    """Writing a parsed sentence, parsing and writing it again gives the same text."""
+    first = sentences(spark, sf_dir).select("conv_id", "turn", conllu.render_sentence(F.col("words"), F.col("comments")).alias("record"))
+    again = conllu.parse_sentences(first)
+    same = conllu.render_sentence(F.col("words"), F.col("comments")) == F.col("record")
+    return again.select("conv_id", "turn", same.alias("same"))

@@ -28,21 +28,24 @@ def local_session(cores: int | str = "*", app: str = "encoscope", **conf: str) -
     return spark
 
 
+# Private folders of local sessions, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A local master has no such setting in tests; only there a private folder is made and recorded.
+    A local master may have no such setting in tests; only there a private folder is made.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    own = tempfile.mkdtemp(prefix="encoscope-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="encoscope-")
+    return _OWN[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

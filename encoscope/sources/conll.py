@@ -12,10 +12,10 @@ SENTENCE_BREAK = r"\r?\n[ \t\r]*\n"
 
 
 def read_records(spark: SparkSession, path: str, glob: str | None = None, line_sep: str = "\n\n") -> DataFrame:
-    """Blank-line separated records in file order: ``(file, at, record)``.
+    """Blank-line separated records, in file order inside each file block: ``(file, block, record)``.
 
     The scan cuts files at ``line_sep`` (give ``\\r\\n\\r\\n`` for such files) and splits further at
-    padded blank lines, so a file is read by many tasks. ``at`` grows with the place in the file.
+    padded blank lines, so a file is read by many tasks.
     """
     reader = spark.read.option("lineSep", line_sep)
     if glob:
@@ -25,20 +25,17 @@ def read_records(spark: SparkSession, path: str, glob: str | None = None, line_s
     )
     records = lines.select("file", "block", F.explode(F.split("value", SENTENCE_BREAK, -1)).alias("record"))
     trimmed = F.regexp_replace("record", r"^[\s]*\n|[\s]+$", "")
-    return (
-        records.withColumn("record", trimmed)
-        .where(F.col("record") != "")
-        .withColumn("at", F.monotonically_increasing_id())
-        .select("file", "block", "at", "record")
-    )
+    return records.withColumn("record", trimmed).where(F.col("record") != "")
 
 
 def number_records(records: DataFrame, out: str = "idx") -> DataFrame:
     """0-based position of each record in its file and in the corpus (files in name order).
 
-    Records of one file block are numbered without gaps by the scan; only the block sizes (one row
-    per input split) are put in order. The large side is not sorted.
+    Records that are left out must be gone before. Those of one file block follow each other in one
+    task, so they are numbered there; only the block sizes (one row per input split) are put in
+    order. The large side is neither sorted nor shuffled.
     """
+    records = records.withColumn("at", F.monotonically_increasing_id())
     blocks = records.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
     in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))

@@ -9,21 +9,38 @@ from pyspark.sql import functions as F
 
 from encoscope.operators.labels import SENTIMENT_IDS, map_constants, select_text_label, with_label_level
 
-_CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
-_CSV_WRITE = {"header": "true", "quoteAll": "true", "quote": '"', "escape": '"', "emptyValue": ""}
-
+_CSV_READ = {"header": "true", "quote": '"', "escape": '"'}
+_CSV_WRITE = {
+    "header": "true",
+    "quoteAll": "true",
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
+def read_csv(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Quoted CSV with a header; every field a string, an empty field an empty string.
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Quoted CSV with a header; every field a string, an empty field an empty string."""
-    reader = spark.read.options(**_CSV_READ).option("nullValue", "\u0000").option("emptyValue", "")
+    With ``multi_line`` fields may hold line breaks, and a file is the unit of reading (a folder of
+    part files is read in parallel). Without it single files are split over tasks as well.
+    """
+    reader = spark.read.options(**_CSV_READ).option("multiLine", multi_line)
+    reader = reader.option("nullValue", "\u0000").option("emptyValue", "")
     if columns is not None:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
     return reader.csv(path)
 
 
-def read_labelled(spark: SparkSession, path: str, text: str = "text", label: str = "label") -> DataFrame:
+def read_labelled(
+    spark: SparkSession, path: str, text: str = "text", label: str = "label", multi_line: bool = True
+) -> DataFrame:
     """``(text, label)`` of a labelled CSV, by column name."""
-    return select_text_label(read_csv(spark, path), text, label)
+    return select_text_label(read_csv(spark, path, multi_line=multi_line), text, label)
 
 
 def read_splits(
