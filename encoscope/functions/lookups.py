@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOOKUP_ROWS = 100_000
 LOOKUP_BYTES = 64 << 20
-SALTS = 32
 
 
 def bounded_rows(small: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> DataFrame | None:
@@ -23,19 +25,40 @@ def bounded_rows(small: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int =
     return small.sparkSession.createDataFrame(rows, small.schema)
 
 
-def salted(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str,
-    salts: int,
-    spread_by: Sequence[str] | None = None,
+def frequent_keys(df: DataFrame, on: Sequence[str], parts: int) -> list[tuple]:
+    """Keys that hold more than an even share of the rows, with the number of shares they hold.
+
+    One pass over the key columns, combined map-side. At most ``parts`` keys can qualify.
+    """
+    total = Observation()
+    counts = df.groupBy(*on).agg(F.count("*").alias("_n")).observe(total, F.sum("_n").alias("rows"))
+    top = counts.orderBy(F.desc("_n")).limit(parts).collect()
+    share = max(1, math.ceil((total.get["rows"] or 0) / parts))
+    whole = [r for r in top if all(r[k] is not None for k in on)]
+    return [(*[r[k] for k in on], math.ceil(r["_n"] / share)) for r in whole if r["_n"] > share]
+
+
+def split_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str] | None = None
 ) -> DataFrame:
-    """Equi-join that spreads each key of ``big`` over ``salts`` partitions by a hash of ``spread_by``."""
+    """Shuffled equi-join that cuts each frequent key of ``big`` into pieces of an even share.
+
+    Only lookup rows of frequent keys are copied, once per piece. Rows with a NULL key match nothing
+    and are spread as well. ``spread_by`` names the columns whose hash picks the piece.
+    """
+    on = list(on)
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frequent = frequent_keys(big, on, parts)
+    keys = [big.schema[k] for k in on]
+    pieces = big.sparkSession.createDataFrame(frequent, T.StructType([*keys, T.StructField("_pieces", T.IntegerType())]))
     hashed = spread_by or [f.name for f in big.schema if f.dataType.typeName() not in ("map", "udt")]
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+    missing = reduce(Column.__or__, [F.col(k).isNull() for k in on])
+    number = F.when(missing, F.lit(parts)).otherwise(F.coalesce("_pieces", F.lit(1)))
+    cut = big.join(F.broadcast(pieces), on, "left")
+    cut = cut.withColumn("_piece", F.pmod(F.xxhash64(*hashed), number).cast("int")).drop("_pieces")
+    copies = small.join(F.broadcast(pieces), on, "left")
+    copies = copies.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return cut.join(copies, [*on, "_piece"], how).drop("_piece")
 
 
 def lookup_join(
@@ -44,19 +67,18 @@ def lookup_join(
     on: str | Sequence[str],
     how: str = "left",
     max_rows: int = LOOKUP_ROWS,
-    salts: int = SALTS,
     spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join ``big`` with a lookup table on ``on`` (``inner``, ``left``, ``left_semi``, ``left_anti``).
 
     The lookup table is broadcast when its measured size is within the bounds. Beyond them the join
-    shuffles with salted keys, so a key that holds a third of ``big`` is still spread.
+    shuffles with frequent keys cut into pieces, so a key that holds a third of ``big`` is spread.
     """
     on = [on] if isinstance(on, str) else list(on)
     local = bounded_rows(small, max_rows)
     if local is not None:
         return big.join(F.broadcast(local), on, how)
-    return salted(big, small, on, how, salts, spread_by)
+    return split_join(big, small, on, how, spread_by)
 
 
 def literal_map(small: DataFrame, key: str, value: str, max_rows: int = 10_000) -> Column | None:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from encoscope.functions.lookups import split_join
 from encoscope.functions.vectors import argmax0, dot
 from encoscope.operators.stats import sufficient_stats
 
@@ -235,7 +236,7 @@ def predict(
     features: str = "features",
     keys: Sequence[str] = ("encoder",),
     regression: bool = False,
-    max_cells: int = 50_000_000,
+    max_cells: int = 5_000_000,
 ) -> DataFrame:
     """Add ``prediction``: the class with the largest posterior-mean logit, or all logits.
 
@@ -269,12 +270,12 @@ def predict(
 
 
 def _predict_by_join(df, models, features, keys, regression):
-    """Models too large to hold at once: one row per class meets each feature row by key."""
+    """Models too large to hold at once meet the feature rows in a join on the encoder."""
     grouped = models.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("class", "m"))), lambda s: s["m"]).alias("_ms")
     )
     logits = F.transform("_ms", lambda m: dot(F.col(features), m))
-    joined = df.join(grouped, keys, "left").withColumn("_logits", logits)
+    joined = split_join(df, grouped, keys, "left").withColumn("_logits", logits)
     picked = F.col("_logits") if regression else argmax0(F.col("_logits"))
     return joined.withColumn("prediction", picked).drop("_ms", "_logits")
 

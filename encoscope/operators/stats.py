@@ -212,12 +212,11 @@ def covariance_cells(stats: DataFrame, keys: Sequence[str] = ("encoder",)) -> Da
     The totals are one vector per key, attached to the D Gram rows of that key.
     """
     keys = list(keys)
-    totals = stats.where("kind = 'total'").select(*keys, F.col("n").alias("_n"), F.col("vec").alias("_sum"))
-    grams = stats.where("kind = 'gram'").select(*keys, "i", "vec")
-    if keys:
-        joined = grams.join(totals, keys)
-    else:
-        joined = grams.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
+    one = F.lit(1).alias("_one")
+    totals = stats.where("kind = 'total'").select(*keys, one, F.col("n").alias("_n"), F.col("vec").alias("_sum"))
+    grams = stats.where("kind = 'gram'").select(*keys, one, "i", "vec")
+    # one total per key, that is per encoder of the pool
+    joined = grams.join(F.broadcast(totals), [*keys, "_one"])
     cells = joined.select(*keys, "i", "_n", "_sum", F.posexplode("vec").alias("_off", "g"))
     j = F.col("i") + F.col("_off")
     at = lambda k: F.get("_sum", k.cast("int"))

@@ -103,33 +103,22 @@ def corpus_index(df: DataFrame, order: str, file: str = "file", out: str = "idx"
 
 
 def statistics(df: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
-    """Sentences, tokens, words and metadata keys per treebank file.
-
-    Key sets are merged as distinct (file, key) rows, never as lists of whole files.
-    """
-    keys = list(keys)
-    named = F.concat(
-        F.map_keys(parse_metadata(F.col("comments"))),
-        F.when(F.exists("comments", _unknown), F.array(F.lit("unknown"))).otherwise(F.array().cast("array<string>")),
-    )
+    """Sentences, tokens and words per treebank file."""
     rows = df.select(
-        *keys,
-        F.size(surface_words(F.col("words"))).alias("_t"),
-        F.size(dependency_words(F.col("words"))).alias("_w"),
-        named.alias("_keys"),
+        *keys, F.size(surface_words(F.col("words"))).alias("_t"), F.size(dependency_words(F.col("words"))).alias("_w")
     )
-    counts = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("sentences"), F.sum("_t").alias("tokens"), F.sum("_w").alias("words")
     )
-    meta = (
-        rows.select(*keys, F.explode_outer("_keys").alias("_key"))
-        .where("_key IS NOT NULL")
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_key")).alias("metadata"))
+
+
+def metadata_keys(df: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
+    """Distinct metadata keys of each file, one row per key; ``unknown`` for other comments."""
+    named = F.concat(
+        F.map_keys(parse_metadata(F.col("comments"))),
+        F.when(F.exists("comments", _unknown), F.array(F.lit("unknown"))).otherwise(F.array().cast("array<string>")),
     )
-    empty = F.array().cast("array<string>")
-    return counts.join(meta, keys, "left").withColumn("metadata", F.coalesce("metadata", empty))
+    return df.select(*keys, F.explode_outer(named).alias("key")).where("key IS NOT NULL").distinct()
 
 
 def _unknown(c: Column) -> Column:

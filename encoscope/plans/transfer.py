@@ -215,11 +215,13 @@ def logme_pool_leaderboard(spark, sf_dir):
 
 
 # Two-dimensional encoders have a closed-form eigensystem, so SQL can follow the whole matrix path.
-PLANE_INPUT = """
+PLANE_ROWS = """
 rows2 AS (
   SELECT vec_id, label, e, embedding[2 * e + 1]::DOUBLE AS f1, embedding[2 * e + 2]::DOUBLE AS f2
   FROM embeddings, unnest(range(0, len(embedding) // 2)) AS r(e)
-),
+)"""
+
+PLANE_CELLS = """
 grams AS (
   SELECT e, sum(f1 * f1) AS a, sum(f1 * f2) AS b, sum(f2 * f2) AS d, count(*)::DOUBLE AS n_rows, max(label) AS top
   FROM rows2 GROUP BY 1
@@ -237,6 +239,8 @@ cells AS (
   FROM grid g LEFT JOIN sums s ON s.e = g.e AND s.label = g.c
 )"""
 
+PLANE_INPUT = f"{PLANE_ROWS}, {PLANE_CELLS}"
+
 PLANE_FIXED_POINT = """
 loop AS (
   SELECT e, c, n_rows, s1, s2, co, si, p1, p2, weight, p1 * p1 / s1 AS x1, p2 * p2 / s2 AS x2, 0 AS k,

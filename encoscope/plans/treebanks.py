@@ -144,13 +144,22 @@ def conllu_text(spark, sf_dir):
     "conllu_stats",
     f"""WITH {SQL_FILES},
 per_sentence AS (SELECT conv_id, turn, count(*) AS n FROM parsed GROUP BY 1, 2)
-SELECT file, count(*)::BIGINT AS sentences, sum(len(toks))::BIGINT AS tokens, sum(n)::BIGINT AS words,
-       concat_ws(',', CASE WHEN bool_or(r.turn <= 1 AND r.conv_id % 3 <> 0) THEN 'newdoc id' END, 'sent_id', 'speaker',
-                 CASE WHEN bool_or(r.turn = 2) THEN 'unknown' END) AS metadata
+SELECT file, count(*)::BIGINT AS sentences, sum(len(toks))::BIGINT AS tokens, sum(n)::BIGINT AS words
 FROM roles r JOIN per_sentence p ON p.conv_id = r.conv_id AND p.turn = r.turn GROUP BY 1""",
 )
 def conllu_stats(spark, sf_dir):
-    return treebank.statistics(sentences(spark, sf_dir)).withColumn("metadata", F.array_join("metadata", ","))
+    return treebank.statistics(sentences(spark, sf_dir))
+
+
+@query(
+    "conllu_metadata_keys",
+    f"""WITH {SQL_FILES}
+SELECT DISTINCT file, unnest(['sent_id', 'speaker']) AS key FROM roles
+UNION SELECT file, 'newdoc id' FROM roles WHERE turn <= 1 AND conv_id % 3 <> 0
+UNION SELECT file, 'unknown' FROM roles WHERE turn = 2""",
+)
+def conllu_metadata_keys(spark, sf_dir):
+    return treebank.metadata_keys(sentences(spark, sf_dir))
 
 
 @query(

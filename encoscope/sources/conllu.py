@@ -194,7 +194,9 @@ def read_directory(spark: SparkSession, path: str, line_sep: str = "\n\n") -> tu
     readmes = spark.read.option("pathGlobFilter", "README*").text(f"{path}/UD_*-*", wholetext=True)
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
     meta = readmes.select(folder(F.col("_metadata.file_path")).alias("folder"), parse_readme(F.col("value")).alias("meta"))
-    files = sentences.select("file").distinct().withColumn("folder", folder(F.col("file")))
+    # the listing reads no file content
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.conllu").load(f"{path}/UD_*-*")
+    files = listed.select(F.col("_metadata.file_path").alias("file")).withColumn("folder", folder(F.col("file")))
     named = files.withColumn("_d", directory_meta(F.col("file"))).where("_d IS NOT NULL")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     joined = named.join(meta, "folder", "left").select(
