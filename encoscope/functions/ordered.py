@@ -6,6 +6,7 @@ partition, and only one summary row per block goes through the ordered pass over
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,17 +19,30 @@ def _block(order: str, bits: int) -> Column:
     return F.shiftright(F.col(order).cast("long"), bits)
 
 
+def block_bits(df: DataFrame, order: str, rows: int = 1 << BLOCK_BITS) -> int:
+    """Block width in bits that gives about ``rows`` rows per block, from the spread of the ids.
+
+    Dense ids get 16 bits. One pass over the id column.
+    """
+    found = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
+    if not found["n"]:
+        return BLOCK_BITS
+    gap = (found["high"] - found["low"] + 1) / found["n"]
+    return min(62, max(1, math.ceil(math.log2(max(1.0, gap) * rows))))
+
+
 def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def dense_index(
-    df: DataFrame, order: str, keys: Sequence[str] = (), out: str = "idx", bits: int = BLOCK_BITS
+    df: DataFrame, order: str, keys: Sequence[str] = (), out: str = "idx", bits: int | None = None
 ) -> DataFrame:
     """0-based position of each row by a unique integer column, within ``keys`` or overall.
 
-    A block holds at most 2**bits rows because ``order`` is unique.
+    A block holds at most 2**bits rows because ``order`` is unique; the width follows from the ids.
     """
+    bits = block_bits(df, order) if bits is None else bits
     blocked = df.withColumn("_block", _block(order, bits))
     starts = (
         blocked.groupBy(*keys, "_block")

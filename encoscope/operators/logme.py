@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from encoscope.functions.lookups import split_join
+from encoscope.functions.lookups import lookup_join, split_join
 from encoscope.functions.vectors import argmax0, dot
 from encoscope.operators.stats import sufficient_stats
 
@@ -151,17 +151,51 @@ def evidence_em(n_rows, gram, weights, sums):
 SOLVERS = {"fixed_point": evidence_fixed_point, "em": evidence_em}
 
 
-def project_stats(n_rows, gram, sums, total, shares, components: int):
-    """Statistics of the features after centred PCA, without touching the features again."""
+def pca_basis(n_rows, gram, total, components: int):
+    """Scatter matrix around the mean and its leading directions."""
     if n_rows < components:
         raise ValueError(f"not enough rows for {components} components ({int(n_rows)})")
     mean = total / n_rows
     scatter = gram - n_rows * np.outer(mean, mean)
     _, vectors = np.linalg.eigh(scatter)
-    basis = vectors[:, ::-1][:, :components]
+    return mean, scatter, vectors[:, ::-1][:, :components]
+
+
+def project_stats(n_rows, gram, sums, total, shares, components: int):
+    """Statistics of the features after centred PCA, without touching the features again."""
+    mean, scatter, basis = pca_basis(n_rows, gram, total, components)
     return basis.T @ scatter @ basis, (sums - shares[:, None] * mean) @ basis
 
 
+def pca_bases(stats: DataFrame, components: int, keys: Sequence[str] = ("encoder",)) -> DataFrame:
+    """Mean and leading directions per encoder: ``(keys, mean, basis)``, one row each."""
+    keys = list(keys)
+    schema = T.StructType(
+        [stats.schema[k] for k in keys]
+        + [
+            T.StructField("mean", T.ArrayType(T.DoubleType())),
+            T.StructField("basis", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        ]
+    )
+
+    def solve_group(frame: pd.DataFrame) -> pd.DataFrame:
+        n_rows, gram, _, _, total, _ = assemble_stats(frame)
+        mean, _, basis = pca_basis(n_rows, gram, total, components)
+        out = pd.DataFrame({k: [frame[k].iloc[0]] for k in keys})
+        out["mean"], out["basis"] = [mean.tolist()], [basis.T.tolist()]
+        return out
+
+    return stats.groupBy(*keys).applyInPandas(solve_group, schema)
+
+
+def project(df: DataFrame, bases: DataFrame, features: str = "features", keys: Sequence[str] = ("encoder",)) -> DataFrame:
+    """Centred features along the leading directions of their encoder (one lookup row per encoder)."""
+    joined = lookup_join(df, bases, list(keys), "left", max_rows=1_000)
+    centred = F.zip_with(features, "mean", lambda x, u: x.cast("double") - u)
+    placed = joined.withColumn("_centred", centred)
+    return placed.withColumn(features, F.transform("basis", lambda b: dot(F.col("_centred"), b))).drop("_centred", "mean", "basis")
+
+
 def fit_stats(
     stats: DataFrame, keys: Sequence[str] = ("encoder",), variant: str = "fixed_point", components: int = 0
 ) -> DataFrame:

@@ -346,3 +346,47 @@ def pca_logme(spark, sf_dir):
     """LogME after PCA to eight components, for the pool of sixteen-dimensional encoders."""
     scores = logme.score_pool(encoder_slices(spark, sf_dir, 16), components=8)
     return scores.select("encoder", F.round("logme", 6).alias("logme"))
+
+
+@query(
+    "pca_logme_plane",
+    f"""WITH RECURSIVE {PLANE_ROWS},
+moments AS (
+  SELECT e, avg(f1) AS u1, avg(f2) AS u2, covar_pop(f1, f1) AS a, covar_pop(f1, f2) AS b, covar_pop(f2, f2) AS d FROM rows2 GROUP BY 1
+),
+turned AS (
+  SELECT r.e AS dim, label, (f1 - u1) * cos(0.5 * atan2(2 * b, a - d)) + (f2 - u2) * sin(0.5 * atan2(2 * b, a - d)) AS f
+  FROM rows2 r JOIN moments m ON m.e = r.e
+),
+sizes AS (SELECT dim, sum(f * f) AS sigma, count(*)::DOUBLE AS n_rows, max(label) AS top FROM turned GROUP BY 1),
+grid AS (SELECT dim, sigma, n_rows, c FROM sizes, unnest(range(0, top + 1)) AS r(c)),
+sums AS (SELECT dim, label, count(*)::DOUBLE AS n, sum(f) AS b FROM turned GROUP BY 1, 2),
+cells AS (
+  SELECT g.dim, g.c, g.sigma, g.n_rows, coalesce(s.n, 0) AS weight, coalesce(s.b, 0) AS product
+  FROM grid g LEFT JOIN sums s ON s.dim = g.dim AND s.label = g.c
+), {FIXED_POINT_LOOP}""",
+)
+def pca_logme_plane(spark, sf_dir):
+    """Two-dimensional encoders reduced to their first component, then scored."""
+    scores = logme.score_pool(encoder_slices(spark, sf_dir, 2), components=1)
+    return scores.select(
+        F.substring_index("encoder", "-", -1).cast("long").alias("dim"), F.round("logme", 6).alias("score")
+    )
+
+
+@query(
+    "pca_project",
+    f"""WITH {PLANE_ROWS},
+moments AS (
+  SELECT e, avg(f1) AS u1, avg(f2) AS u2, covar_pop(f1, f1) AS a, covar_pop(f1, f2) AS b, covar_pop(f2, f2) AS d FROM rows2 GROUP BY 1
+)
+SELECT 'enc-' || lpad(r.e::VARCHAR, 2, '0') AS encoder, vec_id,
+       round(abs((f1 - u1) * cos(0.5 * atan2(2 * b, a - d)) + (f2 - u2) * sin(0.5 * atan2(2 * b, a - d))), 6) + 0.0 AS size
+FROM rows2 r JOIN moments m ON m.e = r.e""",
+)
+def pca_project(spark, sf_dir):
+    """Length of each vector along its encoder's first component (the sign of a component is free)."""
+    pool = encoder_slices(spark, sf_dir, 2)
+    bases = logme.pca_bases(stats.sufficient_stats(pool, label=None), 1)
+    rows = logme.project(pool, bases)
+    return rows.select("encoder", "vec_id", F.round(F.abs(F.get("features", F.lit(0))), 6).alias("size"))

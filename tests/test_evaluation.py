@@ -216,6 +216,11 @@ def test_ordered_blocks(spark):
     df = spark.createDataFrame(rows, "g int, at long, hit boolean")
     index = {r["at"]: r["idx"] for r in ordered.dense_index(df, "at", bits=6).collect()}
     assert index == {i: k for k, i in enumerate(ids)}
+    sparse = df.withColumn("at", F.col("at") * 1_000_003 - 10**9)
+    assert ordered.block_bits(df, "at") < ordered.block_bits(sparse, "at") < 42
+    assert ordered.block_bits(df.limit(0), "at") == 16
+    places = [r["idx"] for r in ordered.dense_index(sparse, "at").orderBy("at").collect()]
+    assert places == list(range(400))
     count, value, seen, last = {}, {}, {0: 0, 1: 0}, {0: None, 1: None}
     for g, at, hit in rows:
         seen[g] += hit
