@@ -59,9 +59,10 @@ def dense_index(
 
 
 def running_count(
-    df: DataFrame, flag: Column, order: str, keys: Sequence[str] = (), out: str = "n", bits: int = BLOCK_BITS
+    df: DataFrame, flag: Column, order: str, keys: Sequence[str] = (), out: str = "n", bits: int | None = None
 ) -> DataFrame:
     """Number of rows so far (this one included) for which ``flag`` holds."""
+    bits = block_bits(df, order) if bits is None else bits
     blocked = df.withColumn("_flag", F.when(flag, 1).otherwise(0)).withColumn("_block", _block(order, bits))
     carried = (
         blocked.groupBy(*keys, "_block")
@@ -80,9 +81,10 @@ def running_count(
 
 
 def carry_forward(
-    df: DataFrame, value: Column, order: str, keys: Sequence[str] = (), out: str = "value", bits: int = BLOCK_BITS
+    df: DataFrame, value: Column, order: str, keys: Sequence[str] = (), out: str = "value", bits: int | None = None
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row."""
+    bits = block_bits(df, order) if bits is None else bits
     blocked = df.withColumn("_value", value).withColumn("_block", _block(order, bits))
     carried = (
         blocked.groupBy(*keys, "_block")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,12 +34,46 @@ def static_vectors(tokens: DataFrame, vocabulary: DataFrame, unknown: str = UNKN
     fallback = vocabulary.where(F.col("word") == unknown).select("vec").first()
     if fallback is None:
         raise ValueError(f"the vocabulary has no entry {unknown!r}")
-    filler = F.array(*[F.lit(float(x)) for x in fallback["vec"]]).cast(vocabulary.schema["vec"].dataType)
+    filler = _literal(fallback["vec"]).cast(vocabulary.schema["vec"].dataType)
     words = vocabulary.select(F.col("word").alias("token"), F.col("vec"))
     joined = lookup_join(tokens, words, "token", "left", max_rows=VOCABULARY_ROWS)
     return joined.withColumn("known", F.col("vec").isNotNull()).withColumn("vec", F.coalesce("vec", filler))
 
 
+def _literal(vec) -> Column:
+    if len(vec) and not isinstance(vec[0], float):
+        return F.array(*[F.struct(F.lit(e["encoder"]).alias("encoder"), _literal(e["vec"]).alias("vec")) for e in vec])
+    return F.array(*[F.lit(float(x)) for x in vec])
+
+
+def stack_vocabularies(encoders: Mapping[str, DataFrame]) -> DataFrame:
+    """One vocabulary ``(word, vec)`` for a pool: ``vec`` lists encoder and vector for each encoder.
+
+    Words an encoder does not know get the vector of its unknown word, so one lookup serves the pool.
+    """
+    parts = []
+    for name, vocabulary in encoders.items():
+        parts.append(vocabulary.select("word", F.lit(name).alias("encoder"), F.col("vec").cast("array<float>").alias("vec")))
+    rows = reduce(DataFrame.unionByName, parts)
+    unknown = {r["encoder"]: r["vec"] for r in rows.where(F.col("word") == UNKNOWN_WORD).collect()}
+    absent = [name for name in encoders if name not in unknown]
+    if absent:
+        raise ValueError(f"no entry {UNKNOWN_WORD!r} in the vocabulary of {absent}")
+    fillers = F.array(
+        *[
+            F.struct(F.lit(name).alias("encoder"), _literal(unknown[name]).cast("array<float>").alias("vec"))
+            for name in encoders
+        ]
+    )
+    # at most one entry per encoder
+    words = rows.groupBy("word").agg(F.collect_list(F.struct("encoder", "vec")).alias("_known"))
+    full = F.transform(
+        fillers,
+        lambda own: F.coalesce(F.get(F.filter("_known", lambda k: k["encoder"] == own["encoder"]), F.lit(0)), own),
+    )
+    return words.select("word", full.alias("vec"))
+
+
 def pool(df: DataFrame, keys: Sequence[str], how: str, vec: str = "vec", pos: str = "pos", out: str = "features") -> DataFrame:
     """One vector per sequence from its token vectors; every existing row counts as attended."""
     return df.groupBy(*keys).agg(pooling(how)(F.col(vec), F.col(pos), None).alias(out))

@@ -3,28 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encoscope.operators.embed import pooled_static, static_vectors
+from encoscope.functions.vectors import pooling
+from encoscope.operators.embed import stack_vocabularies, static_vectors, token_rows
 from encoscope.operators.labels import flatten_labels
 
 
 def token_features(
-    df: DataFrame, keys: Sequence[str], vocabulary: DataFrame, tokens: str = "tokens", labels: str = "labels"
+    df: DataFrame, keys: Sequence[str], encoders: Mapping[str, DataFrame], tokens: str = "tokens", labels: str = "labels"
 ) -> DataFrame:
-    """One row per token: ``(keys, pos, features, label)``."""
-    rows = static_vectors(flatten_labels(df, keys, tokens, labels), vocabulary)
-    return rows.select(*keys, "pos", F.col("vec").alias("features"), "label")
+    """One row per token and encoder: ``(encoder, keys, pos, features, label)``."""
+    rows = static_vectors(flatten_labels(df, keys, tokens, labels), stack_vocabularies(encoders))
+    return rows.select(*keys, "pos", "label", F.inline("vec")).select(
+        "encoder", *keys, "pos", F.col("vec").alias("features"), "label"
+    )
 
 
 def sequence_features(
-    df: DataFrame, keys: Sequence[str], vocabulary: DataFrame, how: str, tokens: str = "tokens", label: str = "label"
+    df: DataFrame,
+    keys: Sequence[str],
+    encoders: Mapping[str, DataFrame],
+    poolings: Sequence[str],
+    tokens: str = "tokens",
+    label: str = "label",
 ) -> DataFrame:
-    """One pooled row per sequence: ``(keys, features, label)``."""
-    return pooled_static(df, [*keys, label], vocabulary, how, tokens).select(*keys, "features", label)
+    """One row per sequence, encoder and pooling: ``(encoder, pooling, keys, features, label)``."""
+    rows = static_vectors(token_rows(df, [*keys, label], tokens), stack_vocabularies(encoders))
+    vectors = rows.select(*keys, label, "pos", F.inline("vec"))
+    pooled = vectors.groupBy("encoder", *keys, label).agg(
+        *[pooling(how)(F.col("vec"), F.col("pos"), None).alias(f"_{how}") for how in poolings]
+    )
+    forms = F.array(*[F.struct(F.lit(how).alias("pooling"), F.col(f"_{how}").alias("features")) for how in poolings])
+    return pooled.select("encoder", *keys, F.col(label).alias("label"), F.inline(forms)).select(
+        "encoder", "pooling", *keys, "features", "label"
+    )
 
 
 def encode(
@@ -37,17 +52,12 @@ def encode(
     """Features of a dataset under a pool of static encoders, in long form.
 
     Token tasks give ``(encoder, pooling, keys, pos, features, label)`` with one row per token; sequence
-    tasks one row per sequence and pooling. One scoring job then takes all encoders and poolings.
+    tasks one row per sequence and pooling. The texts are read once for all encoders and poolings,
+    and one scoring job takes them all.
     """
-    parts = []
-    for name, vocabulary in encoders.items():
-        if task == "token_classification":
-            parts.append((name, "none", token_features(df, keys, vocabulary)))
-        elif task == "sequence_classification":
-            parts += [(name, how, sequence_features(df, keys, vocabulary, how)) for how in poolings]
-        else:
-            raise ValueError(f"unknown task {task!r}")
-    marked = [
-        part.select(F.lit(name).alias("encoder"), F.lit(how).alias("pooling"), *part.columns) for name, how, part in parts
-    ]
-    return reduce(DataFrame.unionByName, marked)
+    if task == "token_classification":
+        rows = token_features(df, keys, encoders)
+        return rows.select("encoder", F.lit("none").alias("pooling"), *[c for c in rows.columns if c != "encoder"])
+    if task == "sequence_classification":
+        return sequence_features(df, keys, encoders, poolings)
+    raise ValueError(f"unknown task {task!r}")

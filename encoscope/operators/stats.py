@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,18 +76,23 @@ def sufficient_stats(
             if batch.num_rows == 0:
                 continue
             key_types = [batch.schema.field(k).type for k in range(key_count)]
-            matrix = _matrix(batch.column(key_count))
+            vectors = batch.column(key_count)
+            whole = _matrix(vectors) if _same_length(vectors) else None
             y = batch.column(key_count + 1) if labelled else None
             if regression:
                 y = _matrix(y)
             elif labelled:
                 y = y.to_numpy(zero_copy_only=False)
             for key, rows in _groups(batch, key_count):
+                if whole is not None:
+                    f = whole if rows is None else whole[rows]
+                else:
+                    # encoders of a pool may differ in width
+                    f = _matrix(vectors if rows is None else vectors.take(pa.array(rows)))
                 acc = held.get(key)
                 if acc is None:
-                    acc = held[key] = _Accumulator(matrix.shape[1], regression)
+                    acc = held[key] = _Accumulator(f.shape[1], regression)
                     size += acc.gram.nbytes
-                f = matrix if rows is None else matrix[rows]
                 part = None if y is None else (y if rows is None else y[rows])
                 size += acc.add(f.astype(np.float64), part, regression)
             if size > ACCUMULATOR_BYTES:
@@ -101,14 +107,17 @@ def sufficient_stats(
     )
 
 
+def _same_length(column: pa.Array) -> bool:
+    lengths = np.diff(column.offsets.to_numpy())
+    return bool((lengths == lengths[0]).all())
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column whose rows share one length, as a 2-D array."""
     flat = column.flatten()
-    rows = len(column)
-    lengths = np.diff(column.offsets.to_numpy())
-    if flat.null_count or (lengths != lengths[0]).any():
-        raise ValueError("feature vectors must have one length and no nulls")
-    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
+    if flat.null_count or not _same_length(column):
+        raise ValueError("feature vectors of one encoder must have one length and no nulls")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _groups(batch: pa.RecordBatch, key_count: int):
@@ -134,6 +143,8 @@ class _Accumulator:
         self.target_sums = 0.0 if regression else np.zeros(0)
 
     def add(self, f: np.ndarray, y, regression: bool) -> int:
+        if f.shape[1] != len(self.total):
+            raise ValueError("feature vectors of one encoder must have one length and no nulls")
         self.gram += f.T @ f
         self.total += f.sum(axis=0)
         self.rows += len(f)
@@ -209,23 +220,26 @@ def gram_cells(stats: DataFrame, keys: Sequence[str] = ("encoder",)) -> DataFram
 def covariance_cells(stats: DataFrame, keys: Sequence[str] = ("encoder",)) -> DataFrame:
     """Upper-triangle cells of the sample covariance, from the same statistics.
 
-    The totals are one vector per key, attached to the D Gram rows of that key.
+    One group is the D Gram rows and the total of one encoder.
     """
     keys = list(keys)
-    one = F.lit(1).alias("_one")
-    totals = stats.where("kind = 'total'").select(*keys, one, F.col("n").alias("_n"), F.col("vec").alias("_sum"))
-    grams = stats.where("kind = 'gram'").select(*keys, one, "i", "vec")
-    # one total per key, that is per encoder of the pool
-    joined = grams.join(F.broadcast(totals), [*keys, "_one"])
-    cells = joined.select(*keys, "i", "_n", "_sum", F.posexplode("vec").alias("_off", "g"))
-    j = F.col("i") + F.col("_off")
-    at = lambda k: F.get("_sum", k.cast("int"))
-    return cells.select(
-        *keys,
-        "i",
-        j.alias("j"),
-        ((F.col("g") - at(F.col("i")) * at(j) / F.col("_n")) / (F.col("_n") - 1)).alias("cov"),
-    )
+    cells = [T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("cov", T.DoubleType())]
+
+    def centre(frame: pd.DataFrame) -> pd.DataFrame:
+        total = frame[frame["kind"] == "total"].iloc[0]
+        n, sums = float(total["n"]), np.asarray(total["vec"], dtype=float)
+        grams = frame[frame["kind"] == "gram"]
+        rows = grams["i"].to_numpy()
+        i = np.repeat(rows, len(sums) - rows)
+        j = np.concatenate([np.arange(r, len(sums)) for r in rows])
+        g = np.concatenate([np.asarray(v, dtype=float) for v in grams["vec"]])
+        out = pd.DataFrame({"i": i, "j": j, "cov": (g - sums[i] * sums[j] / n) / (n - 1)})
+        for k in keys:
+            out[k] = frame[k].iloc[0]
+        return out[[*keys, "i", "j", "cov"]]
+
+    wanted = stats.where("kind IN ('gram', 'total')")
+    return wanted.groupBy(*keys).applyInPandas(centre, T.StructType([*[stats.schema[k] for k in keys], *cells]))
 
 
 def class_sums(df: DataFrame, features: str, label: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -183,7 +183,7 @@ def distribution_filter(
     return with_kept(joined, domain_filter(wanted, mode, genre=picked)).drop("dist")
 
 
-# --- groups: sentence order within a file, carried forward in blocks ---
+# --- groups: sentence order within a file (any unique integer column), carried forward in blocks ---
 
 
 def group_by_comment(df: DataFrame, pattern: str, file: str = "file", sent: str = "sent") -> DataFrame:
@@ -203,13 +203,17 @@ def group_by_metadata(
     values that do not match.
     """
     value = F.try_element_at(parse_metadata(F.col("comments")), F.lit(key))
-    if value_regex:
-        java = "^(?:" + value_regex.replace("(?P<", "(?<") + ")"
-        places = re.compile(value_regex).groupindex
-        parts = [F.regexp_extract(value, java, places[n]) for n in sorted(places) if n.startswith("val")]
-        value = F.when(value.isNotNull(), F.when(value.rlike(java), F.concat(*parts)).otherwise(UNKNOWN_GROUP))
     carried = carry_forward(df, value, sent, [file], out="group")
-    return carried.withColumn("group", F.coalesce("group", F.lit(UNKNOWN_GROUP)))
+    group = group_of_value(F.col("group"), value_regex) if value_regex else F.col("group")
+    return carried.withColumn("group", F.coalesce(group, F.lit(UNKNOWN_GROUP)))
+
+
+def group_of_value(value: Column, value_regex: str) -> Column:
+    """The named groups ``val*`` of a metadata value in name order; ``unknown`` if it does not match."""
+    java = "^(?:" + value_regex.replace("(?P<", "(?<") + ")"
+    places = re.compile(value_regex).groupindex
+    parts = [F.regexp_extract(value, java, places[n]) for n in sorted(places) if n.startswith("val")]
+    return F.when(value.isNotNull(), F.when(value.rlike(java), F.concat(*parts)).otherwise(UNKNOWN_GROUP))
 
 
 def sentences_by(df: DataFrame, key: str) -> DataFrame:

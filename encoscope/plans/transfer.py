@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,33 +76,28 @@ def pca_covariance(spark, sf_dir):
 
 def univariate_inputs(spark, sf_dir) -> DataFrame:
     """Per dimension and class: feature sum and count, with the dimension's sum of squares."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     rows = embedding_rows(spark, sf_dir)
     per_class = rows.groupBy("label").agg(
         F.count("*").alias("n"),
         vector_to_array(Summarizer.sum(as_vector(F.col("features")))).alias("s"),
         vector_to_array(Summarizer.normL2(as_vector(F.col("features")))).alias("l2"),
     )
-    cells = per_class.select("label", "n", F.posexplode(F.arrays_zip("s", "l2")).alias("dim", "cell")).select(
-        "label", F.col("dim").cast("long").alias("dim"), "n", F.col("cell.s").alias("b"), (F.col("cell.l2") * F.col("cell.l2")).alias("q")
+    cells = per_class.select("label", "n", F.posexplode(F.arrays_zip("s", "l2")).alias("dim", "cell"))
+    # one row per dimension with its few classes; every class 0..max counts, also those without rows
+    dims = cells.groupBy(F.col("dim").cast("long").alias("dim")).agg(
+        F.sum(F.col("cell.l2") * F.col("cell.l2")).alias("sigma"),
+        F.sum("n").cast("double").alias("n_rows"),
+        F.max("label").alias("top"),
+        F.map_from_entries(F.collect_list(F.struct("label", F.struct("n", F.col("cell.s").alias("b"))))).alias("classes"),
     )
-    sizes = cells.groupBy("dim").agg(F.sum("q").alias("sigma"), F.sum("n").cast("double").alias("n_rows"))
-    # every class 0..max counts, also those without rows
-    top = cells.groupBy("dim").agg(F.max("label").alias("top"))
-    grid = top.select("dim", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("label"))
-    return (
-        grid.join(cells.select("dim", "label", "n", "b"), ["dim", "label"], "left")
-        .join(sizes, "dim")
-        .select(
-            "dim",
-            "label",
-            "sigma",
-            "n_rows",
-            F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("weight"),
-            F.coalesce(F.col("b"), F.lit(0.0)).alias("product"),
-        )
+    found = F.try_element_at("classes", F.col("label"))
+    return dims.withColumn("label", F.explode(F.sequence(F.lit(0), F.col("top")))).select(
+        "dim",
+        "label",
+        "sigma",
+        "n_rows",
+        F.coalesce(found["n"].cast("double"), F.lit(0.0)).alias("weight"),
+        F.coalesce(found["b"], F.lit(0.0)).alias("product"),
     )
 
 

@@ -181,10 +181,6 @@ def conllu_metadata(spark, sf_dir):
     )
 
 
-def indexed(spark, sf_dir) -> DataFrame:
-    return treebank.corpus_index(sentences(spark, sf_dir), "ord")
-
-
 @query("corpus_index", f"WITH {SQL_FILES}, {SQL_INDEX} SELECT conv_id, turn, file, sent::BIGINT AS sent, idx::BIGINT AS idx FROM placed")
 def corpus_index(spark, sf_dir):
     return treebank.corpus_index(conllu_records(spark, sf_dir), "ord").select("conv_id", "turn", "file", "sent", "idx")
@@ -227,7 +223,7 @@ counted AS (SELECT *, sum((turn <= 1 AND conv_id % 3 <> 0)::INT) OVER (PARTITION
 SELECT conv_id, turn, CASE WHEN n > 0 THEN 'group-' || (n - 1)::BIGINT ELSE 'unknown' END AS "group" FROM counted""",
 )
 def conllu_doc_groups(spark, sf_dir):
-    return treebank.group_by_comment(indexed(spark, sf_dir), "newdoc").select("conv_id", "turn", "group")
+    return treebank.group_by_comment(sentences(spark, sf_dir), "newdoc", sent="ord").select("conv_id", "turn", "group")
 
 
 @query(
@@ -241,10 +237,10 @@ SELECT conv_id, turn, coalesce('c' || doc, 'unknown') AS whole, coalesce(left(do
 )
 def conllu_meta_groups(spark, sf_dir):
     """Groups by the last document id, and by a part of it that a pattern picks."""
-    rows = indexed(spark, sf_dir).select("file", "sent", "conv_id", "turn", "comments")
-    whole = treebank.group_by_metadata(rows, "newdoc id").withColumnRenamed("group", "whole")
-    part = treebank.group_by_metadata(whole, "newdoc id", r"c(?P<val1>\d)").withColumnRenamed("group", "first_digit")
-    return part.select("conv_id", "turn", "whole", "first_digit")
+    rows = sentences(spark, sf_dir).select("file", "ord", "conv_id", "turn", "comments")
+    whole = treebank.group_by_metadata(rows, "newdoc id", sent="ord")
+    digit = treebank.group_of_value(F.col("group"), r"c(?P<val1>\d)")
+    return whole.select("conv_id", "turn", F.col("group").alias("whole"), digit.alias("first_digit"))
 
 
 @query(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from encoscope.operators import embed, leep, logme, stats
+from encoscope.operators import embed, features as encoding, leep, logme, stats
 
 SF = "/root/testdata"
 SMALL = [([1, 0], 0), ([0, 1], 1), ([1, 1], 0), ([2, 1], 0), ([0, 2], 1), ([1, 3], 1)]
@@ -188,3 +188,33 @@ def test_static_vectors_by_both_joins(spark, monkeypatch):
         embed.pooled_static(df, ["id"], vocabulary, "max")
     with pytest.raises(ValueError, match="no entry"):
         embed.static_vectors(embed.token_rows(df, ["id"]), vocabulary.where("word <> 'UNK'"))
+
+
+def test_pool_of_encoders_with_different_widths(spark):
+    rng = np.random.default_rng(9)
+    wide, slim, y = rng.normal(size=(50, 6)), rng.normal(size=(50, 3)), rng.integers(0, 2, 50)
+    rows = [x for k in range(50) for x in (("wide", wide[k].tolist(), int(y[k])), ("slim", slim[k].tolist(), int(y[k])))]
+    df = spark.createDataFrame(rows, "encoder string, features array<double>, label int").coalesce(1)
+    scores = {r["encoder"]: r["logme"] for r in logme.score_pool(df).collect()}
+    assert scores["wide"] == pytest.approx(svd_logme(wide, onehot(y)), abs=1e-10)
+    assert scores["slim"] == pytest.approx(svd_logme(slim, onehot(y)), abs=1e-10)
+
+
+def test_encode_pools_and_fills_unknown_words(spark):
+    a = spark.createDataFrame([("UNK", [0.0, 0.0]), ("x", [1.0, 2.0]), ("y", [3.0, 4.0])], "word string, vec array<double>")
+    b = spark.createDataFrame([("UNK", [9.0]), ("y", [5.0])], "word string, vec array<double>")
+    df = spark.createDataFrame([(1, ["x", "y", "z"], 0)], "id int, tokens array<string>, label int")
+    rows = encoding.encode(df, ["id"], {"a": a, "b": b}, "sequence_classification", ["mean", "first"])
+    got = {(r["encoder"], r["pooling"]): r["features"] for r in rows.collect()}
+    assert got[("a", "mean")] == pytest.approx([4 / 3, 2.0]) and got[("a", "first")] == [1.0, 2.0]
+    assert got[("b", "mean")] == pytest.approx([23 / 3]) and got[("b", "first")] == [9.0]
+    tokens = df.withColumn("labels", F.array(F.lit(0), F.lit(1), F.lit(0)))
+    long = encoding.encode(tokens, ["id"], {"a": a, "b": b}, "token_classification").orderBy("encoder", "pos").collect()
+    assert [(r["encoder"], r["pos"], list(r["features"]), r["label"]) for r in long] == [
+        ("a", 0, [1.0, 2.0], 0), ("a", 1, [3.0, 4.0], 1), ("a", 2, [0.0, 0.0], 0),
+        ("b", 0, [9.0], 0), ("b", 1, [5.0], 1), ("b", 2, [9.0], 0),
+    ]
+    with pytest.raises(ValueError, match="unknown task"):
+        encoding.encode(df, ["id"], {"a": a}, "other")
+    with pytest.raises(ValueError, match="no entry"):
+        encoding.encode(df, ["id"], {"a": a.where("word <> 'UNK'")}, "sequence_classification")
