@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,6 @@ RANK_TOLERANCE = 1e-12
 # Singular values at or below this are dropped when there are more rows than dimensions.
 SINGULAR_CUT = 1e-10
 
-VARIANTS = ("fixed_point", "em")
-
 
 def assemble_stats(frame: pd.DataFrame):
     """Statistics rows of one encoder to ``(n_rows, gram, weights, sums, total, shares)``.
@@ -64,91 +63,69 @@ def _spectrum(gram: np.ndarray):
     return np.where(values <= RANK_TOLERANCE * values[0], 0.0, values), vectors
 
 
-def _shares(projected: np.ndarray, sigma: np.ndarray) -> np.ndarray:
-    return np.divide(projected**2, sigma, out=np.zeros_like(projected), where=sigma > 0)
+@dataclass(frozen=True)
+class Variant:
+    """What sets the two published procedures apart."""
 
+    tolerance: float
+    # the ridge of the updates also enters the evidence
+    ridge_in_evidence: bool
+    # directions without weight are left out of the spectrum
+    cut_spectrum: bool
 
-def evidence_fixed_point(n_rows, gram, weights, sums):
-    """Alpha, beta, evidence, steps and posterior mean per class, by the fixed-point iteration."""
-    width = len(gram)
-    sigma, vectors = _spectrum(gram)
-    if n_rows <= width:
-        keep = int(n_rows)
-    else:
-        keep = int((np.sqrt(sigma) > SINGULAR_CUT).sum()) or 1
-    sigma, vectors = sigma[:keep], vectors[:, :keep]
-    projected = sums @ vectors
-    x2 = _shares(projected, sigma)
-    rest = weights - x2.sum(axis=1)
-    count = len(weights)
-    alpha, beta, ratio = np.ones(count), np.ones(count), np.ones(count)
-    m2, r2, steps = np.zeros(count), np.zeros(count), np.zeros(count, dtype=int)
-    live = np.arange(count)
-    for _ in range(MAX_STEPS):
-        t = (alpha[live] / beta[live])[:, None]
-        gamma = (sigma / (sigma + t)).sum(axis=1)
-        m2[live] = (sigma * x2[live] / (t + sigma) ** 2).sum(axis=1)
-        r2[live] = (x2[live] / (1 + sigma / t) ** 2).sum(axis=1) + rest[live]
-        alpha[live] = gamma / (m2[live] + RIDGE)
-        beta[live] = (n_rows - gamma) / (r2[live] + RIDGE)
-        ratio[live] = t[:, 0]
-        steps[live] += 1
-        moved = np.abs(alpha[live] / beta[live] - t[:, 0]) / t[:, 0]
-        live = live[moved > FIXED_POINT_TOLERANCE]
-        if not len(live):
-            break
-    evidence = (
-        width / 2 * np.log(alpha)
-        + n_rows / 2 * np.log(beta)
-        - 0.5 * np.log(alpha[:, None] + beta[:, None] * sigma).sum(axis=1)
-        - beta / 2 * r2
-        - alpha / 2 * m2
-        - n_rows / 2 * math.log(2 * math.pi)
-    ) / n_rows
-    means = (projected / (ratio[:, None] + sigma)) @ vectors.T
-    return alpha, beta, evidence, steps, means
-
-
-def evidence_em(n_rows, gram, weights, sums):
-    """The same by the earlier evidence-maximisation variant, which keeps the full spectrum."""
-    width = len(gram)
+
+VARIANTS = {
+    "fixed_point": Variant(FIXED_POINT_TOLERANCE, ridge_in_evidence=False, cut_spectrum=True),
+    "em": Variant(EM_TOLERANCE, ridge_in_evidence=True, cut_spectrum=False),
+}
+
+
+def _kept(sigma: np.ndarray, n_rows: float) -> int:
+    """Directions that take part: no more than rows, else those with a singular value above the cut."""
+    if n_rows <= len(sigma):
+        return int(n_rows)
+    return max(1, int((np.sqrt(sigma) > SINGULAR_CUT).sum()))
+
+
+def solve(n_rows: float, gram: np.ndarray, weights: np.ndarray, sums: np.ndarray, variant: Variant):
+    """Alpha, beta, evidence, steps and posterior mean of every class.
+
+    In the eigenbasis of the Gram matrix a class is its vector ``p`` of projected sums. For a ratio
+    t = alpha / beta the posterior mean is p / (sigma + t); alpha follows from its squared length,
+    beta from the squared error it leaves, and both give the next ratio. All classes move together,
+    each until its own ratio settles.
+    """
+    width, count = len(gram), len(weights)
     sigma, vectors = _spectrum(gram)
-    projected = sums @ vectors
-    count = len(weights)
-    alpha, beta, previous = np.ones(count), np.ones(count), np.ones(count)
-    m2, r2, steps = np.zeros(count), np.zeros(count), np.zeros(count, dtype=int)
-    means = np.zeros((count, width))
-    live = np.arange(count)
-    for _ in range(MAX_STEPS):
-        gamma = (sigma / (sigma + previous[live][:, None])).sum(axis=1)
-        scale = beta[live][:, None] / (alpha[live][:, None] + beta[live][:, None] * sigma)
-        rotated = projected[live] * scale
-        means[live] = rotated @ vectors.T
-        m2[live] = (rotated**2).sum(axis=1)
-        fitted = (rotated * projected[live]).sum(axis=1)
-        r2[live] = weights[live] - 2 * fitted + (rotated**2 * sigma).sum(axis=1)
-        alpha[live] = gamma / (m2[live] + RIDGE)
-        beta[live] = (n_rows - gamma) / (r2[live] + RIDGE)
-        steps[live] += 1
-        ratio = alpha[live] / beta[live]
-        moved = np.abs(ratio - previous[live]) / previous[live]
-        going = moved >= EM_TOLERANCE
-        previous[live[going]] = ratio[going]
-        live = live[going]
-        if not len(live):
-            break
-    evidence = (
-        width / 2 * np.log(alpha)
-        + n_rows / 2 * np.log(beta)
-        - 0.5 * np.log(alpha[:, None] + beta[:, None] * sigma).sum(axis=1)
-        - beta / 2 * (r2 + RIDGE)
-        - alpha / 2 * (m2 + RIDGE)
-        - n_rows / 2 * math.log(2 * math.pi)
-    ) / n_rows
-    return alpha, beta, evidence, steps, means
-
-
-SOLVERS = {"fixed_point": evidence_fixed_point, "em": evidence_em}
+    if variant.cut_spectrum:
+        kept = _kept(sigma, n_rows)
+        sigma, vectors = sigma[:kept], vectors[:, :kept]
+    p = np.where(sigma > 0, sums @ vectors, 0.0)
+    explained = np.divide(p * p, sigma, out=np.zeros_like(p), where=sigma > 0)
+    # rounding may push a perfect fit below zero
+    unexplained = np.maximum(weights - explained.sum(axis=1), 0.0)
+
+    alpha, beta = np.ones(count), np.ones(count)
+    length, error = np.zeros(count), np.zeros(count)
+    steps, rotated = np.zeros(count, dtype=np.int32), np.zeros_like(p)
+    moving = np.arange(count)
+    while len(moving) and steps.max(initial=0) < MAX_STEPS:
+        ratio = (alpha[moving] / beta[moving])[:, None]
+        mean = p[moving] / (sigma + ratio)
+        freedom = (sigma / (sigma + ratio)).sum(axis=1)
+        missed = unexplained[moving] + (explained[moving] * (ratio / (sigma + ratio)) ** 2).sum(axis=1)
+        rotated[moving], length[moving], error[moving] = mean, np.einsum("ij,ij->i", mean, mean), missed
+        alpha[moving] = freedom / (length[moving] + RIDGE)
+        beta[moving] = (n_rows - freedom) / (missed + RIDGE)
+        steps[moving] += 1
+        change = np.abs(alpha[moving] / beta[moving] / ratio[:, 0] - 1)
+        moving = moving[change > variant.tolerance]
+
+    slack = RIDGE if variant.ridge_in_evidence else 0.0
+    spread = np.log(alpha[:, None] + beta[:, None] * sigma).sum(axis=1)
+    misfit = beta * (error + slack) + alpha * (length + slack)
+    evidence = (width * np.log(alpha) + n_rows * (np.log(beta) - math.log(2 * math.pi)) - spread - misfit) / (2 * n_rows)
+    return alpha, beta, evidence, steps, rotated @ vectors.T
 
 
 def pca_basis(n_rows, gram, total, components: int):
@@ -204,9 +181,9 @@ def fit_stats(
     Classes run from 0 to the largest label; those without rows count too.
     With ``components`` the features are first reduced by PCA.
     """
-    if variant not in SOLVERS:
-        raise ValueError(f"unknown variant {variant!r}; expected one of {VARIANTS}")
-    solve = SOLVERS[variant]
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant {variant!r}; expected one of {sorted(VARIANTS)}")
+    chosen = VARIANTS[variant]
     keys = list(keys)
     schema = T.StructType(
         [stats.schema[k] for k in keys]
@@ -224,11 +201,11 @@ def fit_stats(
         n_rows, gram, weights, sums, total, shares = assemble_stats(frame)
         if components:
             gram, sums = project_stats(n_rows, gram, sums, total, shares, components)
-        alpha, beta, evidence, steps, means = solve(n_rows, gram, weights, sums)
+        alpha, beta, evidence, steps, means = solve(n_rows, gram, weights, sums, chosen)
         out = pd.DataFrame({k: [frame[k].iloc[0]] * len(weights) for k in keys})
         out["class"] = np.arange(len(weights), dtype=np.int32)
         out["alpha"], out["beta"], out["evidence"] = alpha, beta, evidence
-        out["steps"], out["m"] = steps.astype(np.int32), list(means)
+        out["steps"], out["m"] = steps, list(means)
         return out[[f.name for f in schema]]
 
     return stats.groupBy(*keys).applyInPandas(solve_group, schema)
@@ -320,62 +297,31 @@ def univariate_evidence(
     """LogME evidence of one single feature, as a column.
 
     ``sigma`` is the feature's sum of squares, ``weight`` the target's sum of squares and
-    ``product`` the sum of feature times target.
+    ``product`` the sum of feature times target. The same walk as ``solve``, in one dimension.
     """
-    if variant == "fixed_point":
-        return _univariate_fixed_point(sigma, weight, product, n_rows)
-    if variant == "em":
-        return _univariate_em(sigma, weight, product, n_rows)
-    raise ValueError(f"unknown variant {variant!r}; expected one of {VARIANTS}")
-
-
-def _state(alpha, beta, t, m2, r2, done):
-    return F.struct(
-        alpha.alias("alpha"), beta.alias("beta"), t.alias("t"), m2.alias("m2"), r2.alias("r2"), done.alias("done")
-    )
-
-
-def _start():
-    one, zero = F.lit(1.0), F.lit(0.0)
-    return _state(one, one, one, zero, zero, F.lit(False))
-
-
-def _evidence(s, sigma, n_rows, slack):
-    return (
-        0.5 * F.log(s["alpha"])
-        + n_rows / 2 * F.log(s["beta"])
-        - 0.5 * F.log(s["alpha"] + s["beta"] * sigma)
-        - s["beta"] / 2 * (s["r2"] + slack)
-        - s["alpha"] / 2 * (s["m2"] + slack)
-        - n_rows / 2 * math.log(2 * math.pi)
-    ) / n_rows
-
-
-def _univariate_fixed_point(sigma, weight, product, n_rows):
-    x2 = F.when(sigma > 0, product * product / sigma).otherwise(0.0)
-
-    def step(s, _):
-        t = s["alpha"] / s["beta"]
-        gamma = sigma / (sigma + t)
-        m2 = sigma * x2 / ((t + sigma) * (t + sigma))
-        shrink = 1 + sigma / t
-        r2 = x2 / (shrink * shrink) + (weight - x2)
-        alpha, beta = gamma / (m2 + RIDGE), (n_rows - gamma) / (r2 + RIDGE)
-        done = F.abs(alpha / beta - t) / t <= FIXED_POINT_TOLERANCE
-        return F.when(s["done"], s).otherwise(_state(alpha, beta, t, m2, r2, done))
-
-    steps = F.sequence(F.lit(1), F.lit(MAX_STEPS))
-    return F.aggregate(steps, _start(), step, lambda s: _evidence(s, sigma, n_rows, 0.0))
-
-
-def _univariate_em(sigma, weight, product, n_rows):
-    def step(s, _):
-        gamma = sigma / (sigma + s["t"])
-        m = product * s["beta"] / (s["alpha"] + s["beta"] * sigma)
-        r2 = weight - 2 * m * product + m * m * sigma
-        alpha, beta = gamma / (m * m + RIDGE), (n_rows - gamma) / (r2 + RIDGE)
-        done = F.abs(alpha / beta - s["t"]) / s["t"] < EM_TOLERANCE
-        return F.when(s["done"], s).otherwise(_state(alpha, beta, alpha / beta, m * m, r2, done))
-
-    steps = F.sequence(F.lit(1), F.lit(MAX_STEPS))
-    return F.aggregate(steps, _start(), step, lambda s: _evidence(s, sigma, n_rows, RIDGE))
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant {variant!r}; expected one of {sorted(VARIANTS)}")
+    chosen = VARIANTS[variant]
+    explained = F.when(sigma > 0, product * product / sigma).otherwise(0.0)
+
+    def state(alpha: Column, beta: Column, length: Column, error: Column, settled: Column) -> Column:
+        parts = {"alpha": alpha, "beta": beta, "length": length, "error": error, "settled": settled}
+        return F.struct(*[value.alias(name) for name, value in parts.items()])
+
+    def step(s: Column, _: Column) -> Column:
+        ratio = s["alpha"] / s["beta"]
+        mean = product / (sigma + ratio)
+        freedom = sigma / (sigma + ratio)
+        error = weight - explained + explained * F.pow(ratio / (sigma + ratio), 2)
+        alpha, beta = freedom / (mean * mean + RIDGE), (n_rows - freedom) / (error + RIDGE)
+        settled = F.abs(alpha / beta / ratio - 1) <= chosen.tolerance
+        return F.when(s["settled"], s).otherwise(state(alpha, beta, mean * mean, error, settled))
+
+    def evidence(s: Column) -> Column:
+        slack = RIDGE if chosen.ridge_in_evidence else 0.0
+        misfit = s["beta"] * (s["error"] + slack) + s["alpha"] * (s["length"] + slack)
+        gain = F.log(s["alpha"]) + n_rows * (F.log(s["beta"]) - math.log(2 * math.pi))
+        return (gain - F.log(s["alpha"] + s["beta"] * sigma) - misfit) / (2 * n_rows)
+
+    start = state(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(False))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STEPS)), start, step, evidence)

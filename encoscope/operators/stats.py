@@ -19,6 +19,8 @@ from encoscope.functions.vectors import vector_sum
 
 # A task hands its accumulators on as soon as they hold this many bytes.
 ACCUMULATOR_BYTES = 256 << 20
+# Feature rows are widened to doubles in slices of this many bytes.
+SLICE_BYTES = 32 << 20
 # Rows of one emitted batch hold at most this many bytes.
 BATCH_BYTES = 8 << 20
 
@@ -94,7 +96,7 @@ def sufficient_stats(
                     acc = held[key] = _Accumulator(f.shape[1], regression)
                     size += acc.gram.nbytes
                 part = None if y is None else (y if rows is None else y[rows])
-                size += acc.add(f.astype(np.float64), part, regression)
+                size += acc.add(f, part, regression)
             if size > ACCUMULATOR_BYTES:
                 yield from _emit(held, key_types)
                 held, size = {}, 0
@@ -143,13 +145,21 @@ class _Accumulator:
         self.target_sums = 0.0 if regression else np.zeros(0)
 
     def add(self, f: np.ndarray, y, regression: bool) -> int:
+        """Take feature rows in, a slice at a time so that copies stay small; returns grown bytes."""
         if f.shape[1] != len(self.total):
             raise ValueError("feature vectors of one encoder must have one length and no nulls")
-        self.gram += f.T @ f
-        self.total += f.sum(axis=0)
-        self.rows += len(f)
-        if y is None:
-            return 0
+        step = max(1, SLICE_BYTES // max(1, 8 * f.shape[1]))
+        grown = 0
+        for at in range(0, len(f), step):
+            part = f[at : at + step].astype(np.float64)
+            self.gram += part.T @ part
+            self.total += part.sum(axis=0)
+            self.rows += len(part)
+            if y is not None:
+                grown += self._add_targets(part, y[at : at + step], regression)
+        return grown
+
+    def _add_targets(self, f: np.ndarray, y: np.ndarray, regression: bool) -> int:
         if regression:
             sums, weights, ids = y.T @ f, (y * y).sum(axis=0), range(y.shape[1])
             self.target_sums = self.target_sums + y.sum(axis=0)
