@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", app: str = "encoscope", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
