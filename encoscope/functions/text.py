@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Every character Python's str.split() counts as white space.
-WHITESPACE = r"[\t\n\x0b\f\r\x1c-\x1f \x85\xa0  -     　]+"
+WHITESPACE = r"[\t\n\x0b\f\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 # Characters dropped from word forms (the soft hyphen becomes a plain one).
-SOFT_HYPHEN = "­"
-DROPPED_CHARACTERS = "\u0092\u0097\U000fe4fa﻿�"
+SOFT_HYPHEN = "\u00ad"
+DROPPED_CHARACTERS = "\u0092\u0097\U000fe4fa\ue402\ufeff\ufffd"
 UNKNOWN_FORM = "[UNK]"
 
 # Kinds of embedding source an encoder spec may name.
@@ -20,7 +20,7 @@ ENCODER_KINDS = ("fasttext", "glove", "transformer", "transformer+cls")
 
 # Marker of a continued piece (WordPiece) and of a word start (byte-level BPE).
 CONTINUATION_MARK = "##"
-WORD_START_MARK = "Ġ"
+WORD_START_MARK = "\u0120"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

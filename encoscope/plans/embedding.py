@@ -188,7 +188,7 @@ def subword_recombine(spark, sf_dir):
     rows = conversation_tokens(spark, sf_dir).where(F.size("tokens") > 0)
     rows = rows.withColumn("family", F.explode(F.array(F.lit("wordpiece"), F.lit("bpe"))))
     mark = lambda k: F.when(
-        F.col("family") == "bpe", F.when(k == 0, "Ġ").otherwise("")
+        F.col("family") == "bpe", F.when(k == 0, "\u0120").otherwise("")
     ).otherwise(F.when(k == 0, "").otherwise("##"))
     cut = lambda t: F.transform(
         F.sequence(F.lit(0), F.floor((F.length(t) - 1) / PIECE).cast("int")),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from encoscope.functions.text import tag_prefix, tag_type
+from encoscope.functions.vectors import softmax
 from encoscope.operators import chunks, evaluate
 from encoscope.plans import query, table
 from encoscope.plans.data import SQL_TAGS, tagged_sentences
@@ -185,19 +187,23 @@ cells AS (
 ),
 head AS (
   SELECT vec_id, any_value(label) AS label, (arg_min(k, (-z, k)))::INT AS pred, ln(sum(exp(z))) AS lse,
-         max(CASE WHEN k = label THEN z END) AS picked FROM cells GROUP BY 1
+         max(CASE WHEN k = label THEN z END) AS picked, max(z) AS top FROM cells GROUP BY 1
 ),
 metrics AS (
-  SELECT vec_id, label, pred, (pred = label)::INT::DOUBLE AS correct, CASE WHEN label <> -1 THEN lse - picked END AS loss FROM head
+  SELECT vec_id, label, pred, (pred = label)::INT::DOUBLE AS correct, CASE WHEN label <> -1 THEN lse - picked END AS loss,
+         exp(top - lse) AS confidence FROM head
 )"""
 
 
 @query(
     "head_metrics",
-    f"WITH {SQL_LOGITS} SELECT vec_id, label, pred, correct, round(loss, 6) AS loss FROM metrics",
+    f"WITH {SQL_LOGITS} SELECT vec_id, label, pred, correct, round(loss, 6) AS loss, round(confidence, 6) AS confidence FROM metrics",
 )
 def head_metrics(spark, sf_dir):
-    return logit_rows(spark, sf_dir).select("vec_id", "label", "pred", "correct", F.round("loss", 6).alias("loss"))
+    confidence = F.round(F.array_max(softmax(F.col("logits"))), 6)
+    return logit_rows(spark, sf_dir).select(
+        "vec_id", "label", "pred", "correct", F.round("loss", 6).alias("loss"), confidence.alias("confidence")
+    )
 
 
 @query(
@@ -211,3 +217,15 @@ def batch_mean_metrics(spark, sf_dir):
     scored = logit_rows(spark, sf_dir).select("vec_id", "loss", F.col("correct").alias("accuracy"))
     means = evaluate.batch_means(evaluate.with_batches(scored, "vec_id", 32))
     return _rounded(means, "loss", "accuracy")
+
+
+@query(
+    "tag_split",
+    f"""WITH {SQL_TAGS}
+SELECT split_part(gold, '-', 1) AS prefix, CASE WHEN contains(gold, '-') THEN substr(gold, instr(gold, '-') + 1) ELSE '' END AS type,
+       count(*)::BIGINT AS n FROM tags GROUP BY 1, 2""",
+)
+def tag_split(spark, sf_dir):
+    """Prefixes and types of all tags."""
+    tags = tagged_sentences(spark, sf_dir).select(F.explode_outer("gold").alias("tag")).where("tag IS NOT NULL")
+    return tags.groupBy(tag_prefix(F.col("tag")).alias("prefix"), tag_type(F.col("tag")).alias("type")).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from encoscope.functions import lookups, ordered
+from encoscope.functions import lookups, ordered, text
 from encoscope.operators import chunks, evaluate, heads, labels, logme, ranking, runs, splits
 
 GOLD, PRED = [0, 0, 1, 1, 2, 2, 2, 0], [0, 1, 1, 1, 2, 0, 2, 0]
@@ -289,6 +289,13 @@ def test_head_learns_saves_and_loads(spark, tmp_path):
         heads.head("tree")
 
 
+def test_tag_parts(spark):
+    tags = [("B-LOC", "B", "LOC"), ("I-a-b", "I", "a-b"), ("O", "O", ""), ("B-0", "B", ""), ("-x", "", "x")]
+    df = spark.createDataFrame(tags, "tag string, prefix string, kind string")
+    same = (text.tag_prefix(F.col("tag")) == F.col("prefix")) & (text.tag_type(F.col("tag")) == F.col("kind"))
+    assert df.where(~same).count() == 0
+
+
 def test_leaderboard_top(spark):
     df = spark.createDataFrame([("a", 0.1), ("b", 0.3), ("c", 0.2)], "encoder string, logme double")
     assert [r["encoder"] for r in logme.leaderboard(df, "logme", "encoder", top=2).orderBy("rank").collect()] == ["b", "c"]

@@ -161,7 +161,7 @@ def test_unknown_relations(spark):
 
 
 def test_clean_forms(spark):
-    forms = [("a­b", "a-b"), ("﻿\u0092", "[UNK]"), ("x\U000fe4fay�", "xy"), (None, "[UNK]")]
+    forms = [("a\u00adb", "a-b"), ("\ufeff\u0092", "[UNK]"), ("x\U000fe4fay\ue402\ufffd", "xy"), (None, "[UNK]")]
     df = spark.createDataFrame(forms, "form string, wanted string")
     assert df.where(text.clean_form(F.col("form")) != F.col("wanted")).count() == 0
     assert one(df.where("form IS NULL"), text.clean_form(F.col("form"), False)) == ""
@@ -250,7 +250,7 @@ def test_encoder_specs(spark):
 
 def test_recombined_pieces(spark):
     df = spark.createDataFrame(
-        [(["un", "##do", "it"], "wordpiece"), (["Ġun", "do", "Ġit"], "bpe"), ([], "bpe")], "pieces array<string>, family string"
+        [(["un", "##do", "it"], "wordpiece"), (["\u0120un", "do", "\u0120it"], "bpe"), ([], "bpe")], "pieces array<string>, family string"
     )
     got = [r["w"] for r in df.select(text.recombine_pieces(F.col("pieces"), F.col("family")).alias("w")).collect()]
     assert got == [["undo", "it"], ["undo", "it"], []]
