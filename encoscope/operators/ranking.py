@@ -46,15 +46,22 @@ def weighted_tau(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str =
         .select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
         .repartition(*keys)
     )
-    # Two sorts inside a group serve every count: by (x, y), then by (y, x).
-    for first, second, place in (("_x", "_y", "_w1"), ("_y", "_x", "_w2")):
-        ties = Window.partitionBy(*keys, first)
-        rows = rows.withColumns({f"{second}_in{first}": F.rank().over(ties.orderBy(second)) - 1})
-        rows = rows.withColumns({f"{first}s": F.count("*").over(ties)})
-        rows = rows.withColumns({f"{first}r": F.rank().over(Window.partitionBy(*keys).orderBy(first)) - 1})
-        rows = rows.withColumns({place: F.row_number().over(Window.partitionBy(*keys).orderBy(first, second))})
-    rows = rows.withColumn("_both", F.count("*").over(Window.partitionBy(*keys, "_y", "_x")))
     rows = rows.withColumn("_m", F.count("*").over(Window.partitionBy(*keys)))
+
+    def upto(share: Column) -> Column:
+        """Rows at or below, from their share of the group."""
+        return F.round(share * F.col("_m")).cast("long")
+
+    # Ranks, tie sizes and weights all come from two orders of the group and their prefixes.
+    group = Window.partitionBy(*keys)
+    for a, b, w in (("_x", "_y", "_w1"), ("_y", "_x", "_w2")):
+        full, lead = group.orderBy(a, b), group.orderBy(a)
+        rows = rows.withColumns(
+            {f"{a}p": F.rank().over(full) - 1, w: F.row_number().over(full), f"{a}q": upto(F.cume_dist().over(full))}
+        )
+        rows = rows.withColumns({f"{a}r": F.rank().over(lead) - 1, f"{a}s": upto(F.cume_dist().over(lead))})
+        rows = rows.withColumns({f"{a}s": F.col(f"{a}s") - F.col(f"{a}r"), f"{b}_in{a}": F.col(f"{a}p") - F.col(f"{a}r")})
+    rows = rows.withColumn("_both", F.col("_xq") - F.col("_xp"))
     # ranks count from the top, and rows equal in both scores may swap places
     ranked = rows.withColumns({w: 1.0 / (F.col("_m") - F.col(w) + 1) for w in ("_w1", "_w2")})
     above = F.col("_m") - F.col("_yr") - F.col("_ys")

@@ -37,17 +37,17 @@ def number_records(records: DataFrame, out: str = "idx") -> DataFrame:
     """
     records = records.withColumn("at", F.monotonically_increasing_id())
     blocks = records.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
-    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
-    starts = starts.join(file_starts(blocks.groupBy("file").agg(F.sum("_n").alias("size"))), "file")
-    at = F.col("at") - F.col("_first") + F.col("_start")
-    kept = [c for c in records.columns if c not in ("file", "block", "at")]
-    return (
-        lookup_join(records, starts.drop("_n"), ["file", "block"], "inner", spread_by=["at"])
-        .withColumn("sent", at.cast("long"))
-        .withColumn(out, (at + F.col("file_start")).cast("long"))
-        .select("file", "sent", out, *kept)
+    orders = {"sent": Window.partitionBy("file").orderBy("block"), out: Window.orderBy("file", "block")}
+    starts = blocks.withColumns(
+        {
+            f"_{name}": F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            for name, order in orders.items()
+        }
     )
+    kept = [c for c in records.columns if c not in ("file", "block", "at")]
+    joined = lookup_join(records, starts.drop("_n"), ["file", "block"], "inner", spread_by=["at"])
+    places = [(F.col("at") - F.col("_first") + F.col(f"_{name}")).cast("long").alias(name) for name in orders]
+    return joined.select("file", *places, *kept)
 
 
 def file_starts(sizes: DataFrame) -> DataFrame:
