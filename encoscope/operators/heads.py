@@ -70,6 +70,50 @@ def train_head(
         rows.unpersist()
 
 
+def train_epochs(
+    train: DataFrame,
+    dev: DataFrame,
+    index: DataFrame,
+    name: str = "mlp",
+    features: str = "features",
+    label: str = "label",
+    seed: int = 4012,
+    epochs: int = 50,
+    patience: int = 3,
+) -> tuple[Model, DataFrame]:
+    """Fit epoch by epoch, look at the dev loss after each, keep the best model, stop early.
+
+    Returns the kept model and the log ``(epoch, loss, accuracy)``. The MLP goes on from its weights;
+    the linear solver walks the same path again, one step further. Only two numbers per epoch come
+    back from the cluster.
+    """
+    width = len(train.select(features).first()[0])
+    classes = index.count()
+    rows = label_ids(train, index, label).select(as_vector(F.col(features)).alias("vector"), "label_id").persist()
+    held = dev.persist()
+    model = best = None
+    log: list[tuple[int, float, float]] = []
+    try:
+        for epoch in range(1, epochs + 1):
+            estimator = head(name)[0](width, classes, seed, 1 if name == "mlp" else epoch)
+            if name == "mlp" and model is not None:
+                estimator = estimator.setInitialWeights(model.weights)
+            model = estimator.fit(rows)
+            found = score_rows(held, model, index, features, label).agg(
+                F.avg("loss").alias("loss"), F.avg("correct").alias("accuracy")
+            ).first()
+            log.append((epoch, found["loss"], found["accuracy"]))
+            lowest = min(log, key=lambda entry: (entry[1], entry[0]))
+            if found["loss"] <= lowest[1]:
+                best = model
+            if epoch - lowest[0] >= patience:
+                break
+    finally:
+        rows.unpersist()
+        held.unpersist()
+    return best, train.sparkSession.createDataFrame(log, "epoch int, loss double, accuracy double")
+
+
 def score_rows(df: DataFrame, model: Model, index: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """Logits, predicted id and label name, correctness and loss for each row."""
     known = label_ids(df.withColumn("vector", as_vector(F.col(features))), index, label)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encoscope.operators.labels import SENTIMENT_IDS, map_constants, select_text_label, with_label_level
+from encoscope.sources.conll import number_records
 
 _CSV_READ = {"header": "true", "quote": '"', "escape": '"'}
 _CSV_WRITE = {
@@ -43,6 +44,13 @@ def read_labelled(
     return select_text_label(read_csv(spark, path, multi_line=multi_line), text, label)
 
 
+def read_numbered(spark: SparkSession, path: str, text: str = "text", label: str = "label") -> DataFrame:
+    """``(idx, text, label)`` with the position of each row, files in name order."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = read_csv(spark, path).select(*place, F.col(text).alias("text"), F.col(label).alias("label"))
+    return number_records(rows).select("idx", "text", "label")
+
+
 def read_splits(
     spark: SparkSession, train_path: str, test_path: str, text: str = "text", label: str = "label"
 ) -> DataFrame:

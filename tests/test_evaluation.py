@@ -289,6 +289,22 @@ def test_head_learns_saves_and_loads(spark, tmp_path):
         heads.head("tree")
 
 
+def test_training_by_epochs_keeps_the_best(spark):
+    rng = random.Random(4)
+    rows = [([rng.gauss(2 if k % 2 else -2, 2), rng.gauss(0, 1)], "ab"[k % 2]) for k in range(120)]
+    df = spark.createDataFrame(rows, "features array<double>, label string")
+    train, dev = df.limit(80), df
+    index = heads.class_index(train, dev)
+    for name in ("linear", "mlp"):
+        model, log = heads.train_epochs(train, dev, index, name, epochs=6, patience=2)
+        lines = log.orderBy("epoch").collect()
+        assert [r["epoch"] for r in lines] == list(range(1, len(lines) + 1))
+        kept = heads.score_rows(dev, model, index).agg(F.avg("loss")).first()[0]
+        assert kept == pytest.approx(min(r["loss"] for r in lines), abs=1e-9)
+        stop = runs.early_stop(log.withColumn("run", F.lit(name)), 2).first()
+        assert stop["stop_epoch"] == len(lines)
+
+
 def test_tag_parts(spark):
     tags = [("B-LOC", "B", "LOC"), ("I-a-b", "I", "a-b"), ("O", "O", ""), ("B-0", "B", ""), ("-x", "", "x")]
     df = spark.createDataFrame(tags, "tag string, prefix string, kind string")

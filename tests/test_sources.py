@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from encoscope import session
 from encoscope.functions import text
-from encoscope.operators import embed, leep, ranking, treebank
+from encoscope.operators import embed, leep, ranking, report, treebank
 from encoscope.sources import conll, conllu, labelled, rankings, vectors
 from encoscope.sources import leep as leep_files
 
@@ -228,6 +228,24 @@ def test_bio_files(spark, tmp_path):
     assert one(short, conll.render_bio(F.col("t"), F.col("g"))) == "a\tO\nb\tO"
 
 
+def test_scoring_files(spark, tmp_path):
+    gold, pred = [0, 0, 1, 1, 2, 2, 2, 0], [0, 1, 1, 1, 2, 0, 2, 0]
+    for name, values in (("gold", gold), ("pred", pred)):
+        lines = "".join(f'"text {k}\n{k}","{v}"\n' for k, v in enumerate(values))
+        (tmp_path / f"{name}.csv").write_text('"text","label"\n' + lines)
+    got = report.evaluate_files(spark, f"{tmp_path}/gold.csv", f"{tmp_path}/pred.csv").first()
+    assert tuple(got) == pytest.approx((75.0, 75.555556, 75.0), abs=1e-5)
+    (tmp_path / "gold.conll").write_text("a\tB-X\nb\tI-X\n\nc\tO\n")
+    (tmp_path / "pred.conll").write_text("a\tB-X\nb\tO\n\nc\tB-X\n")
+    spans = report.evaluate_files(spark, f"{tmp_path}/gold.conll", f"{tmp_path}/pred.conll").first()
+    assert spans.asDict() == {"accuracy:": 33.33, "precision:": 0.0, "recall:": 0.0, "FB1:": 0.0}
+    (tmp_path / "short.csv").write_text('"text","label"\n"x","1"\n')
+    with pytest.raises(Exception, match="differ in length"):
+        report.f1_of_files(spark, f"{tmp_path}/gold.csv", f"{tmp_path}/short.csv").collect()
+    with pytest.raises(ValueError, match="only two"):
+        report.evaluate_files(spark, "a.csv", "b.conll")
+
+
 def test_vector_files(spark, tmp_path):
     (tmp_path / "ft.vec").write_text("3 2\nUNK 0 0\na 1 2\na 3 4\nb 1 x\nc 1 2 3\n")
     words = vectors.read_encoder(spark, f"fasttext:{tmp_path}/ft.vec")
