@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,14 +28,14 @@ def bounded_rows(small: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int =
 def frequent_keys(df: DataFrame, on: Sequence[str], parts: int) -> list[tuple]:
     """Keys that hold more than an even share of the rows, with the number of shares they hold.
 
-    One pass over the key columns, combined map-side. At most ``parts`` keys can qualify.
+    A row count, then one pass over the key columns that combines map-side. Fewer than ``parts`` keys
+    can qualify.
     """
-    total = Observation()
-    counts = df.groupBy(*on).agg(F.count("*").alias("_n")).observe(total, F.sum("_n").alias("rows"))
-    top = counts.orderBy(F.desc("_n")).limit(parts).collect()
-    share = max(1, math.ceil((total.get["rows"] or 0) / parts))
-    whole = [r for r in top if all(r[k] is not None for k in on)]
-    return [(*[r[k] for k in on], math.ceil(r["_n"] / share)) for r in whole if r["_n"] > share]
+    share = max(1, math.ceil(df.count() / parts))
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in on])
+    counts = df.where(known).groupBy(*on).agg(F.count("*").alias("_n"))
+    rows = counts.where(F.col("_n") > share).collect()
+    return [(*[r[k] for k in on], math.ceil(r["_n"] / share)) for r in rows]
 
 
 def split_join(
