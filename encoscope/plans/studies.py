@@ -14,6 +14,8 @@ from encoscope.plans.data import ENCODERS
 POOL_SIZE = 7
 # Added before rounding: means of amounts in cents may lie halfway between two rounded values.
 TIE = 1e-9
+# The same for taus kept at nine digits, whose means over a few participants are multiples of 1e-10 or so.
+TAU_TIE = 3e-11
 
 
 def target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +143,8 @@ def weighted_tau_ties(spark, sf_dir):
     "tau_summary",
     f"""WITH {SQL_HUMAN}, exact AS (SELECT setup, task, round(tau, 9) + 0.0 AS tau FROM human)
 SELECT CASE WHEN grouping(setup) = 1 THEN 'overall' WHEN grouping(task) = 1 THEN 'setup' ELSE 'task' END AS level, setup, task,
-       round(atanh(avg(tanh(tau))), 6) + 0.0 AS mean, round(avg(tau), 6) + 0.0 AS plain_mean, round(min(tau), 6) + 0.0 AS lowest,
-       round(max(tau), 6) + 0.0 AS highest, count_if(tau <= 0)::BIGINT AS n_nonpositive, count_if(tau > 0.5)::BIGINT AS n_above_half,
+       round(atanh(avg(tanh(tau))), 6) + 0.0 AS mean, round(avg(tau) + 3e-11, 6) + 0.0 AS plain_mean,
+       round(min(tau) + 3e-11, 6) + 0.0 AS lowest, round(max(tau) + 3e-11, 6) + 0.0 AS highest, count_if(tau <= 0)::BIGINT AS n_nonpositive, count_if(tau > 0.5)::BIGINT AS n_above_half,
        count_if(tau > 0)::BIGINT AS n_positive
 FROM exact GROUP BY GROUPING SETS ((setup, task), (setup), ())""",
 )
@@ -150,7 +152,8 @@ def tau_summary(spark, sf_dir):
     taus = ranking.human_taus(target_scores(spark, sf_dir), survey(spark, sf_dir))
     # sums that cancel to 0 or 0.5 come out a rounding error off, and the sign counts look at those
     summary = ranking.tau_summary(taus.withColumn("tau", F.round("tau", 9)))
-    rounded = {n: F.round(n, 6) for n in ("mean", "plain_mean", "lowest", "highest")}
+    rounded = {n: F.round(F.col(n) + TAU_TIE, 6) for n in ("plain_mean", "lowest", "highest")}
+    rounded["mean"] = F.round("mean", 6)
     return summary.withColumns(rounded).select(
         "level", "setup", "task", *rounded, "n_nonpositive", "n_above_half", "n_positive"
     )
