@@ -3,26 +3,55 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 LOOKUP_ROWS = 100_000
+LITERAL_BYTES = 1 << 20
 LOOKUP_BYTES = 64 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bounded_rows(small: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> DataFrame | None:
-    """``small`` as an in-memory frame if its rows and bytes are within the bounds, else None.
+    """``small`` as an in-memory frame if its rows and bytes are within the bounds, else None."""
+    rows = fetch_bounded(small, max_rows, max_bytes)
+    return None if rows is None else small.sparkSession.createDataFrame(rows, small.schema)
 
-    At most ``max_rows + 1`` rows are fetched; the plan below ``small`` runs once.
+
+def fetch_bounded(small: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> pa.Table | None:
+    """The rows of ``small`` if they are within the bounds, else None; its plan runs once.
+
+    Each partition is packed by a task that stops at the bounds, and the driver takes one partition
+    after the other until a bound is passed, so it never holds more than twice ``max_bytes``.
     """
-    rows = small.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
-        return None
-    return small.sparkSession.createDataFrame(rows, small.schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, writer, rows, size = pa.BufferOutputStream(), None, 0, 0
+        for batch in batches:
+            step = max(1, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                if rows <= max_rows and size <= max_bytes:
+                    part = batch.slice(at, step)
+                    writer = writer or pa.ipc.new_stream(sink, part.schema)
+                    writer.write_batch(part)
+                    rows, size = rows + part.num_rows, size + part.nbytes
+        if writer is not None:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["packed"])
+
+    held, rows, size = [], 0, 0
+    for row in small.mapInArrow(pack, "packed binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(row["packed"]).read_all())
+        rows, size = rows + held[-1].num_rows, size + held[-1].nbytes
+        if rows > max_rows or size > max_bytes:
+            return None
+    return pa.concat_tables(held) if held else to_arrow_schema(small.schema).empty_table()
 
 
 def frequent_keys(df: DataFrame, on: Sequence[str], parts: int) -> list[tuple]:
@@ -82,10 +111,11 @@ def lookup_join(
 
 
 def literal_map(small: DataFrame, key: str, value: str, max_rows: int = 10_000) -> Column | None:
-    """A lookup table as a map literal for use inside array expressions; None beyond ``max_rows``."""
-    rows = small.select(key, value).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    """A lookup table as a map literal for use inside array expressions; None beyond the bounds."""
+    held = fetch_bounded(small.select(key, value), max_rows, LITERAL_BYTES)
+    if held is None:
         return None
+    rows = list(zip(*(c.to_pylist() for c in held.columns)))
     keys = F.array(*[F.lit(r[0]) for r in rows]).cast(f"array<{small.schema[key].dataType.simpleString()}>")
     values = F.array(*[F.lit(r[1]) for r in rows]).cast(
         f"array<{small.schema[value].dataType.simpleString()}>"

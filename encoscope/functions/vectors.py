@@ -90,3 +90,13 @@ def pooling(name: str, registry: dict | None = None):
     if name not in registry:
         raise ValueError(f"unknown pooling {name!r}; expected one of {sorted(registry)}")
     return registry[name]
+
+
+def fold(vec: Column, parts: int) -> Column:
+    """``parts`` sums (double): the k-th takes every ``parts``-th value of a vector, from the k-th on."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(parts - 1)),
+        lambda k: F.aggregate(
+            F.filter(vec, lambda _, i: F.pmod(i, F.lit(parts)) == k), F.lit(0.0), lambda total, x: total + x.cast("double")
+        ),
+    )

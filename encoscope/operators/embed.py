@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from encoscope.functions.lookups import bounded_rows, lookup_join
 from encoscope.functions.vectors import array_mean_pool, pooling
+from encoscope.functions.workers import function_key, per_worker
 
 # Fixed value: the vocabulary entry that stands for unknown words.
 UNKNOWN_WORD = "UNK"
@@ -132,13 +133,14 @@ def words_without_pieces(words: DataFrame, sequences: DataFrame, keys: Sequence[
 def embed_texts(
     df: DataFrame, factory: Callable[[], Callable], text: str = "text", out: str = "features", keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """Vectors from a user model: ``factory()`` is called once per task and gives a function from a
-    list of texts (or token lists) to a 2-D array. Texts go through in Arrow batches."""
+    """Vectors from a user model: ``factory()`` is called once per Python worker and gives a function
+    from a list of texts (or token lists) to a 2-D array. Texts go through in Arrow batches."""
+    name = function_key(factory)
     kept = [c for c in df.columns if c != text] if keep is None else list(keep)
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"`{out}` array<double>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = per_worker(("model", name), factory)
         for batch in batches:
             if len(batch):
                 vectors = model(batch[text].tolist())

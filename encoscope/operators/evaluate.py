@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,11 +13,13 @@ from encoscope.functions.vectors import argmax0, cross_entropy
 
 
 def align(gold: DataFrame, pred: DataFrame, on: Sequence[str], strict: bool = True) -> DataFrame:
-    """Meet gold and predictions on unique row keys; rows found on one side only are an error.
+    """Meet gold and predictions on row keys; rows found on one side only are an error.
 
-    Non-strict, they stay with NULLs on the missing side.
+    Non-strict, they stay with NULLs on the missing side. A key that comes twice on a side is an error
+    in either case; it is noticed in the sort that the join makes anyway.
     """
     on = list(on)
+    gold, pred = _unique(gold, on, "gold"), _unique(pred, on, "predictions")
     both = gold.withColumn("_in_gold", F.lit(True)).join(pred.withColumn("_in_pred", F.lit(True)), on, "full_outer")
     whole = F.col("_in_gold").isNotNull() & F.col("_in_pred").isNotNull()
     if strict:
@@ -25,6 +27,12 @@ def align(gold: DataFrame, pred: DataFrame, on: Sequence[str], strict: bool = Tr
     return both.drop("_in_gold", "_in_pred")
 
 
+def _unique(df: DataFrame, on: list[str], what: str) -> DataFrame:
+    twice = F.raise_error(F.lit(f"a row key comes twice in {what}")).cast("boolean")
+    counted = df.withColumn("_n", F.count("*").over(Window.partitionBy(*on)))
+    return counted.where(F.when(F.col("_n") == 1, True).otherwise(twice)).drop("_n")
+
+
 def label_pairs(df: DataFrame, gold: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
     """Token pairs of two label arrays; arrays of unequal length are an error."""
     zipped = F.arrays_zip(F.col(gold).alias("gold"), F.col(pred).alias("pred"))

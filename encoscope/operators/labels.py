@@ -93,26 +93,31 @@ def map_label_arrays(
 ) -> DataFrame:
     """Replace each element of a label array by its mapped value; a missing key is an error.
 
-    A label map small enough to be a literal is applied inside the row. A larger one is joined in
-    long form and the arrays are put together again by ``row_id``.
+    A NULL array stays NULL, an empty one empty; a NULL element is an unknown label.
+
+    A label map small enough to be a literal is applied inside the row. A larger one is joined with the
+    elements of the distinct arrays, which then meet the rows by their whole array, so rows need no id
+    of their own (``row_id`` only spreads them).
     """
+    kind = mapping.schema[value].dataType
+
+    def known(found: Column, name: Column) -> Column:
+        message = F.concat(F.lit("unknown label "), F.coalesce(name.cast("string"), F.lit("NULL")))
+        return F.when(found.isNotNull(), found).otherwise(F.raise_error(message).cast(kind))
+
     literal = literal_map(mapping, key, value)
     if literal is not None:
-        def look(x: Column) -> Column:
-            found = F.try_element_at(literal, x)
-            failed = F.raise_error(F.concat(F.lit("unknown label "), x.cast("string")))
-            return F.when(found.isNotNull(), found).otherwise(failed.cast(mapping.schema[value].dataType))
-
-        return df.withColumn(out, F.transform(F.col(arr), look))
-    long = df.select(*row_id, F.posexplode(arr).alias("_pos", key))
+        return df.withColumn(out, F.transform(F.col(arr), lambda x: known(F.try_element_at(literal, x), x)))
+    arrays = df.select(F.col(arr).alias("_arr")).distinct()
+    long = arrays.where(F.size("_arr") > 0).select("_arr", F.posexplode("_arr").alias("_pos", key))
     joined = lookup_join(long, mapping.select(key, F.col(value).alias("_value")), key)
-    missing = F.raise_error(F.lit("unknown label in array"))
-    checked = F.when(F.col("_value").isNull(), missing.cast(mapping.schema[value].dataType)).otherwise(F.col("_value"))
-    arrays = joined.groupBy(*row_id).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", checked.alias("_v")))), lambda s: s["_v"]).alias(out)
+    checked = joined.select("_arr", "_pos", known(F.col("_value"), F.col(key)).alias("_v"))
+    mapped = checked.groupBy("_arr").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda s: s["_v"]).alias(out)
     )
-    empty = F.array().cast(f"array<{mapping.schema[value].dataType.simpleString()}>")
-    return df.join(arrays, list(row_id), "left").withColumn(out, F.coalesce(F.col(out), empty))
+    empty = F.array().cast(f"array<{kind.simpleString()}>")
+    found = df.join(mapped.withColumnRenamed("_arr", arr), arr, "left")
+    return found.withColumn(out, F.when(F.size(arr) == 0, empty).otherwise(F.col(out))).select(*df.columns, out)
 
 
 def map_constants(value: Column, ids: dict[str, int]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from encoscope.functions.lookups import lookup_join, split_join
+from encoscope.functions.lookups import fetch_bounded, lookup_join, split_join
 from encoscope.functions.vectors import argmax0, dot
 from encoscope.operators.stats import sufficient_stats
 
@@ -251,24 +251,27 @@ def predict(
 ) -> DataFrame:
     """Add ``prediction``: the class with the largest posterior-mean logit, or all logits.
 
-    The fitted models (E x C x D numbers, checked against ``max_cells``) travel to the tasks;
-    products run as one matrix multiplication per Arrow batch and encoder.
+    A row without features, or of an encoder without a model, gets NULL. The fitted models (E x C x D
+    numbers, fetched in one pass that stops at ``max_cells``) travel to the tasks; products run as one
+    matrix multiplication per Arrow batch and encoder. Larger models meet the rows in a join.
     """
     keys = list(keys)
-    size = models.agg(F.sum(F.size("m")).alias("cells")).first()["cells"] or 0
-    if size > max_cells:
+    fetched = fetch_bounded(models.select(*keys, "class", "m"), max_cells, 8 * max_cells)
+    if fetched is None:
         return _predict_by_join(df, models, features, keys, regression)
     held: dict[tuple, np.ndarray] = {}
-    for key, part in models.select(*keys, "class", "m").toPandas().groupby(keys, sort=False):
+    for key, part in fetched.to_pandas().groupby(keys, sort=False):
         held[key if isinstance(key, tuple) else (key,)] = np.stack(part.sort_values("class")["m"].to_list())
     kind = "array<double>" if regression else "int"
 
     @F.pandas_udf(kind)
     def apply_model(values: pd.Series, key: pd.DataFrame) -> pd.Series:
         out = np.full(len(values), None, dtype=object)
+        given = values.notna().to_numpy()
         for name, rows in key.groupby(list(key.columns), sort=False).indices.items():
             matrix = held.get(name if isinstance(name, tuple) else (name,))
-            if matrix is None:
+            rows = rows[given[rows]]
+            if matrix is None or not len(rows):
                 continue
             logits = np.stack(values.to_numpy()[rows]).astype(float) @ matrix.T
             if regression:

@@ -18,16 +18,16 @@ def position_scores(df: DataFrame, keys: Sequence[str], score: Column, name: str
 def survey_scores(blocks: DataFrame, models: int) -> DataFrame:
     """``(participant, task_idx, ranking array)`` to ``(participant, task_idx, model, score)``.
 
-    A model named twice counts at its first place.
+    A model named twice counts at its first place; places left empty name none.
     """
-    rows = blocks.select("participant", "task_idx", F.posexplode("ranking").alias("_pos", "model"))
+    rows = blocks.select("participant", "task_idx", F.posexplode("ranking").alias("_pos", "model")).where("model IS NOT NULL")
     return rows.groupBy("participant", "task_idx", "model").agg(
         (F.lit(models) - F.min("_pos") - 1).cast("long").alias("score")
     )
 
 
 def duplicate_choices(blocks: DataFrame, models: int) -> DataFrame:
-    """Survey blocks in which some model was chosen more than once."""
+    """Survey blocks in which some model was chosen more than once, or that do not name them all."""
     return blocks.where(F.size(F.array_distinct("ranking")) != models)
 
 
@@ -123,16 +123,25 @@ def tau_summary(taus: DataFrame, tau: str = "tau") -> DataFrame:
 
 
 def human_taus(target: DataFrame, survey: DataFrame, gold: str = "f1") -> DataFrame:
-    """Tau of each participant with the gold scores: ``(setup, task, participant, tau)``."""
+    """Tau of each participant with the gold scores: ``(setup, task, participant, n_models, tau, n_missing)``.
+
+    ``n_missing`` counts models of the task that the participant does not rank.
+    """
     joined = target.select("setup", "task", "model", gold).join(survey, ["task", "model"])
-    return weighted_tau(joined, ["setup", "task", "participant"], gold, "score")
+    return _with_missing(weighted_tau(joined, ["setup", "task", "participant"], gold, "score"), target, gold)
 
 
 def majority_taus(target: DataFrame, survey: DataFrame, gold: str = "f1") -> DataFrame:
-    """Tau of the summed human scores with the gold scores: ``(setup, task, tau)``."""
+    """Tau of the summed human scores with the gold scores: ``(setup, task, n_models, tau, n_missing)``."""
     summed = survey.groupBy("task", "model").agg(F.sum("score").alias("score"))
     joined = target.select("setup", "task", "model", gold).join(summed, ["task", "model"])
-    return weighted_tau(joined, ["setup", "task"], gold, "score")
+    return _with_missing(weighted_tau(joined, ["setup", "task"], gold, "score"), target, gold)
+
+
+def _with_missing(taus: DataFrame, target: DataFrame, gold: str) -> DataFrame:
+    """Adds how many models of a task the ranking behind each tau lacks."""
+    pool = target.where(F.col(gold).isNotNull()).groupBy("setup", "task").agg(F.count("*").alias("_pool"))
+    return taus.join(pool, ["setup", "task"]).withColumn("n_missing", F.col("_pool") - F.col("n_models")).drop("_pool")
 
 
 def logme_taus(target: DataFrame, gold: str = "f1", logme: str = "logme") -> DataFrame:

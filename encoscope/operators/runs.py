@@ -70,20 +70,26 @@ def over_seeds(results: DataFrame, keys: Sequence[str], value: str = "value") ->
     )
 
 
-def run_all(runs: DataFrame, execute, limit: int = 10_000) -> tuple[DataFrame, int]:
+RUN_RESULT = "task string, encoder string, pooling string, head string, seed int, value double, error string"
+
+
+def run_all(runs: DataFrame, execute, registry: str | None = None) -> DataFrame:
     """Carry pending runs out one after the other; each one is a distributed job of its own.
 
-    ``execute(row)`` returns a metric value. A failing run is counted and skipped.
+    ``execute(row)`` returns a metric value. Gives one row a run: ``value``, or the ``error`` of a run
+    that failed, which does not stop the others. Each success is appended to the ``registry`` folder as
+    it ends, so a driver that is lost repeats one run at most. Runs are fetched one partition at a time.
     """
     spark: SparkSession = runs.sparkSession
-    rows = runs.orderBy(*RUN_KEYS).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} runs in one grid")
-    done, errors = [], 0
-    for row in rows:
+    done = []
+    for row in runs.orderBy(*RUN_KEYS).toLocalIterator():
+        key = [row[k] for k in RUN_KEYS]
         try:
-            done.append((*[row[k] for k in RUN_KEYS], float(execute(row))))
-        except Exception:  # noqa: BLE001
-            errors += 1
-    schema = "task string, encoder string, pooling string, head string, seed int, value double"
-    return spark.createDataFrame(done, schema), errors
+            done.append((*key, float(execute(row)), None))
+        except Exception as err:  # noqa: BLE001  the failure is part of the result
+            done.append((*key, None, f"{type(err).__name__}: {err}"))
+            continue
+        if registry is not None:
+            finished = spark.createDataFrame(done[-1:], RUN_RESULT).select(*RUN_KEYS)
+            finished.coalesce(1).write.mode("append").parquet(registry)
+    return spark.createDataFrame(done, RUN_RESULT)

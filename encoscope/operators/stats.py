@@ -41,8 +41,10 @@ def sufficient_stats(
     ``target``: the plain sum of target ``i``, in ``n``.
     ``total``: row count and feature sum.
 
-    ``max_partials`` bounds the number of partial matrices that are shuffled; the default is eight
-    per core, so that matrix traffic does not grow with the number of input splits.
+    A row without features, or without the label or targets asked for, is an error.
+
+    Each task shuffles one partial matrix per group: D * D / 2 numbers for an input split, a few
+    hundredths of it at usual widths. ``max_partials`` merges input splits where features are wider.
     """
     keys = list(keys)
     response = targets if targets is not None else label
@@ -53,9 +55,13 @@ def sufficient_stats(
         wanted.append(F.col(targets).cast("array<double>").alias("_y"))
     elif response is not None:
         wanted.append(F.col(label).cast("long").alias("_y"))
-    slim = df.where(F.col(features).isNotNull()).select(*wanted)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    slim = slim.coalesce(max_partials or 8 * cores)
+    slim = df.select(*wanted)
+    for name, what in (("_f", features), ("_y", targets or label)):
+        if name in slim.columns:
+            failed = F.raise_error(F.lit(f"NULL in {what}: leave such rows out before")).cast(slim.schema[name].dataType)
+            slim = slim.withColumn(name, F.when(F.col(name).isNull(), failed).otherwise(F.col(name)))
+    if max_partials is not None:
+        slim = slim.coalesce(max_partials)
 
     out_schema = T.StructType(
         [df.schema[k] for k in keys]
@@ -97,9 +103,9 @@ def sufficient_stats(
                     size += acc.gram.nbytes
                 part = None if y is None else (y if rows is None else y[rows])
                 size += acc.add(f, part, regression)
-            if size > ACCUMULATOR_BYTES:
-                yield from _emit(held, key_types)
-                held, size = {}, 0
+                if size > ACCUMULATOR_BYTES:
+                    yield from _emit(held, key_types)
+                    held, size = {}, 0
         if held:
             yield from _emit(held, key_types)
 

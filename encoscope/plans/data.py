@@ -54,6 +54,12 @@ def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("pred", pred).drop("_kinds", "_before")
 
 
+def fold_sql(parts: int, part: int, vec: str = "embedding", value: str = "x::DOUBLE") -> str:
+    """Sum of every ``parts``-th value of a vector."""
+    kept = f"list_filter({vec}, lambda x, i: (i - 1) % {parts} = {part})"
+    return f"list_sum(list_transform({kept}, lambda x: {value}))"
+
+
 SQL_TOKENS = f"""
 sents AS (SELECT conv_id, turn, {sql_tokens('text')} AS toks FROM conversations),
 toks AS (SELECT conv_id, turn, i - 1 AS pos, toks[i] AS token FROM sents, unnest(range(1, len(toks) + 1)) AS r(i))"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from encoscope.functions.lookups import lookup_join
 from encoscope.functions.text import recombine_pieces, whitespace_tokens
-from encoscope.functions.vectors import array_sum
+from encoscope.functions.vectors import array_sum, fold
 from encoscope.operators import embed, leep
 from encoscope.plans import query, table, texts
 from encoscope.plans.data import SQL_TOKENS, sql_tokens
@@ -40,7 +40,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_VOCABULARY = f"""
 words AS (SELECT DISTINCT unnest({sql_tokens('text')}) AS word FROM benchmark UNION SELECT 'UNK'),
-vocab AS (
+vocab AS MATERIALIZED (
   SELECT word, embedding AS vec FROM words
   JOIN embeddings ON vec_id = ('0x' || left(md5(word), 8))::BIGINT % (SELECT count(*) FROM embeddings)
 )"""
@@ -59,7 +59,8 @@ def conversation_tokens(spark, sf_dir):
 @query(
     "token_vectors",
     f"""WITH {SQL_TOKEN_VECTORS}
-SELECT conv_id, turn, pos::INT AS pos, known, round(vec[1]::DOUBLE, 6) AS v_first, round(vec[len(vec)]::DOUBLE, 6) AS v_last FROM vectors""",
+SELECT conv_id, turn, pos::INT AS pos, known, round(vec[1]::DOUBLE, 6) AS v_first, round(vec[len(vec)]::DOUBLE, 6) AS v_last,
+       round(list_sum(list_transform(vec, lambda x: x::DOUBLE)), 6) + 0.0 AS v_sum FROM vectors""",
 )
 def token_vectors(spark, sf_dir):
     rows = embed.token_rows(conversation_tokens(spark, sf_dir), ["conv_id", "turn"])
@@ -71,6 +72,7 @@ def token_vectors(spark, sf_dir):
         "known",
         F.round(F.element_at("vec", 1).cast("double"), 6).alias("v_first"),
         F.round(F.element_at("vec", -1).cast("double"), 6).alias("v_last"),
+        F.round(array_sum(F.col("vec").cast("array<double>")), 6).alias("v_sum"),
     )
 
 
@@ -142,8 +144,11 @@ pieces AS (
 ids AS (
   SELECT text, ('0x' || left(md5(text), 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT DISTINCT text FROM pieces) AS t
 ),
-inventory AS (SELECT text, embedding[1]::DOUBLE AS x, embedding[len(embedding)]::DOUBLE AS y FROM ids JOIN embeddings USING (vec_id)),
-with_vec AS (SELECT p.*, x, y FROM pieces p JOIN inventory i ON i.text = p.text)"""
+inventory AS (
+  SELECT text, embedding[1]::DOUBLE AS x, embedding[len(embedding)]::DOUBLE AS y,
+         list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM ids JOIN embeddings USING (vec_id)
+),
+with_vec AS (SELECT p.*, x, y, s FROM pieces p JOIN inventory i ON i.text = p.text)"""
 
 
 @query(
@@ -159,9 +164,10 @@ def subword_word_index(spark, sf_dir):
     "subword_to_word_mean",
     f"""WITH {SQL_PIECES}
 SELECT conv_id, turn, pos::INT AS pos, count(*)::BIGINT AS n_pieces, round(avg(x), 6) + 0.0 AS v_first,
-       round(avg(y), 6) + 0.0 AS v_last FROM with_vec GROUP BY 1, 2, 3
+       round(avg(y), 6) + 0.0 AS v_last, round(avg(s), 5) + 0.0 AS v_sum FROM with_vec GROUP BY 1, 2, 3
 UNION ALL
-SELECT conv_id, turn, -1, 1, round(e.embedding[1]::DOUBLE, 6), round(e.embedding[len(e.embedding)]::DOUBLE, 6)
+SELECT conv_id, turn, -1, 1, round(e.embedding[1]::DOUBLE, 6), round(e.embedding[len(e.embedding)]::DOUBLE, 6),
+       round(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE)), 5) + 0.0
 FROM conversations JOIN embeddings e ON vec_id = ('0x' || left(md5('[CLS]'), 8))::BIGINT % (SELECT count(*) FROM embeddings)""",
 )
 def subword_to_word_mean(spark, sf_dir):
@@ -174,6 +180,7 @@ def subword_to_word_mean(spark, sf_dir):
         "n_pieces",
         F.round(F.element_at("vec", 1), 6).alias("v_first"),
         F.round(F.element_at("vec", -1), 6).alias("v_last"),
+        F.round(array_sum(F.col("vec")), 5).alias("v_sum"),
     )
 
 
@@ -202,7 +209,7 @@ def subword_recombine(spark, sf_dir):
 
 
 def hashing_encoder():
-    """A toy model: token counts in sixteen hash buckets."""
+    """A toy model: token counts in sixteen hash buckets. What it remembers is bounded."""
     known: dict[str, int] = {}
 
     def encode(texts):
@@ -211,6 +218,8 @@ def hashing_encoder():
             for token in tokens:
                 bucket = known.get(token)
                 if bucket is None:
+                    if len(known) >= 100_000:
+                        known.clear()
                     bucket = known[token] = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % BUCKETS
                 out[row, bucket] += 1
         return out
@@ -232,16 +241,18 @@ def embed_callable(spark, sf_dir):
 
 
 def theta_rows(spark, sf_dir):
-    """Source distribution over five classes from the first dimensions, three target classes."""
+    """Source distribution over five classes from the sizes of all dimensions, three target classes."""
+    sizes = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     rows = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: F.abs(x.cast("double"))).alias("a"), F.pmod("label", F.lit(3)).cast("string").alias("gold")
+        "vec_id", fold(sizes, 5).alias("a"), F.pmod("label", F.lit(3)).cast("string").alias("gold")
     )
     rows = rows.withColumn("_sum", array_sum(F.col("a")))
     return rows.select("vec_id", "gold", F.transform("a", lambda x: x / F.col("_sum")).alias("theta"))
 
 
 SQL_THETA = """
-abs5 AS (SELECT vec_id, (label % 3)::VARCHAR AS y, i - 1 AS z, abs(embedding[i]::DOUBLE) AS a FROM embeddings, unnest(range(1, 6)) AS r(i)),
+abs5 AS (SELECT vec_id, (label % 3)::VARCHAR AS y, (i - 1) % 5 AS z, sum(abs(embedding[i]::DOUBLE)) AS a
+         FROM embeddings, unnest(range(1, len(embedding) + 1)) AS r(i) GROUP BY 1, 2, 3),
 theta AS (SELECT vec_id, y, z, a / sum(a) OVER (PARTITION BY vec_id) AS p FROM abs5),
 joint AS (SELECT y, z, sum(p) / (SELECT count(*) FROM embeddings) AS p FROM theta GROUP BY 1, 2),
 cond AS (SELECT y, z, p / sum(p) OVER (PARTITION BY z) AS p FROM joint)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from encoscope.functions.text import tag_prefix, tag_type
-from encoscope.functions.vectors import softmax
+from encoscope.functions.vectors import fold, softmax
 from encoscope.operators import chunks, evaluate
 from encoscope.plans import query, table
 from encoscope.plans.data import SQL_TAGS, tagged_sentences
@@ -173,17 +173,17 @@ def batch_assignment(spark, sf_dir):
 
 
 def logit_rows(spark, sf_dir):
-    """Ten logits per vector from its first dimensions; label 9 stands for an ignored position."""
+    """Ten logits per vector, each from every tenth dimension; label 9 stands for an ignored position."""
     rows = table(spark, sf_dir, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 8)
+    logits = F.transform(fold(F.col("embedding"), 10), lambda x: x * 8)
     label = F.when(F.col("label") == 9, -1).otherwise(F.col("label"))
     return evaluate.head_metrics(rows.select("vec_id", logits.alias("logits"), label.alias("label")))
 
 
 SQL_LOGITS = """
 cells AS (
-  SELECT vec_id, CASE WHEN label = 9 THEN -1 ELSE label END AS label, i - 1 AS k, embedding[i]::DOUBLE * 8 AS z
-  FROM embeddings, unnest(range(1, 11)) AS r(i)
+  SELECT vec_id, CASE WHEN label = 9 THEN -1 ELSE label END AS label, (i - 1) % 10 AS k, sum(embedding[i]::DOUBLE) * 8 AS z
+  FROM embeddings, unnest(range(1, len(embedding) + 1)) AS r(i) GROUP BY 1, 2, 3
 ),
 head AS (
   SELECT vec_id, any_value(label) AS label, (arg_min(k, (-z, k)))::INT AS pred, ln(sum(exp(z))) AS lse,

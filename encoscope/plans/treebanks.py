@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encoscope.functions.text import whitespace_tokens
+from encoscope.functions.vectors import fold
 from encoscope.operators import labels, treebank
 from encoscope.plans import query, table, texts
-from encoscope.plans.data import SQL_TOKENS
+from encoscope.plans.data import SQL_TOKENS, fold_sql
 from encoscope.sources import conllu
 
 # Genre and language of the three files that the roles stand for.
@@ -27,9 +28,11 @@ def conllu_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", "role", whitespace_tokens(F.col("text")).alias("tokens")
     ).where(F.size("tokens") > 0)
     files = F.create_map(*[F.lit(x) for pair in ROLE_FILES.items() for x in pair])
+    # wider than any turn number, so that the pair of ids becomes one in the same order
+    span = table(spark, sf_dir, "conversations").agg(F.coalesce(F.max("turn") + 1, F.lit(1))).first()[0]
     rows = rows.select(
         F.element_at(files, F.col("role")).alias("file"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
+        (F.col("conv_id") * span + F.col("turn")).alias("ord"),
         "conv_id",
         "turn",
         "role",
@@ -79,7 +82,7 @@ def meta_rows(spark) -> DataFrame:
 
 SQL_FILES = f"""{SQL_TOKENS},
 roles AS (
-  SELECT s.conv_id, s.turn, s.conv_id * 1000 + s.turn AS ord, c.role, s.toks, (length(toks[1]) >= 6)::INT AS shift,
+  SELECT s.conv_id, s.turn, (s.conv_id, s.turn) AS ord, c.role, s.toks, (length(toks[1]) >= 6)::INT AS shift,
          CASE c.role WHEN 'assistant' THEN 'en_assistant-ud-test.conllu' WHEN 'system' THEN 'en_system-ud-dev.conllu'
                      ELSE 'fr_user-ud-train.conllu' END AS file
   FROM sents s JOIN conversations c ON c.conv_id = s.conv_id AND c.turn = s.turn WHERE len(s.toks) > 0
@@ -280,15 +283,15 @@ def conllu_filter(spark, sf_dir):
     "conllu_distribution_filter",
     f"""WITH {SQL_FILES}, {SQL_INDEX},
 dist AS (
-  SELECT vec_id, CASE WHEN embedding[1] >= greatest(embedding[2], embedding[3]) THEN 'web'
-                      WHEN embedding[2] >= embedding[3] THEN 'legal' ELSE 'spoken' END AS domain FROM embeddings
+  SELECT vec_id, CASE WHEN a >= greatest(b, c) THEN 'web' WHEN b >= c THEN 'legal' ELSE 'spoken' END AS domain
+  FROM (SELECT vec_id, {fold_sql(3, 0)} AS a, {fold_sql(3, 1)} AS b, {fold_sql(3, 2)} AS c FROM embeddings) AS folded
 )
 SELECT conv_id, turn, coalesce(domain IN ('web', 'spoken'), false) AS kept FROM placed LEFT JOIN dist ON vec_id = idx""",
 )
 def conllu_distribution_filter(spark, sf_dir):
-    """Sentences kept by the most probable domain of a distribution per corpus index."""
+    """Sentences kept by the most probable domain of a distribution per corpus index (every third dimension summed)."""
     rows = treebank.corpus_index(conllu_records(spark, sf_dir), "ord").drop("record")
-    dist = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.slice("embedding", 1, 3).alias("dist"))
+    dist = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), fold(F.col("embedding"), 3).alias("dist"))
     return treebank.distribution_filter(rows, dist, ["web", "legal", "spoken"], ["web", "spoken"]).select("conv_id", "turn", "kept")
 
 

@@ -187,8 +187,9 @@ def parse_readme(text: Column) -> Column:
 def read_directory(spark: SparkSession, path: str, line_sep: str = "\n\n") -> tuple[DataFrame, DataFrame]:
     """A folder of ``UD_Language-Name`` folders: sentences and the metadata of each file.
 
-    Metadata (``file, language, treebank, meta``) come from folder names and READMEs; READMEs are a
-    few kilobytes per treebank.
+    Metadata (``file, language, treebank, meta``) come from folder names and READMEs. ``meta`` holds
+    ``Language`` and ``Treebank`` of the folder name and the keys of the README, which win; READMEs are
+    a few kilobytes per treebank.
     """
     sentences = read_conllu(spark, f"{path}/UD_*-*", line_sep=line_sep)
     readmes = spark.read.option("pathGlobFilter", "README*").text(f"{path}/UD_*-*", wholetext=True)
@@ -199,10 +200,13 @@ def read_directory(spark: SparkSession, path: str, line_sep: str = "\n\n") -> tu
     files = listed.select(F.col("_metadata.file_path").alias("file")).withColumn("folder", folder(F.col("file")))
     named = files.withColumn("_d", directory_meta(F.col("file"))).where("_d IS NOT NULL")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    joined = named.join(meta, "folder", "left").select(
-        "file", F.col("_d.language").alias("language"), F.col("_d.treebank").alias("treebank"), F.coalesce("meta", empty).alias("meta")
+    own = F.create_map(F.lit("Language"), F.col("_d.language"), F.lit("Treebank"), F.col("_d.treebank"))
+    joined = named.join(meta, "folder", "left").withColumn("_given", F.coalesce("meta", empty))
+    rest = F.map_filter(own, lambda k, v: ~F.map_contains_key("_given", k))
+    joined = joined.select("file", F.map_concat("_given", rest).alias("meta"))
+    return sentences, joined.select(
+        "file", F.element_at("meta", "Language").alias("language"), F.element_at("meta", "Treebank").alias("treebank"), "meta"
     )
-    return sentences, joined
 
 
 def with_meta(sentences: DataFrame, meta: DataFrame) -> DataFrame:

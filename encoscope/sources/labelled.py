@@ -44,19 +44,21 @@ def read_labelled(
     return select_text_label(read_csv(spark, path, multi_line=multi_line), text, label)
 
 
-def read_numbered(spark: SparkSession, path: str, text: str = "text", label: str = "label") -> DataFrame:
+def read_numbered(
+    spark: SparkSession, path: str, text: str = "text", label: str = "label", multi_line: bool = True
+) -> DataFrame:
     """``(idx, text, label)`` with the position of each row, files in name order."""
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    rows = read_csv(spark, path).select(*place, F.col(text).alias("text"), F.col(label).alias("label"))
+    rows = read_csv(spark, path, multi_line=multi_line).select(*place, F.col(text).alias("text"), F.col(label).alias("label"))
     return number_records(rows).select("idx", "text", "label")
 
 
 def read_splits(
-    spark: SparkSession, train_path: str, test_path: str, text: str = "text", label: str = "label"
+    spark: SparkSession, train_path: str, test_path: str, text: str = "text", label: str = "label", multi_line: bool = True
 ) -> DataFrame:
     """Train and test CSV files as one frame with a ``split`` column."""
     parts = [
-        read_labelled(spark, path, text, label).withColumn("split", F.lit(name))
+        read_labelled(spark, path, text, label, multi_line).withColumn("split", F.lit(name))
         for name, path in (("train", train_path), ("test", test_path))
     ]
     return parts[0].unionByName(parts[1])
@@ -71,15 +73,20 @@ def read_dataset(spark: SparkSession, name: str, split: str, text: str = "text",
     return select_text_label(saved.where(F.col("split") == split), text, label)
 
 
-def read_with_level(spark: SparkSession, path: str) -> DataFrame:
+def read_with_level(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A labelled CSV with ``labels`` arrays at the level found in the file."""
-    return with_label_level(read_labelled(spark, path))
+    return with_label_level(read_labelled(spark, path, multi_line=multi_line))
 
 
-def read_tweets(spark: SparkSession, path: str, text: str = "text", sentiment: str = "airline_sentiment") -> DataFrame:
-    """Tweets with a sentiment name, as ``(text, label)`` with integer labels."""
-    rows = read_csv(spark, path)
-    return rows.select(F.col(text).alias("text"), map_constants(F.col(sentiment), SENTIMENT_IDS).alias("label"))
+def read_tweets(
+    spark: SparkSession, path: str, text: str = "text", sentiment: str = "airline_sentiment", multi_line: bool = True
+) -> DataFrame:
+    """Tweets with a sentiment name, as ``(text, label)`` with integer labels; another name is an error."""
+    rows = read_csv(spark, path, multi_line=multi_line)
+    found = map_constants(F.col(sentiment), SENTIMENT_IDS)
+    message = F.concat(F.lit("unknown sentiment "), F.coalesce(F.col(sentiment), F.lit("NULL")))
+    label = F.when(found.isNull(), F.raise_error(message).cast("int")).otherwise(found)
+    return rows.select(F.col(text).alias("text"), label.alias("label"))
 
 
 def _flat(column: Column, kind: str) -> Column:

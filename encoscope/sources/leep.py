@@ -26,7 +26,8 @@ def _header(line: str) -> list[str]:
 def read_leep(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
     """Rows ``(theta, gold)`` with the target labels and the source labels, in file order.
 
-    Labels are compared as text without quotes; a gold label outside the target labels is an error.
+    Labels are compared as text without quotes. A gold label outside the target labels is an error, as
+    is a line that is neither an instance nor a comment.
     """
     lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where("trim(value) <> ''")
     numbered = lines.withColumn("at", F.monotonically_increasing_id())
@@ -34,7 +35,10 @@ def read_leep(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], lis
     if len(heads) != 2:
         raise ValueError("a LEEP file begins with two label lines")
     targets, sources = _header(heads[0]["value"]), _header(heads[1]["value"])
-    rows = lines.where(F.col("value").rlike(ROW)).select(
+    shape = F.col("value").rlike(ROW)
+    strange = F.raise_error(F.concat(F.lit("no instance and no label line: "), F.col("value"))).cast("boolean")
+    body = lines.where(F.when(shape, True).when(F.startswith("value", F.lit("#")), False).otherwise(strange))
+    rows = body.select(
         F.transform(F.split(F.regexp_extract("value", ROW, 1), r",\s*", -1), lambda x: x.cast("double")).alias("theta"),
         _unquoted(F.regexp_extract("value", ROW, 2)).alias("gold"),
     )

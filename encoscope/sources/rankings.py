@@ -20,12 +20,15 @@ def read_target_rankings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_survey(spark: SparkSession, path: str, models: int) -> DataFrame:
-    """``(participant, task_idx, ranking)``: a block of ``models`` names per task, best first."""
+    """``(participant, task_idx, ranking)``: a block of ``models`` names per task, best first.
+
+    A last block of fewer columns is kept as it is; ``duplicate_choices`` reports it.
+    """
     rows = spark.read.options(header="true", multiLine="true", quote='"', escape='"').csv(path)
     names = rows.columns[LEAD_COLUMNS:]
     blocks = [
         F.array(*[F.col(f"`{c}`") for c in names[at : at + models]])
-        for at in range(0, len(names) - models + 1, models)
+        for at in range(0, len(names), models)
     ]
     numbered = rows.withColumn("participant", F.monotonically_increasing_id() + 1)
     return numbered.select("participant", F.posexplode(F.array(*blocks)).alias("task_idx", "ranking"))

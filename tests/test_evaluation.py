@@ -232,17 +232,58 @@ def test_lookup_joins_agree(spark):
         assert sorted(map(str, near.collect())) == sorted(map(str, far.select(near.columns).collect()))
 
 
+def test_bounds_stop_the_fetch(spark):
+    rows = spark.range(0, 2000, 1, 8).select("id", F.array_repeat(F.col("id").cast("double"), 100).alias("v"))
+    assert lookups.fetch_bounded(rows, 1999) is None
+    assert lookups.fetch_bounded(rows, max_bytes=100_000) is None
+    held = lookups.fetch_bounded(rows)
+    assert held.num_rows == 2000 and held.column_names == ["id", "v"]
+    assert lookups.bounded_rows(rows.where("id < 0")).count() == 0
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        evaluated.add(1)
+        yield from batches
+
+    once = spark.range(0, 80, 1, 8).mapInArrow(counted, "id long")
+    assert lookups.bounded_rows(once).count() == 80 and evaluated.value == 8
+
+
+def test_crowded_ids_are_cut_again(spark):
+    ids = spark.range(0, 20_000, 1, 4).union(spark.createDataFrame([(1 << 60,), (-5,)], "id long"))
+    cut = ordered.blocked(ids, "id", rows=500)
+    sizes = [r["count"] for r in cut.groupBy("_block").count().collect()]
+    assert sum(sizes) == 20_002 and max(sizes) <= ordered.OVERFULL * 500
+    places = ordered.dense_index(cut.drop("_block"), "id").orderBy("id").collect()
+    assert [r["idx"] for r in places] == list(range(20_002))
+    with pytest.raises(Exception, match="must be unique"):
+        ordered.dense_index(ids.union(ids.where("id = 7")), "id").collect()
+
+
+def test_align_refuses_repeated_keys(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "id int, gold string")
+    two = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id int, pred string")
+    for strict in (True, False):
+        with pytest.raises(Exception, match="comes twice in predictions"):
+            evaluate.align(one, two, ["id"], strict).collect()
+
+
 def test_label_maps(spark):
     index = spark.createDataFrame([("a", 0), ("b", 1)], "label string, label_id int")
-    rows = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "id int, tags array<string>")
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (3, ["b"]), (4, ["a", "b"])], "id int, tags array<string>")
     for cap in (10_000, 1):
         original = lookups.literal_map
         labels.literal_map = lambda s, k, v, cap=cap: original(s, k, v, max_rows=cap)
         try:
-            got = labels.map_label_arrays(rows, "tags", index, "label", "label_id", ["id"], "ids").orderBy("id").collect()
+            got = labels.map_label_arrays(rows, "tags", index, "label", "label_id", ["id"], "ids")
+            assert got.columns == ["id", "tags", "ids"]
+            assert sorted((r["id"], str(r["ids"])) for r in got.collect()) == [(1, "[0, 1]"), (2, "[]"), (3, "None"), (3, "[1]"), (4, "[0, 1]")]
+            for strange, name in ((["z"], "z"), ([None], "NULL")):
+                odd = spark.createDataFrame([(1, strange)], rows.schema)
+                with pytest.raises(Exception, match=f"unknown label {name}"):
+                    labels.map_label_arrays(odd, "tags", index, "label", "label_id", ["id"], "ids").collect()
         finally:
             labels.literal_map = original
-        assert [r["ids"] for r in got] == [[0, 1], []]
     with pytest.raises(Exception, match="unknown label"):
         labels.label_ids(spark.createDataFrame([("z",)], "label string"), index).collect()
     with pytest.raises(ValueError, match="unknown task"):
@@ -256,7 +297,7 @@ def test_single_texts_and_pairs(spark):
     assert labels.joined_texts(pair, "[SEP]").first()["text"] == "t[SEP]u"
 
 
-def test_run_all_counts_errors(spark):
+def test_run_all_reports_errors(spark, tmp_path):
     grid = runs.grid(spark.createDataFrame([("x",)], "task string"), ["e1", "e2"], ["mean"], ["linear"], [1, 2])
 
     def execute(row):
@@ -264,9 +305,11 @@ def test_run_all_counts_errors(spark):
             raise RuntimeError("no")
         return row["seed"]
 
-    done, errors = runs.run_all(grid, execute)
-    assert (done.count(), errors) == (2, 2)
-    summary = runs.over_seeds(done, ["task", "encoder"]).first()
+    done = runs.run_all(grid, execute, f"{tmp_path}/registry")
+    assert sorted(str(r["error"]) for r in done.collect()) == ["None", "None", "RuntimeError: no", "RuntimeError: no"]
+    left = runs.pending(grid, spark.read.parquet(f"{tmp_path}/registry"))
+    assert left.count() == 2 and left.where("encoder not like '%e2'").count() == 0
+    summary = runs.over_seeds(done.where("error IS NULL"), ["task", "encoder"]).first()
     assert (summary["n_seeds"], summary["mean"]) == (2, 1.5)
 
 

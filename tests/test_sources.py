@@ -130,7 +130,11 @@ def test_read_directory(spark, tmp_path):
     sentences, meta = conllu.read_directory(spark, str(tmp_path))
     assert sentences.count() == 2
     got = {r["treebank"]: (r["language"], r["meta"]) for r in meta.collect()}
-    assert got == {"SRCMF": ("Old French", {}), "EWT": ("English", {"Genre": "blog web", "Parallel": "no"})}
+    own = {"Language": "Old French", "Treebank": "SRCMF"}
+    web = {"Language": "English", "Treebank": "EWT", "Genre": "blog web", "Parallel": "no"}
+    assert got == {"SRCMF": ("Old French", own), "EWT": ("English", web)}
+    kept = conllu.with_meta(sentences, meta).where(treebank.metadata_filter("Language", ["English"]))
+    assert {r["treebank"] for r in kept.collect()} == {"EWT"}
     named = conllu.with_meta(sentences, meta)
     assert named.where(treebank.domain_filter(["blog"])).count() == 1
     assert sorted(r["domain"] for r in treebank.domain_set(meta).collect()) == ["", "blog", "web"]
@@ -196,6 +200,9 @@ def test_splits_datasets_and_tweets(spark, tmp_path):
     (tmp_path / "tweets.csv").write_text('id,airline_sentiment,text\n1,negative,"bad\nday"\n2,positive,ok\n')
     tweets = labelled.read_tweets(spark, str(tmp_path / "tweets.csv")).collect()
     assert sorted(map(tuple, tweets)) == [("bad\nday", 0), ("ok", 2)]
+    (tmp_path / "odd.csv").write_text("id,airline_sentiment,text\n1,mixed,so so\n")
+    with pytest.raises(Exception, match="unknown sentiment mixed"):
+        labelled.read_tweets(spark, str(tmp_path / "odd.csv"), multi_line=False).collect()
 
 
 def test_label_maps_both_layouts(spark, tmp_path):
@@ -275,6 +282,9 @@ def test_recombined_pieces(spark):
 
 
 def test_leep_files(spark, tmp_path):
+    (tmp_path / "bad.txt").write_text("# [A, B]\n# [U, V, W]\n[0.7, 0.2, 0.1] A\nwhat is this\n")
+    with pytest.raises(Exception, match="no instance and no label line"):
+        leep_files.read_leep(spark, str(tmp_path / "bad.txt"))[0].collect()
     (tmp_path / "l.txt").write_text("# [A, B]\n# [U, V, W]\n[0.7, 0.2, 0.1] A\n[0.1, 0.8, 0.1] B\n")
     rows, targets, sources = leep_files.read_leep(spark, str(tmp_path / "l.txt"))
     assert (targets, sources, rows.count()) == (["A", "B"], ["U", "V", "W"], 2)
@@ -335,7 +345,29 @@ def test_shared_folder_comes_from_the_session():
     assert session.shared_dir(_Session("local[2]", _Conf())) == session.shared_dir(_Session("local[2]", _Conf()))
 
 
-def test_embed_texts_calls_the_factory_per_task(spark):
+def test_incomplete_rankings_are_reported(spark, tmp_path):
+    (tmp_path / "survey.csv").write_text("when,who,q1,q2,q3,q4,q5\nx,p,a,b,c,a,b\n")
+    blocks = rankings.read_survey(spark, str(tmp_path / "survey.csv"), 3)
+    assert [r["task_idx"] for r in ranking.duplicate_choices(blocks, 3).collect()] == [1]
+    pool = [("s", k, f"t{k}", m, float(i)) for k in (0, 1) for i, m in enumerate("abc")]
+    target = spark.createDataFrame(pool, "setup string, task_idx int, task string, model string, f1 double")
+    survey = ranking.survey_scores(blocks, 3).join(target.select("task_idx", "task").distinct(), "task_idx")
+    assert {r["task"]: r["n_missing"] for r in ranking.human_taus(target, survey).collect()} == {"t0": 0, "t1": 1}
+    assert {r["task"]: r["n_missing"] for r in ranking.majority_taus(target, survey).collect()} == {"t0": 0, "t1": 1}
+
+
+def test_embed_texts_calls_the_factory_once_per_worker(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted():
+        calls.add(1)
+        return lambda texts: [[1.0] for _ in texts]
+
+    many = spark.range(0, 400, 1, 40).select("id", F.lit("x").alias("text"))
+    assert embed.embed_texts(many, counted).count() == 400
+    # the workers that run at once, and those that a slow start adds
+    assert 1 <= calls.value <= 2 * spark.sparkContext.defaultParallelism
+
     def factory():
         import numpy as np
 
