@@ -122,18 +122,25 @@ def tau_summary(taus: DataFrame, tau: str = "tau") -> DataFrame:
     return taus.groupingSets(sets, F.col("setup"), F.col("task")).agg(level.alias("level"), *tau_statistics(tau))
 
 
+def named_tasks(survey: DataFrame, target: DataFrame) -> DataFrame:
+    """Survey scores with the task name that each ``task_idx`` has in the target file."""
+    if "task" in survey.columns:
+        return survey
+    return survey.join(target.select("task_idx", "task").distinct(), "task_idx")
+
+
 def human_taus(target: DataFrame, survey: DataFrame, gold: str = "f1") -> DataFrame:
     """Tau of each participant with the gold scores: ``(setup, task, participant, n_models, tau, n_missing)``.
 
     ``n_missing`` counts models of the task that the participant does not rank.
     """
-    joined = target.select("setup", "task", "model", gold).join(survey, ["task", "model"])
+    joined = target.select("setup", "task", "model", gold).join(named_tasks(survey, target), ["task", "model"])
     return _with_missing(weighted_tau(joined, ["setup", "task", "participant"], gold, "score"), target, gold)
 
 
 def majority_taus(target: DataFrame, survey: DataFrame, gold: str = "f1") -> DataFrame:
     """Tau of the summed human scores with the gold scores: ``(setup, task, n_models, tau, n_missing)``."""
-    summed = survey.groupBy("task", "model").agg(F.sum("score").alias("score"))
+    summed = named_tasks(survey, target).groupBy("task", "model").agg(F.sum("score").alias("score"))
     joined = target.select("setup", "task", "model", gold).join(summed, ["task", "model"])
     return _with_missing(weighted_tau(joined, ["setup", "task"], gold, "score"), target, gold)
 

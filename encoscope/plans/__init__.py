@@ -44,6 +44,7 @@ def load_all() -> dict[str, Registered]:
         embedding,
         evaluation,
         files,
+        formats,
         studies,
         tasks,
         transfer,

@@ -22,6 +22,9 @@ META_BLANK = r"(?dU)^# ?([^\s]+?)\s([^\s]+)$"
 # A dictionary text in which some key comes twice.
 REPEATED_KEY = r"(?:^|\|)([^=|]*)(?:=[^|]*)?(?:\|.*)?\|\1(?:=|\||$)"
 
+# Fixed value: name of a treebank folder.
+TREEBANK_FOLDER = r"^UD_(.+)-(.+)"
+
 # Fixed value: start of the key-value block of a treebank README.
 README_BLOCK = r"(?s)[-=]+ Machine[-\s]readable metadata(.+)"
 
@@ -166,8 +169,8 @@ def treebank_name(file: Column) -> Column:
 def directory_meta(file: Column) -> Column:
     """Language and treebank name of a ``UD_Language-Name`` folder; NULL for other folders."""
     folder = F.element_at(F.split(file, "/", -1), -2)
-    language = F.replace(F.regexp_extract(folder, r"^UD_(.+)-(.+)", 1), F.lit("_"), F.lit(" "))
-    name = F.regexp_extract(folder, r"^UD_(.+)-(.+)", 2)
+    language = F.replace(F.regexp_extract(folder, TREEBANK_FOLDER, 1), F.lit("_"), F.lit(" "))
+    name = F.regexp_extract(folder, TREEBANK_FOLDER, 2)
     return F.when(name != "", F.struct(language.alias("language"), name.alias("treebank")))
 
 
@@ -184,19 +187,21 @@ def parse_readme(text: Column) -> Column:
     )
 
 
-def read_directory(spark: SparkSession, path: str, line_sep: str = "\n\n") -> tuple[DataFrame, DataFrame]:
+def read_directory(
+    spark: SparkSession, path: str, line_sep: str = "\n\n", glob: str = "*.conllu", readme: str = "README*"
+) -> tuple[DataFrame, DataFrame]:
     """A folder of ``UD_Language-Name`` folders: sentences and the metadata of each file.
 
     Metadata (``file, language, treebank, meta``) come from folder names and READMEs. ``meta`` holds
     ``Language`` and ``Treebank`` of the folder name and the keys of the README, which win; READMEs are
     a few kilobytes per treebank.
     """
-    sentences = read_conllu(spark, f"{path}/UD_*-*", line_sep=line_sep)
-    readmes = spark.read.option("pathGlobFilter", "README*").text(f"{path}/UD_*-*", wholetext=True)
+    sentences = read_conllu(spark, f"{path}/UD_*-*", glob, line_sep)
+    readmes = spark.read.option("pathGlobFilter", readme).text(f"{path}/UD_*-*", wholetext=True)
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
     meta = readmes.select(folder(F.col("_metadata.file_path")).alias("folder"), parse_readme(F.col("value")).alias("meta"))
     # the listing reads no file content
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.conllu").load(f"{path}/UD_*-*")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(f"{path}/UD_*-*")
     files = listed.select(F.col("_metadata.file_path").alias("file")).withColumn("folder", folder(F.col("file")))
     named = files.withColumn("_d", directory_meta(F.col("file"))).where("_d IS NOT NULL")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
