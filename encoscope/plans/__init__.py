@@ -45,6 +45,7 @@ def load_all() -> dict[str, Registered]:
         evaluation,
         files,
         formats,
+        onehot,
         studies,
         tasks,
         transfer,
