@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from encoscope.llm.common import per_worker, parts_for, written
+from encoscope.functions.workers import per_worker
+from encoscope.llm.common import parts_for, written
 from encoscope.llm.tokens import Encoder
 
 LANES = 1024

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-import sys
-import types
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -19,13 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written once to the shared folder and read back: later jobs neither repeat nor lose it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of so many bytes for the jobs that run inside: rows of long texts otherwise fill 64 MB ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -35,15 +46,6 @@ def parts_for(spark: SparkSession, rows: int, rows_per_part: int) -> int:
     return max(shuffle_parts(spark), math.ceil(rows / rows_per_part))
 
 
-def per_worker(key, build: Callable):
-    """``build()`` once in each Python worker, kept between the tasks that the worker runs."""
-    store = sys.modules.setdefault("_pipeline_worker_store", types.ModuleType("_pipeline_worker_store"))
-    kept = store.__dict__.setdefault("kept", {})
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
-
-
 def utf8(text: Column) -> Column:
     """UTF-8 bytes of a text; a null text counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

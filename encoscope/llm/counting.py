@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encoscope.llm.common import per_worker
+from encoscope.functions.workers import per_worker
 from encoscope.llm.tokens import ChunkCache, byte_letters
 
 # Fixed value: how byte-level pre-tokenizers cut a text.

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encoscope.llm.common import per_worker
+from encoscope.functions.workers import per_worker
 
 SHINGLE = 5
 SIMILARITY = 0.8

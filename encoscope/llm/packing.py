@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encoscope.llm.common import per_worker, written
+from encoscope.functions.workers import per_worker
+from encoscope.llm.common import written
 from encoscope.llm.tokens import Encoder
 
 # Items that one task packs at a time, and how many bins with room it may pass on.

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from encoscope.llm.common import row_slices, written
+from encoscope.llm.common import row_slices, small_batches, written
 
 WINDOW = 200
 GRAM = 32
@@ -37,6 +37,8 @@ PIECE = 1 << 20
 # Different spans of one anchor that a task compares in memory.
 ANCHOR_SPANS = 50_000
 GROUP_BYTES = 4 << 20
+# Text of one batch that a task hands on.
+SLICE_BYTES = 2 << 20
 SEED = 11
 
 LETTERS = np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,7 +212,7 @@ def _judged(joined: DataFrame, columns: Sequence[str], want_text: bool) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in row_slices(whole, "_rb_raw", 16 << 20):
+            for batch in row_slices(whole, "_rb_raw", SLICE_BYTES):
                 results, texts, covered, contexts = [], [], [], []
                 for raw, listed in zip(batch.column("_rb_raw"), batch.column("_rb_runs")):
                     raw, listed = raw.as_py(), listed.as_py() or []
@@ -339,7 +341,7 @@ def dealt_suffixes(spans: DataFrame) -> DataFrame:
 def _finished(pending: DataFrame, columns: Sequence[str], want_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in row_slices(whole, "_rb_raw", 16 << 20):
+            for batch in row_slices(whole, "_rb_raw", SLICE_BYTES):
                 results = []
                 for raw, covered, found in zip(*(batch.column(c) for c in ("_rb_raw", "_rb_covered", "_rb_found"))):
                     raw = raw.as_py()
@@ -380,7 +382,8 @@ def remove_repeats(
         F.collect_list(F.struct("place", "anchor", "known", "compare", "hot")).alias("_rb_runs")
     )
     given = documents.select(*columns, kd.alias("_rb_kd"), kt.alias("_rb_kt"), raw.alias("_rb_raw"))
-    judged = written(_judged(given.join(listed, ["_rb_kd", "_rb_kt"], "left"), columns, want_text), "judged")
+    with small_batches(documents.sparkSession):
+        judged = written(_judged(given.join(listed, ["_rb_kd", "_rb_kt"], "left"), columns, want_text), "judged")
 
     spans = judged.select(F.col("_rb_kd").alias("kd"), F.col("_rb_kt").alias("kt"), F.explode("_rb_spans").alias("s")).select("kd", "kt", "s.*")
     # a row repeated with its id has its spans known, and once is enough for the others to compare with
@@ -389,7 +392,9 @@ def remove_repeats(
     out = [*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     done = judged.where(F.col("_rb_raw").isNull()).select(*out)
     pending = judged.where(F.col("_rb_raw").isNotNull()).select(*columns, "_rb_kd", "_rb_kt", "_rb_raw", "_rb_covered")
-    result = done.unionByName(_finished(pending.join(more, ["_rb_kd", "_rb_kt"], "left"), columns, want_text))
+    with small_batches(documents.sparkSession):
+        finished = written(_finished(pending.join(more, ["_rb_kd", "_rb_kt"], "left"), columns, want_text), "finished")
+    result = done.unionByName(finished)
     return result if want_text else result.drop("kept")
 
 
