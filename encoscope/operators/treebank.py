@@ -20,10 +20,12 @@ UNKNOWN_GROUP = "unknown"
 
 # The universal dependency relations without subtypes.
 UNIVERSAL_RELATIONS = (
-    "acl advcl advmod amod appos aux case cc ccomp clf compound conj cop csubj dep det discourse dislocated "
-    "expl fixed flat goeswith iobj list mark nmod nsubj nummod obj obl orphan parataxis punct reparandum root "
-    "vocative xcomp"
-).split()
+    "acl", "advcl", "advmod", "amod", "appos", "aux", "case", "cc",
+    "ccomp", "clf", "compound", "conj", "cop", "csubj", "dep", "det",
+    "discourse", "dislocated", "expl", "fixed", "flat", "goeswith", "iobj", "list",
+    "mark", "nmod", "nsubj", "nummod", "obj", "obl", "orphan", "parataxis",
+    "punct", "reparandum", "root", "vocative", "xcomp",
+)
 
 
 def dependency_words(words: Column) -> Column:

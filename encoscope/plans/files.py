@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from encoscope.functions.vectors import array_sum
 from encoscope.operators import leep, splits
 from encoscope.plans import query, table
-from encoscope.plans.data import SQL_TAGS, SQL_TOKENS, source_index, tagged_sentences
+from encoscope.plans.data import SQL_TAGS, source_index, tagged_sentences
 from encoscope.plans.embedding import SQL_THETA, SQL_VOCABULARY, theta_rows, vocabulary
-from encoscope.plans.treebanks import SQL_FILES, conllu_records
+from encoscope.plans.treebanks import SQL_RESOLVED, conllu_records
 from encoscope.session import scratch_path
 from encoscope.sources import conll, conllu, labelled, vectors
 from encoscope.sources import leep as leep_files
@@ -30,7 +30,9 @@ def csv_files(spark, sf_dir):
 
 @query(
     "token_csv_files",
-    f"WITH {SQL_TOKENS} SELECT count(*)::BIGINT AS inputs, sum(len(toks))::BIGINT AS labels FROM sents WHERE len(toks) > 0",
+    f"""WITH {SQL_TAGS}
+SELECT md5(string_agg(token, ' ' ORDER BY pos)) AS text, md5(string_agg(gold, ' ' ORDER BY pos)) AS labels, count(*)::BIGINT AS n
+FROM tags GROUP BY conv_id, turn""",
 )
 def token_csv_files(spark, sf_dir):
     """Token-level CSV whose label level is found on reading."""
@@ -38,17 +40,19 @@ def token_csv_files(spark, sf_dir):
     rows = tagged_sentences(spark, sf_dir).where(F.size("tokens") > 0)
     labelled.write_labelled(rows, path, "tokens", "gold")
     back = labelled.read_with_level(spark, path)
-    return back.agg(F.count("*").alias("inputs"), F.sum(F.size("labels")).alias("labels"))
+    return back.select(
+        F.md5("text").alias("text"), F.md5(F.array_join("labels", " ")).alias("labels"), F.size("labels").cast("long").alias("n")
+    )
 
 
 @query(
     "split_files",
     """WITH ranked AS (
-  SELECT lang, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':4012'), doc_id) AS rn, count(*) OVER () AS n FROM documents),
+  SELECT lang, text, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':4012'), doc_id) AS rn, count(*) OVER () AS n FROM documents),
 parts AS (
-  SELECT lang, CASE WHEN rn <= round_even(n * 0.7::DOUBLE, 0) THEN 'train'
+  SELECT lang, text, CASE WHEN rn <= round_even(n * 0.7::DOUBLE, 0) THEN 'train'
                     WHEN rn <= round_even(n * 0.7::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) THEN 'dev' ELSE 'test' END AS split FROM ranked)
-SELECT split, lang AS label, count(*)::BIGINT AS n FROM parts GROUP BY 1, 2""",
+SELECT split, lang AS label, md5(text) AS digest FROM parts""",
 )
 def split_files(spark, sf_dir):
     """Three split parts written as CSV folders, each read by its split."""
@@ -56,7 +60,7 @@ def split_files(spark, sf_dir):
     path = scratch_path(spark, "splits")
     labelled.write_labelled(docs, path, "text", "lang", split="split")
     rows = labelled.read_csv(spark, path)
-    return rows.groupBy("split", "label").agg(F.count("*").alias("n"))
+    return rows.select("split", "label", F.md5("text").alias("digest"))
 
 
 @query(
@@ -76,15 +80,18 @@ def conll_files(spark, sf_dir):
 
 @query(
     "conllu_files",
-    f"WITH {SQL_FILES} SELECT count(*)::BIGINT AS sentences, (SELECT count(*) FROM parsed)::BIGINT AS words, (count(*) - 1)::BIGINT AS last_idx FROM roles",
+    f"""WITH {SQL_RESOLVED}
+SELECT resolved AS digest, n::BIGINT AS words, (SELECT count(*) - 1 FROM resolved)::BIGINT AS last_idx FROM resolved""",
 )
 def conllu_files(spark, sf_dir):
     """Treebank files written by the text sink, read and numbered."""
     path = scratch_path(spark, "conllu")
     conllu_records(spark, sf_dir).select("record").write.option("lineSep", "\n\n").text(path)
     rows = conllu.read_conllu(spark, path, glob=None)
-    heads = F.size(F.filter("words", lambda w: w["head"].isNotNull()))
-    return rows.agg(F.count("*").alias("sentences"), F.sum(heads).alias("words"), F.max("idx").alias("last_idx"))
+    heads = F.size(F.filter("words", lambda w: w["head"].isNotNull())).cast("long")
+    text = F.md5(conllu.render_sentence(F.col("words"), resolve=True))
+    last = rows.agg(F.max("idx")).first()[0]
+    return rows.select(text.alias("digest"), heads.alias("words"), F.lit(last).cast("long").alias("last_idx"))
 
 
 @query(

@@ -72,8 +72,8 @@ def conllu_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "ord", "conv_id", "turn", F.array_join(F.concat(comments, body), "\n").alias("record"))
 
 
-def sentences(spark, sf_dir) -> DataFrame:
-    return conllu.parse_sentences(conllu_records(spark, sf_dir)).drop("record", "corrupt")
+def sentences(spark, sf_dir, maps: bool = False) -> DataFrame:
+    return conllu.parse_sentences(conllu_records(spark, sf_dir), maps=maps).drop("record", "corrupt")
 
 
 def meta_rows(spark) -> DataFrame:
@@ -135,7 +135,7 @@ FROM roles r JOIN toks t ON t.conv_id = r.conv_id AND t.turn = r.turn GROUP BY 1
 def conllu_text(spark, sf_dir):
     """Surface tokens and running text."""
     words = F.col("words")
-    return sentences(spark, sf_dir).select(
+    return sentences(spark, sf_dir, maps=True).select(
         "conv_id",
         "turn",
         F.size(treebank.token_forms(words)).cast("long").alias("n_tokens"),
@@ -332,29 +332,30 @@ def conllu_dataset(spark, sf_dir):
     return treebank.relation_dataset(rows, index, ["conv_id", "turn"])
 
 
-@query(
-    "conllu_render",
-    f"""WITH {SQL_FILES},
+SQL_RESOLVED = f"""{SQL_FILES},
 lines AS (
   SELECT p.conv_id, p.turn, p.id, concat_ws(chr(9), p.id, p.form, lower(p.form), upos, '_',
          CASE WHEN length(p.form) >= 6 THEN 'Case=Nom|Number=Plur' ELSE '_' END, p.id - 1, deprel, '_',
          CASE WHEN ends_with(p.form, '.') THEN 'SpaceAfter=No' ELSE '_' END) AS line FROM parsed p
-)
-SELECT conv_id, turn, md5(string_agg(line, chr(10) ORDER BY id)) AS resolved FROM lines GROUP BY 1, 2""",
-)
+),
+resolved AS (SELECT conv_id, turn, md5(string_agg(line, chr(10) ORDER BY id)) AS resolved, count(*) AS n FROM lines GROUP BY 1, 2)"""
+
+
+@query("conllu_render", f"WITH {SQL_RESOLVED} SELECT conv_id, turn, resolved FROM resolved")
 def conllu_render(spark, sf_dir):
     """Sentences written with multiword tokens resolved and dictionaries in key order."""
     text = conllu.render_sentence(F.col("words"), resolve=True)
-    return sentences(spark, sf_dir).select("conv_id", "turn", F.md5(text).alias("resolved"))
+    return sentences(spark, sf_dir, maps=True).select("conv_id", "turn", F.md5(text).alias("resolved"))
 
 
 @query(
     "conllu_round_trip",
-    f"WITH {SQL_FILES} SELECT conv_id, turn, true AS same FROM roles",
+    f"WITH {SQL_RESOLVED} SELECT conv_id, turn, true AS same, resolved FROM resolved",
 )
 def conllu_round_trip(spark, sf_dir):
     """Writing a parsed sentence, parsing and writing it again gives the same text."""
-    first = sentences(spark, sf_dir).select("conv_id", "turn", conllu.render_sentence(F.col("words"), F.col("comments")).alias("record"))
+    first = sentences(spark, sf_dir, maps=True).select("conv_id", "turn", conllu.render_sentence(F.col("words"), F.col("comments")).alias("record"))
     again = conllu.parse_sentences(first)
     same = conllu.render_sentence(F.col("words"), F.col("comments")) == F.col("record")
-    return again.select("conv_id", "turn", same.alias("same"))
+    resolved = F.md5(conllu.render_sentence(F.col("words"), resolve=True))
+    return again.select("conv_id", "turn", same.alias("same"), resolved.alias("resolved"))

@@ -11,13 +11,22 @@ from encoscope.functions.lookups import lookup_join
 SENTENCE_BREAK = r"\r?\n[ \t\r]*\n"
 
 
-def read_records(spark: SparkSession, path: str, glob: str | None = None, line_sep: str = "\n\n") -> DataFrame:
+def blank_line(spark: SparkSession, path: str, glob: str | None = None) -> str:
+    """The line break that the first line of the files ends with, twice."""
+    reader = spark.read.option("lineSep", "\n")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    first = reader.text(path).first()
+    return "\r\n\r\n" if first is not None and first["value"].endswith("\r") else "\n\n"
+
+
+def read_records(spark: SparkSession, path: str, glob: str | None = None, line_sep: str | None = None) -> DataFrame:
     """Blank-line separated records, in file order inside each file block: ``(file, block, record)``.
 
-    The scan cuts files at ``line_sep`` (give ``\\r\\n\\r\\n`` for such files) and splits further at
+    The scan cuts files at ``line_sep`` (found from the first line if not given) and splits further at
     padded blank lines, so a file is read by many tasks.
     """
-    reader = spark.read.option("lineSep", line_sep)
+    reader = spark.read.option("lineSep", line_sep or blank_line(spark, path, glob))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     lines = reader.text(path).select(
@@ -68,7 +77,7 @@ def parse_bio(record: Column) -> Column:
     )
 
 
-def read_bio(spark: SparkSession, path: str, glob: str | None = None, line_sep: str = "\n\n") -> DataFrame:
+def read_bio(spark: SparkSession, path: str, glob: str | None = None, line_sep: str | None = None) -> DataFrame:
     """Sentences of token-per-line files: ``(file, sent, idx, tokens, tags)``; the last one is kept."""
     numbered = number_records(read_records(spark, path, glob, line_sep))
     words = numbered.withColumn("_w", parse_bio(F.col("record")))

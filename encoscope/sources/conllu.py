@@ -61,11 +61,16 @@ def parse_pairs(text: Column) -> Column:
     return F.when(text.isNull(), nothing).when(text.rlike(REPEATED_KEY), _last_wins(pairs)).otherwise(usual)
 
 
-def _word(f: Column) -> Column:
+# Fields that hold dictionaries.
+MAP_FIELDS = ("feats", "misc")
+
+
+def _word(f: Column, maps: bool) -> Column:
     raw = {name: F.get(f, F.lit(k)) for k, name in enumerate(FIELDS)}
     value = {name: F.nullif(raw[name], F.lit("_")) for name in FIELDS}
     kind = F.when(F.instr(raw["id"], "-") > 0, "range").when(F.instr(raw["id"], ".") > 0, "empty").otherwise("word")
-    return F.struct(
+    dictionaries = {name: parse_pairs(value[name]) for name in MAP_FIELDS} if maps else {}
+    parts = [
         raw["id"].alias("id"),
         kind.alias("kind"),
         F.substring_index(F.substring_index(raw["id"], "-", 1), ".", 1).try_cast("int").alias("start"),
@@ -74,25 +79,26 @@ def _word(f: Column) -> Column:
         F.when(raw["form"] == "_", "_").otherwise(value["lemma"]).alias("lemma"),
         value["upos"].alias("upos"),
         value["xpos"].alias("xpos"),
-        parse_pairs(value["feats"]).alias("feats"),
         value["head"].try_cast("int").alias("head"),
         value["deprel"].alias("deprel"),
         value["deps"].alias("deps"),
-        parse_pairs(value["misc"]).alias("misc"),
-    )
+    ]
+    return F.struct(*parts, *[column.alias(name) for name, column in dictionaries.items()])
 
 
 # A word line that parses: ten fields, an id of a known shape, a number or nothing as head.
 WORD_LINE = r"^(?:\d+|\d+-\d+|\d+\.\d+)\t(?:[^\t]*\t){5}(?:_|[+-]?\d+)(?:\t[^\t]*){3}$"
 
 
-def parse_sentences(records: DataFrame, record: str = "record") -> DataFrame:
+def parse_sentences(records: DataFrame, record: str = "record", maps: bool = True) -> DataFrame:
     """Add ``comments``, ``words``, and ``corrupt`` (the record text where it does not parse).
 
     Each word carries ``token``, the id of the surface token it belongs to, and ``first``, true for the
     word that gives the token its form: a range covers the words in it, an empty node belongs to the
-    word it follows.
+    word it follows. Without ``maps`` the dictionaries of words (``feats``, ``misc``) are left out, which
+    saves most of the parsing where only forms, tags and heads are wanted.
     """
+    fields = [n for n in FIELDS[1:] if maps or n not in MAP_FIELDS]
     lines = F.filter(F.transform(F.split(record, r"\r?\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     out = records.withColumn("_lines", lines)
     out = out.withColumn("comments", F.filter("_lines", lambda x: F.startswith(x, F.lit("#"))))
@@ -100,7 +106,7 @@ def parse_sentences(records: DataFrame, record: str = "record") -> DataFrame:
     out = out.withColumn("_ok", ~F.exists("_words", lambda x: ~x.rlike(WORD_LINE)))
     nothing = F.array().cast("array<string>")
     usable = F.when(F.col("_ok"), F.col("_words")).otherwise(nothing)
-    out = out.withColumn("_plain", F.transform(usable, lambda x: let(F.split(x, "\t", -1), _word)))
+    out = out.withColumn("_plain", F.transform(usable, lambda x: let(F.split(x, "\t", -1), lambda f: _word(f, maps))))
 
     def token_of(w: Column, ranges: Column) -> Column:
         covering = F.filter(ranges, lambda r: (r["start"] <= w["start"]) & (w["start"] <= r["end"]))
@@ -114,7 +120,7 @@ def parse_sentences(records: DataFrame, record: str = "record") -> DataFrame:
         "_plain",
         marks,
         lambda w, m: F.struct(
-            *[w[n].alias(n) for n in ("id", "kind", "start", "end", *FIELDS[1:])],
+            *[w[n].alias(n) for n in ("id", "kind", "start", "end", *fields)],
             m["token"].alias("token"),
             (m["token"] != m["before"]).alias("first"),
         ),
@@ -145,7 +151,7 @@ def unknown_comments(comments: Column) -> Column:
     return F.transform(other, lambda c: F.trim(F.substr(c, F.lit(2))))
 
 
-def read_conllu(spark: SparkSession, path: str, glob: str | None = "*.conllu", line_sep: str = "\n\n") -> DataFrame:
+def read_conllu(spark: SparkSession, path: str, glob: str | None = "*.conllu", line_sep: str | None = None) -> DataFrame:
     """Sentences of CoNLL-U files: ``(file, sent, idx, comments, words)``.
 
     Sentences that do not parse are skipped and take no number; ``rejected`` lists them.
@@ -154,7 +160,7 @@ def read_conllu(spark: SparkSession, path: str, glob: str | None = "*.conllu", l
     return number_records(parsed.where("corrupt IS NULL").drop("record", "corrupt"))
 
 
-def rejected(spark: SparkSession, path: str, glob: str | None = "*.conllu", line_sep: str = "\n\n") -> DataFrame:
+def rejected(spark: SparkSession, path: str, glob: str | None = "*.conllu", line_sep: str | None = None) -> DataFrame:
     """Sentences that do not parse, with their file."""
     parsed = parse_sentences(read_records(spark, path, glob, line_sep))
     return parsed.where("corrupt IS NOT NULL").select("file", "corrupt")
@@ -188,7 +194,7 @@ def parse_readme(text: Column) -> Column:
 
 
 def read_directory(
-    spark: SparkSession, path: str, line_sep: str = "\n\n", glob: str = "*.conllu", readme: str = "README*"
+    spark: SparkSession, path: str, line_sep: str | None = None, glob: str = "*.conllu", readme: str = "README*"
 ) -> tuple[DataFrame, DataFrame]:
     """A folder of ``UD_Language-Name`` folders: sentences and the metadata of each file.
 

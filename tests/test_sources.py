@@ -117,7 +117,7 @@ def test_read_conllu_numbers_in_file_order(spark, tmp_path):
 
 def test_read_crlf(spark, tmp_path):
     (tmp_path / "a.conllu").write_bytes((FIXTURE + "\n\n" + FIXTURE + "\n").replace("\n", "\r\n").encode())
-    rows = conllu.read_conllu(spark, str(tmp_path), line_sep="\r\n\r\n").collect()
+    rows = conllu.read_conllu(spark, str(tmp_path)).collect()
     assert len(rows) == 2 and rows[0]["words"][0]["misc"] == {"SpaceAfter": "No"}
 
 
