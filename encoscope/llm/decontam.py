@@ -169,32 +169,36 @@ class ItemIndex:
         wanted = self._starts(words)
         if not wanted:
             return []
-        size = min(SHINGLE, len(words))
-        shingles = shingles_of(words)
-        low = min(int(s[0]) for s in wanted.values())
-        high = max(int(s[-1]) + self.sizes[i] for i, s in wanted.items())
-        span = shingles[low : max(low + 1, high - size + 1)]
-        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(shingle_bits(span), axis=0, dtype=np.int32)])
         best: dict[int, tuple] = {}
         for n in sorted({self.sizes[i] for i in wanted}):
-            starts = np.unique(np.concatenate([s for i, s in wanted.items() if self.sizes[i] == n]))
             asked = {i for i in wanted if self.sizes[i] == n}
-            count = len(shingles_of(words[:n]))  # shingles of a window
+            starts = np.unique(np.concatenate([wanted[i] for i in asked]))
             if n < SHINGLE:
                 self._short(words, n, starts, asked, best)
                 continue
-            for k in range(0, len(starts), WINDOWS):
-                part = starts[k : k + WINDOWS] - low
-                prints = packed(sums[np.minimum(part + count, len(span))] - sums[part])
-                for window, item, bits in zip(*(c.tolist() for c in self.by_size[n].candidates(prints))):
-                    if item not in asked:
-                        continue
-                    start = int(starts[k + window])
-                    score = similarity(Counter(shingles[start : start + count]), self.weights[item])
-                    if score >= SIMILARITY and (item not in best or (-score, bits, start) < best[item][:3]):
-                        best[item] = (-score, bits, start, min(n, len(words)))
+            gaps = np.flatnonzero(np.diff(starts) > n) + 1
+            for run in np.split(starts, gaps):
+                for k in range(0, len(run), WINDOWS):
+                    self._search(words, n, run[k : k + WINDOWS], asked, best)
         return [(i, start, n, bits, -score) for i, (score, bits, start, n) in sorted(best.items())]
 
+    def _search(self, words, n, starts, asked, best) -> None:
+        """Windows of ``n`` words that lie near each other; what is held grows with their number alone."""
+        size, first = min(SHINGLE, len(words)), int(starts[0])
+        count = min(n, len(words)) - size + 1  # shingles of a window
+        span = shingles_of(words[first : int(starts[-1]) + n])
+        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(shingle_bits(span), axis=0, dtype=np.int32)])
+        part = starts - first
+        prints = packed(sums[part + count] - sums[part])
+        for window, item, bits in zip(*(c.tolist() for c in self.by_size[n].candidates(prints))):
+            if item not in asked:
+                continue
+            at = int(part[window])
+            score = similarity(Counter(span[at : at + count]), self.weights[item])
+            start = int(starts[window])
+            if score >= SIMILARITY and (item not in best or (-score, bits, start) < best[item][:3]):
+                best[item] = (-score, bits, start, min(n, len(words)))
+
     def _short(self, words, n, starts, asked, best) -> None:
         """Items shorter than a shingle are one shingle: a window is the same or has nothing in common."""
         for start in starts.tolist():
