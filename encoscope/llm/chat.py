@@ -28,17 +28,21 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     The order is by turn, role, text, nulls first. A row repeated exactly is one turn logged twice and
     counts once. Rows without ``conv_id`` belong to no conversation and are left out. A conversation is
     cut into blocks of ``BLOCK`` turn numbers, so one with a third of all rows is spread over tasks;
-    only one row a block goes through the ordered pass.
+    only one row a block goes through the ordered pass. Texts are shuffled once, by block; what is found
+    out about blocks comes to them.
     """
-    turns = conversations.select("conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull()).distinct()
-    turns = turns.withColumn("_block", F.floor(F.col("turn") / BLOCK))
+    turns = conversations.select("conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull())
+    # turns without a number come first
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)).cast("long"))
+    turns = turns.withColumn("_block", block).repartition("conv_id", "_block")
     inside = Window.partitionBy("conv_id", "_block").orderBy("turn", "role", "text")
     before = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    row = F.struct("turn", "role", "text")
+    turns = turns.withColumn("_again", F.lag(row).over(inside).eqNullSafe(row)).where(~F.col("_again")).drop("_again")
 
     counts = turns.groupBy("conv_id", "_block").agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = turns["conv_id"].eqNullSafe(counts["conv_id"]) & turns["_block"].eqNullSafe(counts["_block"])
-    placed = turns.join(counts, same).select(turns["*"], "_start")
+    placed = turns.join(counts, ["conv_id", "_block"])
     placed = placed.withColumn("place", F.col("_start") + F.row_number().over(inside)).drop("_start")
     d1, d2 = _digests("place")
     placed = placed.withColumn("_d1", d1).withColumn("_d2", d2)
@@ -46,8 +50,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     sums = placed.groupBy("conv_id", "_block").agg(F.bit_xor("_d1").alias("_s1"), F.bit_xor("_d2").alias("_s2"), F.max("place").alias("_last"))
     for s in ("_s1", "_s2"):
         sums = sums.withColumn(s, F.coalesce(F.bit_xor(s).over(before), F.lit(0)))
-    same = placed["conv_id"].eqNullSafe(sums["conv_id"]) & placed["_block"].eqNullSafe(sums["_block"])
-    rolled = placed.join(sums, same).select(placed["*"], "_s1", "_s2")
+    rolled = placed.join(sums, ["conv_id", "_block"])
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     for h, d, s in (("h1", "_d1", "_s1"), ("h2", "_d2", "_s2")):
         rolled = rolled.withColumn(h, F.bit_xor(d).over(so_far).bitwiseXOR(F.col(s)))
