@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from encoscope.llm.common import written
+
 BITS = 4
 # Rows of one cell are dealt into 2**SUB_BITS blocks by a hash, so a cell with a third of all rows is spread.
 SUB_BITS = 10
@@ -139,7 +141,7 @@ def document_shards(documents: DataFrame, shards: int = 24) -> DataFrame:
         (F.coalesce(F.length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.encode(F.lit(""), "UTF-8"))).alias("text_crc32"),
     )
-    placed = hilbert_runs(slim, ["source", "lang", "size"], shards, ["doc_id", "text_crc32"])
+    placed = hilbert_runs(written(slim, "sizes"), ["source", "lang", "size"], shards, ["doc_id", "text_crc32"])
     return placed.select(
         "doc_id",
         "size",
