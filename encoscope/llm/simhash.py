@@ -246,7 +246,8 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     found = written(near_duplicates(documents, radius).select("doc_id", "component_id"), "classes")
     others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_nd_id")).distinct()
-    kept = documents.join(others, F.col("doc_id") == F.col("_nd_id"), "left_anti")
+    # one plan at every size: ids and documents meet by a shuffle, also where few ids would fit a broadcast
+    kept = documents.join(others.hint("merge"), F.col("doc_id") == F.col("_nd_id"), "left_anti")
     counts = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if counts.isEmpty():
         return kept
