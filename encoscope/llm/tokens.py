@@ -23,7 +23,7 @@ UNEVEN = re.compile(f"[{SPACES}](?:[{SPACES}]|\\Z)")
 CHUNK = re.compile(f"[{SPACES}]?[^{SPACES}]+|[{SPACES}]+?(?=[{SPACES}][^{SPACES}])|[{SPACES}]+")
 # Letters of Basic Latin and Latin-1, then punctuation without the apostrophe: two pieces at most.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
-CACHE = 600_000
+CACHE = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,17 +39,21 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """A cache that starts anew when full, so that it stays bounded on any corpus."""
+    """A cache of two generations of ``limit`` entries: what was not asked for in a whole generation goes."""
 
     def __init__(self, make, prefix: str = "", limit: int = CACHE):
         super().__init__()
-        self.make, self.prefix, self.limit = make, prefix, limit
+        self.make, self.prefix, self.limit, self.older = make, prefix, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        # a chunk that begins with a line break has no space in front
-        value = self[key] = self.make(key if key[:1] == "\n" else self.prefix + key)
+        value = self.older.get(key)
+        if value is None:
+            # a chunk that begins with a line break has no space in front
+            value = self.make(key if key[:1] == "\n" else self.prefix + key)
+        self[key] = value
         return value
 
 
@@ -96,26 +100,25 @@ class Encoder:
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.code = "H" if self.dtype == "<u2" else "I"
-        self.marks = Memo(self._piece, limit=10_000)
+        # words and marks come in many combinations, so their ids are kept apart from those of chunks
+        self.words, self.marks = Memo(self._piece), Memo(self._piece, limit=10_000)
         self.cache = ChunkCache(self._chunk, tuple(t["content"] for t in parts["added_tokens"]), not self.lower)
 
-    def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.replace(" ", self.letters[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         lead = chunk[:1] if chunk[:1] == " " else ""
         plain = PLAIN.fullmatch(chunk, len(lead)) if self.known else None
         if plain is None:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        else:
-            word, marks = plain.groups()
-            if self.lower:
-                lead, word = "", word.lower()
-            if word and marks:
-                ids = self._piece(lead + word) + self.marks[marks]
-            else:
-                ids = self._piece(lead + word + marks) if lead or word or marks else []
-        return array(self.code, ids).tobytes()
+            return array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        word, marks = plain.groups()
+        if self.lower:
+            lead, word = "", word.lower()
+        if not word:  # a blank in front goes with the marks then
+            return self.marks[lead + marks] if lead or marks else b""
+        return self.words[lead + word] + self.marks[marks] if marks else self.words[lead + word]
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.cache.values(text or "")), dtype=self.dtype)

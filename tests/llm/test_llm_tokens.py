@@ -59,12 +59,12 @@ def test_count_cases(pair, counter):
         assert counter.count(text) == len(pair[BYTE][1].encode(text, add_special_tokens=False).ids), text
 
 
-def test_cache_starts_anew(pair):
+def test_cache_stays_bounded(pair):
     mine = Encoder(BYTE)
-    mine.cache.spaced.limit = mine.cache.bare.limit = 3
+    mine.cache.spaced.limit = mine.cache.bare.limit = mine.words.limit = 3
     text = " ".join(f"w{i} common," for i in range(50))
     assert mine.encode(text).tolist() == pair[BYTE][1].encode(text, add_special_tokens=False).ids
-    assert len(mine.cache.spaced) <= 3
+    assert len(mine.cache.spaced) <= 3 and len(mine.cache.spaced.older) <= 3
 
 
 def test_merges_take_the_lowest_rank_first():
