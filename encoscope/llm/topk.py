@@ -93,9 +93,11 @@ class BestRows:
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """Scores of the queries ``rows`` (a line each) with the ids of one block."""
         floor = self.kth()[rows]
+        own = ids[None, :] == self.query_ids[rows][:, None]
         if scores.shape[1] > self.k:
-            floor = np.maximum(floor, np.partition(scores, -self.k - 1, axis=1)[:, -self.k - 1])
-        line, column = np.nonzero((scores >= floor[:, None]) & (ids[None, :] != self.query_ids[rows][:, None]))
+            others = np.where(own, np.iinfo(np.int64).min, scores)
+            floor = np.maximum(floor, np.partition(others, -self.k, axis=1)[:, -self.k])
+        line, column = np.nonzero((scores >= floor[:, None]) & ~own)
         if not len(line):
             return
         touched = np.unique(line)
