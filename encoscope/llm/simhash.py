@@ -9,7 +9,7 @@ below, once they exceed the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -239,12 +239,14 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     return signed.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_one(documents: DataFrame, radius: int = RADIUS, classes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; all columns kept.
 
+    ``classes`` gives doc_id and component_id; without it they come from fingerprints within ``radius``.
     Documents without an id stay. If a kept id has several rows, one of them stays.
     """
-    found = written(near_duplicates(documents, radius).select("doc_id", "component_id"), "classes")
+    found = classes(documents) if classes else near_duplicates(documents, radius)
+    found = written(found.select("doc_id", "component_id"), "classes")
     others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_nd_id")).distinct()
     # one plan at every size: ids and documents meet by a shuffle, also where few ids would fit a broadcast
     kept = documents.join(others.hint("merge"), F.col("doc_id") == F.col("_nd_id"), "left_anti")
