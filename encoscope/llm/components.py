@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from encoscope.llm.common import written
 
-ROUNDS = 50
-
 
 def _toward_minimum(links: DataFrame, node: str, other: str) -> DataFrame:
     """Each ``other`` of a node linked to the least of the node and its others."""
@@ -28,7 +26,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
-    for _ in range(ROUNDS):
+    while True:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_minimum(around, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("_min").alias("v"))
         large = large.where("u <> v").distinct()
@@ -39,7 +37,5 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if found == mark:
             break
         mark = found
-    else:
-        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

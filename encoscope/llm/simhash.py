@@ -9,13 +9,14 @@ below, once they exceed the radius.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encoscope.llm.common import parts_for, row_slices, utf8, written
 from encoscope.llm.components import connected
@@ -56,17 +57,18 @@ def fingerprint(raw: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fp (as a signed long) of every document; a null text counts as empty."""
+def fingerprints(documents: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, ``more`` and fp (as a signed long) of every document; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, "raw", 16 << 20):
                 prints = np.array([fingerprint(raw.as_py()) for raw in batch.column("raw")], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept.names), pa.array(prints.view(np.int64))], [*kept.names, "fp"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", utf8(F.col("text")).alias("raw")).mapInArrow(run, f"doc_id {kind}, fp long")
+    kept = documents.select("doc_id", *more).schema
+    given = documents.select("doc_id", *more, utf8(F.col("text")).alias("raw"))
+    return given.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -214,8 +216,9 @@ def near_links(prints: DataFrame, radius: int = RADIUS, group: int = GROUP) -> D
         found.append(rows.join(hot, ["mask", "value"], "left_anti"))
         rows = written(rows.join(hot, ["mask", "value"], "left_semi").select("fp", "mask"), "dealt")
     links = None
+    parts = parts_for(spark, (radius + 1) * prints.count(), 1 << 19)
     for part in found:
-        some = _search(part, parts_for(spark, 0, 1))
+        some = _search(part, parts)
         links = some if links is None else links.unionByName(some)
     return links
 
@@ -239,20 +242,25 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     return signed.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, radius: int = RADIUS, classes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; all columns kept.
+def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates; all columns kept.
 
-    ``classes`` gives doc_id and component_id; without it they come from fingerprints within ``radius``.
-    Documents without an id stay. If a kept id has several rows, one of them stays.
+    A row is told by its id and a 64-bit hash of its text, so rows of one id with different texts are
+    judged each by its own text. The row with the smallest id stays, a null id being the largest, then
+    the one with the smallest hash; of rows that agree in both, one stays. An empty table stays empty.
     """
-    found = classes(documents) if classes else near_duplicates(documents, radius)
-    found = written(found.select("doc_id", "component_id"), "classes")
-    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_nd_id")).distinct()
-    # one plan at every size: ids and documents meet by a shuffle, also where few ids would fit a broadcast
-    kept = documents.join(others.hint("merge"), F.col("doc_id") == F.col("_nd_id"), "left_anti")
-    counts = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if counts.isEmpty():
+    text = F.xxhash64("text").alias("_nd_text")
+    signed = written(fingerprints(documents, text), "fingerprints")
+    roots = connected(near_links(signed.select("fp").distinct(), radius))
+    rows = signed.join(roots, signed["fp"] == roots["node"], "left").select("doc_id", "_nd_text", F.coalesce("root", "fp").alias("root"))
+    rows = written(rows.groupBy("root", "doc_id", "_nd_text").agg(F.count("*").alias("n")), "classes")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_nd_text")).alias("_nd_first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("_nd_first.doc_id")) & (F.col("_nd_text") == F.col("_nd_first._nd_text"))
+    judged = rows.join(first, "root").select(F.col("doc_id").alias("_nd_id"), "_nd_text", "n", stays.alias("stays"))
+    others = judged.where("not stays").select("_nd_id", "_nd_text")
+    # one plan at every size: rows and documents meet by a shuffle, also where few rows would fit a broadcast
+    same = documents["doc_id"].eqNullSafe(others["_nd_id"]) & (F.xxhash64(documents["text"]) == others["_nd_text"])
+    kept = documents.join(others.hint("merge"), same, "left_anti")
+    if judged.where("stays and n > 1").isEmpty():
         return kept
-    # rows without an id are told apart by their own number
-    number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_nd_row", number).dropDuplicates(["doc_id", "_nd_row"]).drop("_nd_row")
+    return kept.withColumn("_nd_text", text).dropDuplicates(["doc_id", "_nd_text"]).drop("_nd_text")

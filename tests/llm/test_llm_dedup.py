@@ -59,8 +59,21 @@ def test_near_duplicates(spark):
 
     kept = simhash.keep_one(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "source", "fp", "kd", "mask"]
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in want}) and ids.count(None) == 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in want})
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, d), (4, c), (None, "e f"), (None, "e f"), (None, d), (None, None), (7, b)]
+    kept = [tuple(r) for r in simhash.keep_one(frame(spark, rows)).select("doc_id", "text").collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, "e f"), (None, None)], key=str)
+    assert simhash.keep_one(frame(spark, [])).collect() == []
+
+
+def test_very_long_texts_have_whole_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE", 64)
+    texts = [" ".join(f"w{k % 997}" for k in range(n)) for n in (3000, 64, 65, 66, 67)]
+    assert [simhash.fingerprint(t.encode()) for t in texts] == [plain_fingerprint(t) for t in texts]
 
 
 def test_hot_groups_are_dealt_again(spark):
