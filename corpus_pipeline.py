@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from encoscope.llm import decontam, nearcopies, packing, quality, simhash, suffix
+from encoscope.llm import decontam, packing, quality, simhash, suffix
 from encoscope.llm.common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,8 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingle sets of Jaccard 0.8 or more, the one with the smallest id."""
-    return simhash.keep_one(docs, classes=nearcopies.near_copies)
+    """One document of each group linked by fingerprints of three-word shingles within three bits, the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
