@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from encoscope.llm import ans, chat, counting, decontam, packing, quality, sharding, simhash, suffix, topk
+from encoscope.llm import ans, chat, counting, decontam, negatives, packing, quality, sharding, simhash, suffix, topk
 from encoscope.llm.common import table
 from encoscope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op8_exact_top_k": topk.SQL}
+SQL: dict[str, str] = {"op3_chat_format": chat.SQL, "op8_exact_top_k": topk.SQL, "op11_hard_negatives": negatives.SQL}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -70,3 +71,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
