@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encoscope.llm import ans, chat, counting, decontam, negatives, packing, quality, sharding, simhash, suffix, topk
+from encoscope.llm import ans, chat, counting, decontam, negatives, packing, quality, sharding, simhash, suffix, suffixtree, topk
 from encoscope.llm.common import table
 from encoscope.session import scratch_path
 
@@ -77,3 +77,8 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+@query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score_documents(table(spark, sf_dir, "documents"))
