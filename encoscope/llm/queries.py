@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encoscope.llm import ans, chat, counting, decontam, negatives, packing, quality, sharding, simhash, suffix, suffixtree, topk
+from encoscope.llm import alignment, ans, chat, counting, decontam, negatives, packing, quality, sharding, simhash, suffix, suffixtree, topk
 from encoscope.llm.common import table
 from encoscope.session import scratch_path
 
@@ -79,6 +79,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
 
 
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *paths)
+
+
 @query
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score_documents(table(spark, sf_dir, "documents"))

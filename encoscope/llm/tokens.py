@@ -82,9 +82,12 @@ class ChunkCache:
 
 
 class Encoder:
-    """Ids of texts as arrays of ``dtype``, as ``Tokenizer.encode`` gives them without special tokens."""
+    """Ids of texts as arrays of ``dtype``, as ``Tokenizer.encode`` gives them without special tokens.
 
-    def __init__(self, path: str):
+    With ``plain`` the strings of special tokens inside a text are ordinary text.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,6 +100,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.code = "H" if self.dtype == "<u2" else "I"
