@@ -12,12 +12,13 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encoscope.functions.vectors import as_vector
 from encoscope.operators.evaluate import head_metrics
 from encoscope.operators.labels import label_ids, label_index, label_names, label_union
+from encoscope.operators.training import Net, load_net, save_net, train_net, with_logits
 
 
 def linear_head(width: int, classes: int, seed: int, epochs: int):
@@ -80,53 +81,45 @@ def train_epochs(
     seed: int = 4012,
     epochs: int = 50,
     patience: int = 3,
-) -> tuple[Model, DataFrame]:
-    """Fit epoch by epoch, look at the dev loss after each, keep the best model, stop early.
+    path: str | None = None,
+) -> tuple[Net, DataFrame]:
+    """Train epoch by epoch, look at the dev loss after each, keep the best model, stop early.
 
-    Returns the kept model and the log ``(epoch, loss, accuracy)``. The MLP goes on from its weights;
-    the linear solver walks the same path again, one step further. Only two numbers per epoch come
-    back from the cluster.
+    Returns the kept model and the log ``(epoch, loss, accuracy)``. An epoch is one pass over both parts,
+    after one that looks at the fresh model; weights and solver state go from epoch to epoch. With ``path``
+    they are written, and a call that was cut short goes on from there.
     """
-    width = len(train.select(features).first()[0])
-    classes = index.count()
-    rows = label_ids(train, index, label).select(as_vector(F.col(features)).alias("vector"), "label_id").persist()
-    held = dev.persist()
-    model = best = None
-    log: list[tuple[int, float, float]] = []
+    head(name)
+    width, classes = len(train.select(features).first()[0]), index.count()
+    parts = [df.select(F.col(features).alias("features"), label, F.lit(held).alias("dev")) for df, held in ((train, False), (dev, True))]
+    rows = label_ids(parts[0].unionByName(parts[1]), index, label).select("features", "label_id", "dev").persist()
     try:
-        for epoch in range(1, epochs + 1):
-            estimator = head(name)[0](width, classes, seed, 1 if name == "mlp" else epoch)
-            if name == "mlp" and model is not None:
-                estimator = estimator.setInitialWeights(model.weights)
-            model = estimator.fit(rows)
-            found = score_rows(held, model, index, features, label).agg(
-                F.avg("loss").alias("loss"), F.avg("correct").alias("accuracy")
-            ).first()
-            log.append((epoch, found["loss"], found["accuracy"]))
-            lowest = min(log, key=lambda entry: (entry[1], entry[0]))
-            if found["loss"] <= lowest[1]:
-                best = model
-            if epoch - lowest[0] >= patience:
-                break
+        best, log = train_net(rows, Net.fresh(name, width, classes, seed), epochs, patience, path)
     finally:
         rows.unpersist()
-        held.unpersist()
     return best, train.sparkSession.createDataFrame(log, "epoch int, loss double, accuracy double")
 
 
-def score_rows(df: DataFrame, model: Model, index: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
+def score_rows(df: DataFrame, model: Model | Net, index: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """Logits, predicted id and label name, correctness and loss for each row."""
-    known = label_ids(df.withColumn("vector", as_vector(F.col(features))), index, label)
-    logits = model.transform(known).withColumn("logits", vector_to_array("rawPrediction"))
-    kept = logits.drop("rawPrediction", "probability", "prediction", "vector")
+    known = label_ids(df, index, label)
+    if isinstance(model, Net):
+        kept = with_logits(known, model, features)
+    else:
+        logits = model.transform(known.withColumn("vector", as_vector(F.col(features)))).withColumn("logits", vector_to_array("rawPrediction"))
+        kept = logits.drop("rawPrediction", "probability", "prediction", "vector")
     scored = head_metrics(kept, "logits", "label_id")
     return label_names(scored, index, "pred", label, out="prediction")
 
 
-def save_head(model: Model, path: str) -> None:
+def save_head(model: Model | Net, path: str) -> None:
     """Persist the head only; the encoder stays frozen and is not part of it."""
-    model.write().overwrite().save(path)
+    if isinstance(model, Net):
+        save_net(SparkSession.active(), model, path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_head(name: str, path: str) -> Model:
-    return head(name)[1].load(path)
+def load_head(name: str, path: str) -> Model | Net:
+    kind = head(name)[1]
+    return load_net(SparkSession.active(), path) or kind.load(path)

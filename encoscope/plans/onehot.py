@@ -145,6 +145,37 @@ def linear_epochs_onehot(spark, sf_dir):
     return _summary(heads.score_rows(rows, model, index))
 
 
+@query(
+    "mlp_epochs_onehot",
+    f"""WITH {SQL_SHARES}
+SELECT (SELECT sum(total) FROM best)::BIGINT AS n, round((SELECT sum(hits) / sum(total)::DOUBLE FROM best), 6) AS accuracy,
+       round((SELECT -sum(n * ln(n / total::DOUBLE)) / sum(n) FROM shares), 2) AS loss""",
+)
+def mlp_epochs_onehot(spark, sf_dir):
+    """Two hidden layers trained epoch by epoch on one-hot vectors that are spread over more dimensions."""
+    wide = F.flatten(F.array_repeat(F.col("features"), 4))
+    rows = bucket_rows(spark, sf_dir).withColumn("features", wide)
+    index = heads.class_index(rows, rows)
+    model, _ = heads.train_epochs(rows, rows, index, "mlp", epochs=40, patience=10)
+    return _summary(heads.score_rows(rows, model, index)).withColumn("loss", F.round("loss", 2))
+
+
+@query(
+    "resumed_epochs_onehot",
+    f"WITH {SQL_SHARES} SELECT lang AS label, prediction, count(*) AS n FROM documents JOIN best ON bucket = doc_id % {BUCKETS} GROUP BY 1, 2",
+)
+def resumed_epochs_onehot(spark, sf_dir):
+    """A training stopped after five epochs that goes on from its written state; the saved net predicts."""
+    rows = bucket_rows(spark, sf_dir)
+    index = heads.class_index(rows, rows)
+    path = scratch_path(spark, "training")
+    heads.train_epochs(rows, rows, index, "linear", epochs=5, path=f"{path}/state")
+    model, _ = heads.train_epochs(rows, rows, index, "linear", epochs=12, path=f"{path}/state")
+    heads.save_head(model, path)
+    scored = heads.score_rows(rows, heads.load_head("linear", path), index)
+    return scored.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
 SQL_PREDICTIONS = f"WITH {SQL_SHARES} SELECT doc_id, lang AS label, prediction FROM documents JOIN best ON bucket = doc_id % {BUCKETS}"
 
 
