@@ -4,14 +4,14 @@ A candidate x gets one more coordinate, sqrt(M^2 - |x|^2), so all candidates lie
 the inner product with a query falls as the angle to it grows. Each level of a tree covers its rows by
 balls around a few of them, whose centres are further apart than the covering radius. The angle from
 a query to a centre and the ball's angular radius bound every inner product in the ball from both sides.
-A search takes the ball with the highest bound first, skips balls outside the query's window of scores or
+A search takes the ball with the highest bound first, skips balls outside a query's window of scores or
 without rows of a wanted label, and verifies leaves by exact integer products.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from encoscope.llm.common import parts_for, shuffle_parts, written
 
 FANOUT = 16
-LEAF_ROWS = 64
+LEAF_ROWS = 128
 TREE_ROWS = 4096
 QUERY_ROWS = 512
 # Bytes of the rows whose trees one task holds, and of a block of queries that it searches at a time.
@@ -62,14 +62,18 @@ def farthest_first(points: np.ndarray, most: int, stop: float = 0.0) -> tuple[np
     return np.array(centres), owner, gap
 
 
-def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in integers, through floating point where every partial sum is exact there."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most >= 1 << 63:
-        raise OverflowError("inner products do not fit 64 bits")
-    return a @ b.T
+def exact_products(queries: np.ndarray, rows: np.ndarray) -> Callable[[np.ndarray, slice], np.ndarray]:
+    """A function from query numbers and a slice of rows to their integer products.
+
+    The products go through floating point where every partial sum is exact there.
+    """
+    most = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * rows.shape[1]
+    if most >= 1 << 62:
+        raise OverflowError("inner products do not fit 62 bits")
+    if most >= 1 << 53:
+        return lambda who, part: queries[who] @ rows[part].T
+    a, b = queries.astype(np.float64), rows.astype(np.float64)
+    return lambda who, part: (a[who] @ b[part].T).astype(np.int64)
 
 
 class CoverTree:
@@ -168,20 +172,42 @@ class Best:
         self.scores = np.full((self.n, self.k), LEAST)
         self.ids = np.full((self.n, self.k), MOST)
 
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, v = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
-        order = np.lexsort((v, -(s + 1)))[: self.k]
-        self.scores[q], self.ids[q] = s[order], v[order]
+    def may_enter(self, up: np.ndarray, least: int) -> np.ndarray:
+        """Queries whose k-th row could give way to one with a score up to ``up`` and an id from ``least`` on."""
+        kth = self.scores[:, -1]
+        return (up > kth) | ((up == kth) & (least < self.ids[:, -1]))
+
+    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray, fit: np.ndarray) -> None:
+        """Rows with ``ids`` (columns) that ``fit`` the queries ``who`` (lines)."""
+        floor = self.scores[who, -1]
+        if scores.shape[1] > self.k:  # no more than the k best of these rows, and their equals, can enter
+            found = np.where(fit, scores, LEAST)
+            floor = np.maximum(floor, np.partition(found, -self.k, axis=1)[:, -self.k])
+        line, column = np.nonzero(fit & (scores >= floor[:, None]))
+        if not len(line):
+            return
+        touched = np.unique(line)
+        old = who[touched]
+        q = np.concatenate([np.repeat(np.arange(len(touched)), self.k), np.searchsorted(touched, line)])
+        s = np.concatenate([self.scores[old].ravel(), scores[line, column]])
+        v = np.concatenate([self.ids[old].ravel(), ids[column]])
+        order = np.lexsort((v, -(s + 1), q))
+        first = np.searchsorted(q[order], np.arange(len(touched)))
+        best = order[first[:, None] + np.arange(self.k)]
+        self.scores[old], self.ids[old] = s[best], v[best]
 
 
 def search(tree: CoverTree, queries: Queries, best: Best, same: bool) -> int:
     """Brings the rows of a tree into ``best``; returns how many (query, row) products were made.
 
-    Rows of the query's own id are left out, and so are rows of another label (``same``) or of its own.
+    The queries of a block share one queue, led by the highest bound that any of them has; at each ball only
+    those go on whose own bound and window allow it. Rows of the query's own id are left out, and so are
+    rows of another label (``same``) or of its own.
     """
-    asked = queries.weights.astype(np.float64)
-    bit = label_bit(queries.labels)
-    heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(len(queries.ids))]
+    asked, bit = queries.weights.astype(np.float64), label_bit(queries.labels)
+    product = exact_products(queries.weights, tree.weights)
+    bounds: dict[int, np.ndarray] = {}
+    heap: list[tuple[int, int]] = []
 
     def push(who: np.ndarray, nodes: np.ndarray) -> None:
         up, down = tree.bounds(asked[who], nodes)
@@ -190,40 +216,31 @@ def search(tree: CoverTree, queries: Queries, best: Best, same: bool) -> int:
         else:
             wanted = ~(tree.single[nodes][None, :] & (tree.label[nodes][None, :] == queries.labels[who][:, None]))
         wanted &= (up >= queries.low[who][:, None]) & (down <= queries.high[who][:, None])
-        up = np.minimum(up, queries.high[who][:, None])
-        line, column = np.nonzero(wanted)
-        for q, u, least, node in zip(who[line].tolist(), up[line, column].tolist(), tree.least[nodes[column]].tolist(), nodes[column].tolist()):
-            heapq.heappush(heaps[q], (-u, least, node))
-
-    push(np.arange(len(heaps)), np.zeros(1, np.int64))
-    live, made = list(range(len(heaps))), 0
-    while live:
-        turn: dict[int, list[int]] = {}
-        for q in live:
-            if heaps[q]:
-                up, least, node = heapq.heappop(heaps[q])
-                # nothing below can come before the k-th row found: a lower score, or the same and no smaller id
-                if (up, least) < (-int(best.scores[q, -1]), int(best.ids[q, -1])):
-                    turn.setdefault(node, []).append(q)
-                else:
-                    heaps[q] = []
-        for node, several in turn.items():
-            who = np.array(several)
-            if not tree.is_leaf[node]:
-                push(who, np.arange(tree.first[node], tree.last[node]))
-                continue
-            rows = slice(tree.begin[node], tree.end[node])
-            scores = exact_product(queries.weights[who], tree.weights[rows])
-            made += scores.size
-            ids = tree.ids[rows]
-            fit = (tree.labels[rows][None, :] == queries.labels[who][:, None]) == same
-            fit &= ids[None, :] != queries.ids[who][:, None]
-            fit &= (scores >= queries.low[who][:, None]) & (scores <= queries.high[who][:, None])
-            fit &= scores >= best.scores[who, -1][:, None]
-            for line in np.flatnonzero(fit.any(axis=1)).tolist():
-                hit = fit[line]
-                best.add(several[line], scores[line, hit], ids[hit])
-        live = [q for q in live if heaps[q]]
+        up = np.where(wanted, np.minimum(up, queries.high[who][:, None]), LEAST)
+        for k in np.flatnonzero(wanted.any(axis=0)).tolist():
+            node = int(nodes[k])
+            bounds[node] = np.full(len(asked), LEAST)
+            bounds[node][who] = up[:, k]
+            heapq.heappush(heap, (-int(up[:, k].max()), node))
+
+    push(np.arange(len(asked)), np.zeros(1, np.int64))
+    made = 0
+    while heap:
+        _, node = heapq.heappop(heap)
+        up = bounds.pop(node)
+        who = np.flatnonzero((up > LEAST) & best.may_enter(up, int(tree.least[node])))
+        if not len(who):
+            continue
+        if not tree.is_leaf[node]:
+            push(who, np.arange(tree.first[node], tree.last[node]))
+            continue
+        rows = slice(tree.begin[node], tree.end[node])
+        scores, ids = product(who, rows), tree.ids[rows]
+        made += scores.size
+        fit = (tree.labels[rows][None, :] == queries.labels[who][:, None]) == same
+        fit &= ids[None, :] != queries.ids[who][:, None]
+        fit &= (scores >= queries.low[who][:, None]) & (scores <= queries.high[who][:, None])
+        best.add(who, scores, ids, fit)
     return made
 
 

@@ -94,4 +94,6 @@ def test_bounds_hold_and_prune():
 
 def test_too_large_scores_are_an_error():
     with pytest.raises(OverflowError):
-        negatives.exact_product(np.full((1, 4), 1 << 31), np.full((1, 4), 1 << 31))
+        negatives.exact_products(np.full((1, 4), 1 << 31), np.full((1, 4), 1 << 31))
+    far = np.array([[(1 << 29) + 1, 3]])
+    assert negatives.exact_products(far, far)(np.array([0]), slice(0, 1)).tolist() == [[((1 << 29) + 1) ** 2 + 9]]
