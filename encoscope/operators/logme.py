@@ -7,11 +7,14 @@ vectors remain. The small per-encoder solve runs inside a grouped task, one grou
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,20 +90,25 @@ def _kept(sigma: np.ndarray, n_rows: float) -> int:
     return max(1, int((np.sqrt(sigma) > SINGULAR_CUT).sum()))
 
 
-def solve(n_rows: float, gram: np.ndarray, weights: np.ndarray, sums: np.ndarray, variant: Variant):
-    """Alpha, beta, evidence, steps and posterior mean of every class.
+def spectrum(n_rows: float, gram: np.ndarray, variant: Variant) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and directions of a Gram matrix that take part."""
+    sigma, vectors = _spectrum(gram)
+    if variant.cut_spectrum:
+        kept = _kept(sigma, n_rows)
+        sigma, vectors = sigma[:kept], vectors[:, :kept]
+    return sigma, vectors
+
+
+def walk(n_rows: float, width: int, sigma: np.ndarray, weights: np.ndarray, p: np.ndarray, variant: Variant):
+    """Alpha, beta, evidence, steps and rotated posterior mean of every class.
 
     In the eigenbasis of the Gram matrix a class is its vector ``p`` of projected sums. For a ratio
     t = alpha / beta the posterior mean is p / (sigma + t); alpha follows from its squared length,
     beta from the squared error it leaves, and both give the next ratio. All classes move together,
     each until its own ratio settles.
     """
-    width, count = len(gram), len(weights)
-    sigma, vectors = _spectrum(gram)
-    if variant.cut_spectrum:
-        kept = _kept(sigma, n_rows)
-        sigma, vectors = sigma[:kept], vectors[:, :kept]
-    p = np.where(sigma > 0, sums @ vectors, 0.0)
+    count = len(weights)
+    p = np.where(sigma > 0, p, 0.0)
     explained = np.divide(p * p, sigma, out=np.zeros_like(p), where=sigma > 0)
     # rounding may push a perfect fit below zero
     unexplained = np.maximum(weights - explained.sum(axis=1), 0.0)
@@ -125,7 +133,14 @@ def solve(n_rows: float, gram: np.ndarray, weights: np.ndarray, sums: np.ndarray
     spread = np.log(alpha[:, None] + beta[:, None] * sigma).sum(axis=1)
     misfit = beta * (error + slack) + alpha * (length + slack)
     evidence = (width * np.log(alpha) + n_rows * (np.log(beta) - math.log(2 * math.pi)) - spread - misfit) / (2 * n_rows)
-    return alpha, beta, evidence, steps, rotated @ vectors.T
+    return alpha, beta, evidence, steps, rotated
+
+
+def solve(n_rows: float, gram: np.ndarray, weights: np.ndarray, sums: np.ndarray, variant: Variant):
+    """Alpha, beta, evidence, steps and posterior mean of every class, all in one place."""
+    sigma, vectors = spectrum(n_rows, gram, variant)
+    *found, rotated = walk(n_rows, len(gram), sigma, weights, sums @ vectors, variant)
+    return *found, rotated @ vectors.T
 
 
 def pca_basis(n_rows, gram, total, components: int):
@@ -173,42 +188,151 @@ def project(df: DataFrame, bases: DataFrame, features: str = "features", keys: S
     return placed.withColumn(features, F.transform("basis", lambda b: dot(F.col("_centred"), b))).drop("_centred", "mean", "basis")
 
 
+MODEL = [("class", T.IntegerType()), ("alpha", T.DoubleType()), ("beta", T.DoubleType()), ("evidence", T.DoubleType()), ("steps", T.IntegerType()), ("m", T.ArrayType(T.DoubleType()))]
+
+
+def _floats(array: np.ndarray) -> bytes:
+    return np.ascontiguousarray(array, "<f8").tobytes()
+
+
+@dataclass(frozen=True)
+class Rotation:
+    """What the classes of one encoder need of its Gram matrix: one eigensolve, packed as one value."""
+
+    n_rows: float
+    width: int
+    sigma: np.ndarray
+    mean: np.ndarray
+    into: np.ndarray  # features to the eigenbasis
+    back: np.ndarray  # eigenbasis to the space of the posterior mean
+
+    def packed(self) -> bytes:
+        head = np.array([self.n_rows, self.width, len(self.mean), len(self.sigma)])
+        return b"".join(map(_floats, (head, self.sigma, self.mean, self.into, self.back)))
+
+    @staticmethod
+    def unpacked(raw: bytes) -> Rotation:
+        flat = np.frombuffer(raw, "<f8")
+        (n_rows, width, dims, kept), flat = flat[:4], flat[4:]
+        width, dims, kept = int(width), int(dims), int(kept)
+        sigma, mean, into, back = np.split(flat, np.cumsum([kept, dims, dims * kept]))
+        return Rotation(float(n_rows), width, sigma, mean, into.reshape(dims, kept), back.reshape(kept, width))
+
+    def classes(self, weights: np.ndarray, shares: np.ndarray, sums: np.ndarray, variant: Variant):
+        *found, rotated = walk(self.n_rows, self.width, self.sigma, weights, (sums - shares[:, None] * self.mean) @ self.into, variant)
+        return *found, rotated @ self.back
+
+
+def rotation(n_rows: float, gram: np.ndarray, total: np.ndarray, variant: Variant, components: int = 0) -> Rotation:
+    if not components:
+        sigma, vectors = spectrum(n_rows, gram, variant)
+        return Rotation(n_rows, len(gram), sigma, np.zeros(len(gram)), vectors, vectors.T)
+    mean, scatter, basis = pca_basis(n_rows, gram, total, components)
+    sigma, vectors = spectrum(n_rows, basis.T @ scatter @ basis, variant)
+    return Rotation(n_rows, components, sigma, mean, basis @ vectors, vectors.T)
+
+
+# Tasks over which the classes of one encoder are spread.
+SLICES = 8
+
+
 def fit_stats(
-    stats: DataFrame, keys: Sequence[str] = ("encoder",), variant: str = "fixed_point", components: int = 0
+    stats: DataFrame,
+    keys: Sequence[str] = ("encoder",),
+    variant: str = "fixed_point",
+    components: int = 0,
+    dense: bool = True,
+    slices: int = SLICES,
 ) -> DataFrame:
-    """Per-class LogME model ``(keys, class, alpha, beta, evidence, steps, m)`` from statistics.
+    """Per-class LogME model ``(keys, class, share, alpha, beta, evidence, steps, m)`` from statistics.
+
+    Classes run from 0 to the largest label; those without rows count too and are all alike. ``dense``
+    gives each of them a row; otherwise one row, under the least of their numbers, stands for all, and
+    ``share`` says for how many classes a row stands. With ``components`` the features are first reduced by
+    PCA.
 
-    Classes run from 0 to the largest label; those without rows count too.
-    With ``components`` the features are first reduced by PCA.
+    One task an encoder solves its D x D matrix. Classes are dealt into ``slices`` and streamed past that
+    solution, so neither their number nor their labels bound a task.
     """
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}; expected one of {sorted(VARIANTS)}")
-    chosen = VARIANTS[variant]
-    keys = list(keys)
-    schema = T.StructType(
-        [stats.schema[k] for k in keys]
-        + [
-            T.StructField("class", T.IntegerType()),
-            T.StructField("alpha", T.DoubleType()),
-            T.StructField("beta", T.DoubleType()),
-            T.StructField("evidence", T.DoubleType()),
-            T.StructField("steps", T.IntegerType()),
-            T.StructField("m", T.ArrayType(T.DoubleType())),
-        ]
-    )
+    chosen, keys = VARIANTS[variant], list(keys)
+    key_fields = [stats.schema[k] for k in keys]
+    fields = [T.StructField(name, kind) for name, kind in MODEL]
 
-    def solve_group(frame: pd.DataFrame) -> pd.DataFrame:
-        n_rows, gram, weights, sums, total, shares = assemble_stats(frame)
-        if components:
-            gram, sums = project_stats(n_rows, gram, sums, total, shares, components)
-        alpha, beta, evidence, steps, means = solve(n_rows, gram, weights, sums, chosen)
-        out = pd.DataFrame({k: [frame[k].iloc[0]] * len(weights) for k in keys})
-        out["class"] = np.arange(len(weights), dtype=np.int32)
-        out["alpha"], out["beta"], out["evidence"] = alpha, beta, evidence
-        out["steps"], out["m"] = steps, list(means)
-        return out[[f.name for f in schema]]
+    def turn(frame: pd.DataFrame) -> pd.DataFrame:
+        n_rows, gram, _, _, total, _ = assemble_stats(frame)
+        found = rotation(n_rows, gram, total, chosen, components)
+        alpha, beta, evidence, steps, m = found.classes(np.zeros(1), np.zeros(1), np.zeros((1, len(total))), chosen)
+        out = pd.DataFrame({k: [frame[k].iloc[0]] for k in keys})
+        out["rotation"] = [found.packed()]
+        out["alpha"], out["beta"], out["evidence"], out["steps"], out["m"] = alpha, beta, evidence, steps, list(m)
+        return out
 
-    return stats.groupBy(*keys).applyInPandas(solve_group, schema)
+    def solve_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned, share = None, None
+        for batch in batches:
+            plain = batch.select(["_first", "i", "n", "_target"]).to_pandas()
+            starts = np.flatnonzero(plain["_first"].to_numpy())
+            for a, b in zip(np.append(0, starts), np.append(starts, len(plain))):
+                if a == b:
+                    continue
+                if plain["_first"].iat[a]:
+                    turned, a = Rotation.unpacked(batch.column("rotation")[int(a)].as_py()), a + 1
+                part = plain.iloc[a:b]
+                shares = part["n"].to_numpy(float).copy()
+                # the plain sum of a target comes right before its class row
+                target = part["_target"].to_numpy(bool)
+                shares[1:] = np.where(target[:-1], shares[:-1], shares[1:])
+                if len(part) and share is not None and not target[0]:
+                    shares[0] = share
+                share = float(part["n"].iat[-1]) if len(part) and target[-1] else None
+                rows = a + np.flatnonzero(~target)
+                if not len(rows):
+                    continue
+                sums = np.stack(batch.column("vec").take(pa.array(rows)).to_numpy(zero_copy_only=False))
+                alpha, beta, evidence, steps, m = turned.classes(part["n"].to_numpy(float)[~target], shares[~target], sums, chosen)
+                numbers = pa.array(part["i"].to_numpy()[~target]).cast(pa.int32())
+                columns = [batch.column(k).take(pa.array(rows)) for k in keys] + [numbers, *map(pa.array, (alpha, beta, evidence, steps))]
+                offsets = np.arange(0, m.size + 1, max(1, m.shape[1]))[: len(m) + 1].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))], [*keys, *(name for name, _ in MODEL)])
+
+    # a filter that also reads both sums stays above them, so all parts come from one read of the features
+    # (a join on equal keys would add a filter that does not)
+    def same(names: Sequence[str]) -> Column:
+        return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names], F.lit(True))
+
+    def of_kind(*kinds: str) -> Column:
+        return F.when(F.col("n").isNull() | (F.size("vec") < 0), F.lit(False)).otherwise(F.col("kind").isin(*kinds))
+
+    plane = T.StructType([*key_fields, T.StructField("rotation", T.BinaryType()), *fields[1:]])
+    turned = stats.where(of_kind("gram", "total")).groupBy(*keys).applyInPandas(turn, plane)
+    classes = stats.where(of_kind("class", "target"))
+    deal = F.pmod(F.xxhash64("i"), F.lit(slices)).cast("int")
+    nothing = {c: F.lit(None).cast(stats.schema[c].dataType) for c in ("i", "n", "vec")}
+    heads = turned.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), *[v.alias(c) for c, v in nothing.items()], F.lit(False).alias("_target"), "rotation")
+    given = classes.select(*keys, deal.alias("slice"), "i", "n", "vec", (F.col("kind") == "target").alias("_target"), F.lit(None).cast("binary").alias("rotation"))
+    placed = heads.unionByName(given).withColumn("_first", F.col("rotation").isNotNull()).repartition(*keys, "slice")
+    order = [*keys, "slice", F.desc("_first"), "i", F.desc("_target")]
+    present = placed.sortWithinPartitions(*order).mapInArrow(solve_classes, T.StructType([*key_fields, *fields]))
+
+    ids = stats.where(of_kind("class")).select(*keys, "i")
+    if dense:
+        every = ids.groupBy(*keys).agg(F.max("i").alias("_last")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("i"))
+        taken = ids.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("i").alias("_i"))
+        absent = every.join(taken, same(keys) & (F.col("i") == F.col("_i")), "left_anti").withColumn("share", F.lit(1).cast("long"))
+    else:
+        # the least number not taken: the first place where the numbers in order run ahead of their count
+        in_order = Window.partitionBy(*keys).orderBy("i")
+        gaps = ids.withColumn("_at", F.row_number().over(in_order) - 1).groupBy(*keys).agg(
+            F.min(F.when(F.col("i") > F.col("_at"), F.col("_at"))).alias("i"), (F.max("i") + 1 - F.count("*")).alias("share")
+        )
+        absent = gaps.where("share > 0").select(*keys, F.col("i").cast("long").alias("i"), "share")
+    evidence = turned.drop("rotation").withColumnsRenamed({k: f"_{k}" for k in keys})
+    alike = absent.join(evidence, same(keys))
+    columns = [*keys, "class", "share", *(name for name, _ in MODEL[1:])]
+    filled = alike.withColumn("class", F.col("i").cast("int")).select(*columns)
+    return present.withColumn("share", F.lit(1).cast("long")).select(*columns).unionByName(filled)
 
 
 def fit_pool(
@@ -219,19 +343,20 @@ def fit_pool(
     keys: Sequence[str] = ("encoder",),
     variant: str = "fixed_point",
     components: int = 0,
+    dense: bool = True,
 ) -> DataFrame:
     """LogME model of every encoder (or encoder x pooling x task) named by ``keys``."""
     stats = sufficient_stats(df, features, label, targets, keys)
-    return fit_stats(stats, keys, variant, components)
+    return fit_stats(stats, keys, variant, components, dense)
 
 
 def score_models(models: DataFrame, keys: Sequence[str] = ("encoder",)) -> DataFrame:
     """LogME score: mean evidence over classes."""
-    return models.groupBy(*keys).agg(F.avg("evidence").alias("logme"))
+    return models.groupBy(*keys).agg((F.sum(F.col("evidence") * F.col("share")) / F.sum("share")).alias("logme"))
 
 
 def score_pool(df: DataFrame, keys: Sequence[str] = ("encoder",), **options) -> DataFrame:
-    return score_models(fit_pool(df, keys=keys, **options), keys)
+    return score_models(fit_pool(df, keys=keys, dense=False, **options), keys)
 
 
 def leaderboard(scores: DataFrame, score: str, name: str, within: Sequence[str] = (), top: int | None = None) -> DataFrame:
@@ -259,9 +384,10 @@ def predict(
     fetched = fetch_bounded(models.select(*keys, "class", "m"), max_cells, 8 * max_cells)
     if fetched is None:
         return _predict_by_join(df, models, features, keys, regression)
-    held: dict[tuple, np.ndarray] = {}
+    held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     for key, part in fetched.to_pandas().groupby(keys, sort=False):
-        held[key if isinstance(key, tuple) else (key,)] = np.stack(part.sort_values("class")["m"].to_list())
+        part = part.sort_values("class")
+        held[key if isinstance(key, tuple) else (key,)] = part["class"].to_numpy(), np.stack(part["m"].to_list())
     kind = "array<double>" if regression else "int"
 
     @F.pandas_udf(kind)
@@ -269,7 +395,7 @@ def predict(
         out = np.full(len(values), None, dtype=object)
         given = values.notna().to_numpy()
         for name, rows in key.groupby(list(key.columns), sort=False).indices.items():
-            matrix = held.get(name if isinstance(name, tuple) else (name,))
+            classes, matrix = held.get(name if isinstance(name, tuple) else (name,), (None, None))
             rows = rows[given[rows]]
             if matrix is None or not len(rows):
                 continue
@@ -277,7 +403,7 @@ def predict(
             if regression:
                 out[rows] = pd.Series(list(logits), dtype=object).to_numpy()
             else:
-                out[rows] = logits.argmax(axis=1)
+                out[rows] = classes[logits.argmax(axis=1)]
         return pd.Series(out) if regression else pd.Series(out).astype("Int32")
 
     return df.withColumn("prediction", apply_model(F.col(features), F.struct(*keys)))
@@ -286,11 +412,11 @@ def predict(
 def _predict_by_join(df, models, features, keys, regression):
     """Models too large to hold at once meet the feature rows in a join on the encoder."""
     grouped = models.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("class", "m"))), lambda s: s["m"]).alias("_ms")
+        F.array_sort(F.collect_list(F.struct("class", "m"))).alias("_ms")
     )
-    logits = F.transform("_ms", lambda m: dot(F.col(features), m))
+    logits = F.transform("_ms", lambda s: dot(F.col(features), s["m"]))
     joined = split_join(df, grouped, keys, "left").withColumn("_logits", logits)
-    picked = F.col("_logits") if regression else argmax0(F.col("_logits"))
+    picked = F.col("_logits") if regression else F.get("_ms", argmax0(F.col("_logits")))["class"]
     return joined.withColumn("prediction", picked).drop("_ms", "_logits")
 
 

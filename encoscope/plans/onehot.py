@@ -103,6 +103,32 @@ def logme_onehot_regression(spark, sf_dir):
     return scores.select("encoder", F.round("logme", 6).alias("logme"))
 
 
+SPREAD = 40_000_000
+
+# Every class without rows walks alike, so one cell stands for all of them and counts as often as they are.
+SQL_SPARSE_CELLS = f"""
+counts AS (SELECT w, bucket, label * {SPREAD} AS c, count(*)::DOUBLE AS n FROM rows_ GROUP BY 1, 2, 3),
+present AS (SELECT DISTINCT w, c FROM counts),
+grid AS (SELECT s.w, s.bucket, p.c FROM sizes s JOIN present p USING (w) UNION ALL SELECT w, bucket, -1 FROM sizes),
+cells AS (
+  SELECT g.w, g.c, sum(coalesce(n, 0)) AS weight, list(coalesce(n, 0.0::DOUBLE) ORDER BY g.bucket) AS p
+  FROM grid g LEFT JOIN counts k ON k.w = g.w AND k.bucket = g.bucket AND k.c = g.c GROUP BY 1, 2
+),
+shares AS (SELECT w, c, 1.0::DOUBLE AS share FROM present UNION ALL SELECT w, -1, (max(c) + 1 - count(*))::DOUBLE FROM present GROUP BY 1),"""
+
+
+def sql_shared_walk(walk: str) -> str:
+    """The walk with the mean over classes weighed by their shares."""
+    return walk.replace("SELECT w, avg((", "SELECT w, sum(share * (").replace("/ n_rows) AS logme\n  FROM newest WHERE newest = 1", "/ n_rows) / sum(share) AS logme\n  FROM newest JOIN shares USING (w, c) WHERE newest = 1")
+
+
+@query("logme_sparse_leaderboard", f"WITH RECURSIVE {SQL_BUCKETS} {SQL_SPARSE_CELLS} {sql_shared_walk(FIXED)} {SQL_LOGME}")
+def logme_sparse_leaderboard(spark, sf_dir):
+    """Scores with labels so far apart that nearly all of some hundred million classes have no rows."""
+    rows = bucket_encoders(spark, sf_dir).withColumn("label", (F.col("label") * SPREAD).cast("int"))
+    return logme.score_pool(rows).select("encoder", F.round("logme", 6).alias("logme"))
+
+
 BUCKETS = 3
 
 
