@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,11 +131,38 @@ def words_without_pieces(words: DataFrame, sequences: DataFrame, keys: Sequence[
     return wanted.join(words.select(*keys, "pos"), [*keys, "pos"], "left_anti")
 
 
+def length_batches(lengths: Sequence[int], cells: int) -> list[np.ndarray]:
+    """Places of items in batches of like length, whose count times their longest length stays within ``cells``.
+
+    An item that is longer by itself is a batch of its own.
+    """
+    order = np.argsort(lengths, kind="stable")
+    batches, start = [], 0
+    for end in range(1, len(order) + 1):
+        # in ascending order the next item is the longest of a batch that took it in
+        if end == len(order) or (end + 1 - start) * max(1, lengths[order[end]]) > cells:
+            batches.append(order[start:end])
+            start = end
+    return batches
+
+
 def embed_texts(
-    df: DataFrame, factory: Callable[[], Callable], text: str = "text", out: str = "features", keep: Sequence[str] | None = None
+    df: DataFrame,
+    factory: Callable[[], Callable],
+    text: str = "text",
+    out: str = "features",
+    keep: Sequence[str] | None = None,
+    cells: int | None = None,
+    length: Callable = len,
+    profile=None,
 ) -> DataFrame:
     """Vectors from a user model: ``factory()`` is called once per Python worker and gives a function
-    from a list of texts (or token lists) to a 2-D array. Texts go through in Arrow batches."""
+    from a list of texts (or token lists) to a 2-D array. Texts go through in Arrow batches.
+
+    With ``cells`` a batch is cut into calls of texts of like ``length``, each within so many padded cells;
+    rows come out in their own order again. ``profile`` is a resource profile for the stage, for models that
+    need a GPU or more memory. A null text reaches the model as None and has length zero.
+    """
     name = function_key(factory)
     kept = [c for c in df.columns if c != text] if keep is None else list(keep)
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"`{out}` array<double>"])
@@ -142,10 +170,18 @@ def embed_texts(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = per_worker(("model", name), factory)
         for batch in batches:
-            if len(batch):
-                vectors = model(batch[text].tolist())
-                result = batch[kept].copy()
-                result[out] = [row for row in vectors]
-                yield result
-
-    return df.select(*kept, text).mapInPandas(run, schema)
+            if not len(batch):
+                continue
+            texts = batch[text].tolist()
+            result = batch[kept].copy()
+            if cells is None:
+                result[out] = [row for row in model(texts)]
+            else:
+                vectors: list = [None] * len(texts)
+                for places in length_batches([0 if t is None else length(t) for t in texts], cells):
+                    for place, row in zip(places, model([texts[p] for p in places])):
+                        vectors[place] = row
+                result[out] = vectors
+            yield result
+
+    return df.select(*kept, text).mapInPandas(run, schema, profile=profile)

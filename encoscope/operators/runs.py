@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from queue import Queue
+from threading import Event, Timer
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,23 +78,85 @@ def over_seeds(results: DataFrame, keys: Sequence[str], value: str = "value") ->
 RUN_RESULT = "task string, encoder string, pooling string, head string, seed int, value double, error string"
 
 
-def run_all(runs: DataFrame, execute, registry: str | None = None) -> DataFrame:
-    """Carry pending runs out one after the other; each one is a distributed job of its own.
+def run_all(
+    runs: DataFrame,
+    execute,
+    registry: str | None = None,
+    at_once: int = 1,
+    retries: int = 0,
+    limit: float | None = None,
+    pool: str | None = None,
+) -> DataFrame:
+    """Carry pending runs out, ``at_once`` of them beside each other; each is a distributed job of its own.
 
     ``execute(row)`` returns a metric value. Gives one row a run: ``value``, or the ``error`` of a run
-    that failed, which does not stop the others. Each success is appended to the ``registry`` folder as
-    it ends, so a driver that is lost repeats one run at most. Runs are fetched one partition at a time.
+    that failed ``retries`` times more, which does not stop the others. Each success is appended to the
+    ``registry`` folder as it ends, so a driver that is lost repeats the runs in flight at most. Runs are
+    fetched one partition at a time, and no more than twice ``at_once`` wait.
+
+    The jobs of a run share a job group, and with ``pool`` a scheduler pool of that name and its number, so
+    that a fair scheduler shares the cluster among them. A run that takes more than ``limit`` seconds has its
+    jobs cancelled; that counts as a failure.
     """
     spark: SparkSession = runs.sparkSession
-    done = []
-    for row in runs.orderBy(*RUN_KEYS).toLocalIterator():
-        key = [row[k] for k in RUN_KEYS]
+    context = spark.sparkContext
+    slots: Queue = Queue()
+    for slot in range(at_once):
+        slots.put(slot)
+
+    def attempt(row, group: str, slot: int) -> float:
+        context.setJobGroup(group, f"run {group}", interruptOnCancel=True)
+        if pool is not None:
+            context.setLocalProperty("spark.scheduler.pool", f"{pool}-{slot}")
+        late = Event()
+
+        def cancel() -> None:
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = Timer(limit, cancel) if limit is not None else None
+        try:
+            if timer:
+                timer.start()
+            value = float(execute(row))
+        except Exception as err:
+            raise TimeoutError(f"took more than {limit} seconds") if late.is_set() else err
+        finally:
+            if timer:
+                timer.cancel()
+        if late.is_set():
+            raise TimeoutError(f"took more than {limit} seconds")
+        return value
+
+    def carry(row) -> tuple:
+        key, slot = [row[k] for k in RUN_KEYS], slots.get()
         try:
-            done.append((*key, float(execute(row)), None))
-        except Exception as err:  # noqa: BLE001  the failure is part of the result
-            done.append((*key, None, f"{type(err).__name__}: {err}"))
-            continue
-        if registry is not None:
-            finished = spark.createDataFrame(done[-1:], RUN_RESULT).select(*RUN_KEYS)
-            finished.coalesce(1).write.mode("append").parquet(registry)
+            for turn in range(retries + 1):
+                try:
+                    return (*key, attempt(row, f"{uuid.uuid4().hex}-{turn}", slot), None)
+                except Exception as err:  # noqa: BLE001  the failure is part of the result
+                    failed = f"{type(err).__name__}: {err}"
+            return (*key, None, failed)
+        finally:
+            slots.put(slot)
+
+    def settle(finished) -> None:
+        for future in finished:
+            done.append(future.result())
+            if done[-1][-1] is None and registry is not None:
+                row = spark.createDataFrame(done[-1:], RUN_RESULT).select(*RUN_KEYS)
+                row.coalesce(1).write.mode("append").parquet(registry)
+
+    done: list[tuple] = []
+    waiting: set = set()
+    with ThreadPoolExecutor(at_once) as threads:
+        for row in runs.orderBy(*RUN_KEYS).toLocalIterator():
+            # a thread starts with the local properties of the caller
+            waiting.add(threads.submit(inheritable_thread_target(spark)(carry), row))
+            if len(waiting) >= 2 * at_once:
+                finished, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+                settle(finished)
+        while waiting:
+            finished, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+            settle(finished)
     return spark.createDataFrame(done, RUN_RESULT)

@@ -40,13 +40,11 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_VOCABULARY = f"""
 words AS (SELECT DISTINCT unnest({sql_tokens('text')}) AS word FROM benchmark UNION SELECT 'UNK'),
-vocab AS MATERIALIZED (
-  SELECT word, embedding AS vec FROM words
-  JOIN embeddings ON vec_id = ('0x' || left(md5(word), 8))::BIGINT % (SELECT count(*) FROM embeddings)
-)"""
+vocab_ids AS MATERIALIZED (SELECT word, ('0x' || left(md5(word), 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM words),
+vocab AS MATERIALIZED (SELECT word, embedding AS vec FROM vocab_ids JOIN embeddings USING (vec_id))"""
 
 SQL_TOKEN_VECTORS = f"""{SQL_TOKENS}, {SQL_VOCABULARY},
-vectors AS (
+vectors AS MATERIALIZED (
   SELECT t.conv_id, t.turn, t.pos, t.token, v.word IS NOT NULL AS known, coalesce(v.vec, u.vec) AS vec
   FROM toks t LEFT JOIN vocab v ON v.word = t.token, (SELECT vec FROM vocab WHERE word = 'UNK') AS u
 )"""
@@ -227,6 +225,37 @@ def hashing_encoder():
     return encode
 
 
+def padded_encoder():
+    """The same toy model over one padded matrix of token hashes a batch, as sequence models take them."""
+    import numpy
+
+    def bucket(token: str) -> int:
+        return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % BUCKETS
+
+    def encode(texts):
+        longest = max(map(len, texts))
+        cells = numpy.full((len(texts), longest), BUCKETS)
+        for row, tokens in enumerate(texts):
+            cells[row, : len(tokens)] = [bucket(t) for t in tokens]
+        return numpy.stack([numpy.bincount(row, minlength=BUCKETS + 1)[:BUCKETS] for row in cells]).astype(float)
+
+    return encode
+
+
+@query(
+    "embed_length_batches",
+    f"""WITH words AS (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents),
+counts AS (SELECT doc_id, ('0x' || left(md5(token), 8))::BIGINT % {BUCKETS} AS bucket, count(*) AS n FROM words GROUP BY 1, 2)
+SELECT d.doc_id, r.bucket::INT AS bucket, coalesce(n, 0)::DOUBLE AS value
+FROM documents d CROSS JOIN unnest(range(0, {BUCKETS})) AS r(bucket) LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.bucket = r.bucket""",
+)
+def embed_length_batches(spark, sf_dir):
+    """Vectors of a model that pads, in batches of like length."""
+    docs = texts(spark, sf_dir, "documents").select("doc_id", whitespace_tokens(F.col("text")).alias("tokens"))
+    vectors = embed.embed_texts(docs, padded_encoder, "tokens", cells=1 << 15)
+    return vectors.select("doc_id", F.posexplode("features").alias("bucket", "value"))
+
+
 @query(
     "embed_callable",
     f"""WITH words AS (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents),

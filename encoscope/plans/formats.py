@@ -38,14 +38,15 @@ def split_csv_files(spark, sf_dir):
 
 @query(
     "dataset_split",
-    "SELECT md5(text) AS digest, lang AS label FROM documents WHERE doc_id % 3 = 0",
+    "SELECT CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, md5(text) AS digest, lang AS label FROM documents",
 )
 def dataset_split(spark, sf_dir):
-    """One split of a saved dataset, by its text and label columns."""
+    """Each split of a saved dataset, by its text and label columns."""
     path = scratch_path(spark, "dataset")
     split = F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train")
     table(spark, sf_dir, "documents").withColumn("split", split).write.parquet(path)
-    return labelled.read_dataset(spark, path, "test", "text", "lang").select(F.md5("text").alias("digest"), "label")
+    parts = [labelled.read_dataset(spark, path, name, "text", "lang").select(F.lit(name).alias("split"), F.md5("text").alias("digest"), "label") for name in ("train", "test")]
+    return parts[0].unionByName(parts[1])
 
 
 @query(

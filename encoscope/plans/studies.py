@@ -9,6 +9,7 @@ from encoscope.operators import heads, logme, ranking, runs, splits
 from encoscope.operators.evaluate import batch_means
 from encoscope.plans import query, table
 from encoscope.plans.data import ENCODERS
+from encoscope.session import scratch_path
 
 # The seven line numbers of an order stand for the seven encoders of a pool.
 POOL_SIZE = 7
@@ -284,6 +285,31 @@ def seed_summary(spark, sf_dir):
     return runs.over_seeds(per_seed, ["run"]).withColumns({"mean": F.round(F.col("mean") + TIE, 6), "stddev": F.round("stddev", 6)})
 
 
+@query(
+    "grid_runs",
+    """WITH cells AS (SELECT event_type AS task, (user_id % 5)::INT AS seed, avg(value) AS value FROM events GROUP BY 1, 2)
+SELECT task, seed, CASE WHEN seed < 4 THEN round(value, 6) END AS value, CASE WHEN seed = 4 THEN 'ValueError: no seed 4' END AS error,
+       seed = 4 AS pending FROM cells""",
+)
+def grid_runs(spark, sf_dir):
+    """A grid carried out four runs at a time, a job each; failed runs are rows and stay pending."""
+    events = table(spark, sf_dir, "events")
+    tasks = events.select(F.col("event_type").alias("task")).distinct()
+    grid = runs.grid(tasks, ["static"], ["mean"], ["linear"], range(5))
+
+    def execute(row):
+        if row["seed"] == 4:
+            raise ValueError("no seed 4")
+        part = events.where((F.col("event_type") == row["task"]) & (F.pmod("user_id", F.lit(5)) == row["seed"]))
+        return part.agg(F.avg("value")).first()[0]
+
+    registry = scratch_path(spark, "runs")
+    done = runs.run_all(grid, execute, registry, at_once=4, retries=1)
+    left = runs.pending(grid, spark.read.parquet(registry)).select("task", "seed", F.lit(True).alias("pending"))
+    joined = done.join(left, ["task", "seed"], "left")
+    return joined.select("task", "seed", F.round("value", 6).alias("value"), "error", F.coalesce("pending", F.lit(False)).alias("pending"))
+
+
 def head_parts(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").alias("features"), F.concat(F.lit("class-"), F.col("label").cast("string")).alias("label")
