@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encoscope.functions.lookups import bounded_rows, lookup_join
-from encoscope.functions.vectors import array_mean_pool, pooling
+from encoscope.functions.vectors import array_mean_pool, pooling, vector_mean
 from encoscope.functions.workers import function_key, per_worker
 
 # Fixed value: the vocabulary entry that stands for unknown words.
@@ -125,6 +125,26 @@ def words_from_pieces(pieces: DataFrame, keys: Sequence[str], cls: bool = False)
     return words.unionByName(firsts)
 
 
+def words_from_lookup(
+    pieces: DataFrame, keys: Sequence[str], inventory: DataFrame, on: str = "text", cls: bool = False, piece: str = "piece"
+) -> DataFrame:
+    """Mean vector of the pieces of each word, looked up by ``on``: ``(keys, pos, n_pieces, vec)``.
+
+    Words are numbered before the lookup, so the sort carries no vectors; behind a broadcast inventory
+    none are shuffled at all, as rows already lie by sequence. Pieces that ``inventory`` (``on``, vec) does
+    not hold are left out. With ``cls`` the first special piece of a sequence is kept as position -1.
+    """
+    so_far = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.when(~F.col("is_special") & (F.col("off_start") == 0), 1).otherwise(0)
+    first = F.min(F.when(F.col("is_special"), F.col(piece))).over(Window.partitionBy(*keys))
+    slim = pieces.select(*keys, piece, on, "off_start", "is_special")
+    numbered = slim.withColumn("pos", (F.sum(begins).over(so_far) - 1).cast("int")).withColumn("_first", first)
+    kept = numbered.where(~F.col("is_special") | (F.lit(cls) & (F.col(piece) == F.col("_first"))))
+    placed = kept.select(*keys, F.when(F.col("is_special"), F.lit(CLS_POSITION)).otherwise(F.col("pos")).alias("pos"), on)
+    known = lookup_join(placed, inventory, on, "inner", max_rows=VOCABULARY_ROWS)
+    return known.groupBy(*keys, "pos").agg(F.count("*").alias("n_pieces"), vector_mean(F.col("vec")).alias("vec"))
+
+
 def words_without_pieces(words: DataFrame, sequences: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """Words that got no piece (cut off or empty): ``(keys, pos, token)``."""
     wanted = token_rows(sequences, keys, tokens)

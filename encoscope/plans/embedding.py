@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encoscope.functions.lookups import lookup_join
 from encoscope.functions.text import recombine_pieces, whitespace_tokens
 from encoscope.functions.vectors import array_sum, fold
 from encoscope.operators import embed, leep
@@ -127,11 +126,9 @@ def piece_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def piece_vectors(spark, sf_dir):
-    pieces = piece_rows(spark, sf_dir)
-    inventory = word_vectors(spark, sf_dir, pieces.select(F.col("text").alias("word")).distinct())
-    named = inventory.withColumnRenamed("word", "text")
-    return lookup_join(pieces, named, "text", max_rows=50_000)
+def piece_inventory(spark, sf_dir, pieces):
+    """A vector for each piece that comes."""
+    return word_vectors(spark, sf_dir, pieces.select(F.col("text").alias("word")).distinct()).withColumnRenamed("word", "text")
 
 
 SQL_PIECES = f"""{SQL_TOKENS},
@@ -170,7 +167,8 @@ FROM conversations JOIN embeddings e ON vec_id = ('0x' || left(md5('[CLS]'), 8))
 )
 def subword_to_word_mean(spark, sf_dir):
     """Word vectors from piece vectors, with the special piece kept in front."""
-    words = embed.words_from_pieces(piece_vectors(spark, sf_dir), ["conv_id", "turn"], cls=True)
+    pieces = piece_rows(spark, sf_dir)
+    words = embed.words_from_lookup(pieces, ["conv_id", "turn"], piece_inventory(spark, sf_dir, pieces), cls=True)
     return words.select(
         "conv_id",
         "turn",

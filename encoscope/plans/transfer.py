@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encoscope.functions.vectors import as_vector
-from encoscope.operators import logme, stats
+from encoscope.operators import logme, stats, wide
 from encoscope.plans import query, table
 
 
@@ -51,6 +51,18 @@ def gram_matrix(spark, sf_dir):
     return stats.gram_cells(summed, ()).select("i", "j", F.round("g", 6).alias("g"))
 
 
+@query(
+    "gram_tiles",
+    f"""WITH {LONG_FORM}
+SELECT a.dim::BIGINT AS i, b.dim::BIGINT AS j, round(sum(a.f * b.f), 6) + 0.0 AS g
+FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY 1, 2""",
+)
+def gram_tiles(spark, sf_dir):
+    """The Gram matrix put together from tiles of 24 columns, the last one narrower."""
+    tiles = wide.gram_tiles(embedding_rows(spark, sf_dir), keys=(), tile=24)
+    return wide.tile_cells(tiles, ()).select("i", "j", F.round("g", 6).alias("g"))
+
+
 @query(
     "class_sums",
     f"""WITH {LONG_FORM}
@@ -387,3 +399,28 @@ def pca_project(spark, sf_dir):
     bases = logme.pca_bases(stats.sufficient_stats(pool, label=None), 1)
     rows = logme.project(pool, bases)
     return rows.select("encoder", "vec_id", F.round(F.abs(F.get("features", F.lit(0))), 6).alias("size"))
+
+
+@query(
+    "principal_axes",
+    f"""WITH {PLANE_ROWS},
+moments AS (
+  SELECT e, count(*) AS n, avg(f1) AS u1, avg(f2) AS u2, covar_pop(f1, f1) AS a, covar_pop(f1, f2) AS b, covar_pop(f2, f2) AS d FROM rows2 GROUP BY 1
+)
+SELECT 'enc-' || lpad(e::VARCHAR, 2, '0') AS encoder, n, round(u1, 6) + 0.0 AS mean_1, round(u2, 6) + 0.0 AS mean_2,
+       round(sqrt(n * ((a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b))), 6) AS first, round(sqrt(n * ((a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b))), 6) AS second,
+       round(abs(cos(0.5 * atan2(2 * b, a - d))), 6) AS size_1 FROM moments""",
+)
+def principal_axes(spark, sf_dir):
+    """Means, singular values and first axis of two-dimensional encoders, by a tree of QR factors."""
+    found = wide.axes(encoder_slices(spark, sf_dir, 2), 2)
+    place = lambda name, k: F.round(F.get(name, F.lit(k)), 6)
+    return found.select(
+        "encoder",
+        "n",
+        (place("mean", 0) + 0.0).alias("mean_1"),
+        (place("mean", 1) + 0.0).alias("mean_2"),
+        place("singular", 0).alias("first"),
+        place("singular", 1).alias("second"),
+        F.round(F.abs(F.get(F.get("basis", F.lit(0)), F.lit(0))), 6).alias("size_1"),
+    )
