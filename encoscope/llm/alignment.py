@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -22,13 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encoscope.functions.workers import per_worker
-from encoscope.llm.common import row_slices, shuffle_parts
+from encoscope.llm.common import merged_batches, row_slices, shuffle_parts
+from encoscope.llm.counting import PIECES
 from encoscope.llm.tally import ODD, PARTS, answered, answers_of, bits_for, dealt, filed, mixed, packed, tallied, unpacked
-from encoscope.llm.tokens import UNEVEN, Encoder, Memo, byte_letters
+from encoscope.llm.tokens import UNEVEN, byte_letters
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+# Characters of texts that are cut into words at a time.
+CHARACTERS = 1 << 18
 # Characters of a text that are aligned at a time; longer texts are cut where both tokenizers always cut.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+# Tokens that are sorted at a time, and words whose ids a worker remembers (twice as many at most).
+TOKENS = 1 << 16
+WORDS = 50_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
 BLANK = "▁"  # fixed value: how sentencepiece writes a space
 UNMIX = np.uint64(pow(int(ODD), -1, 1 << 64))
@@ -41,20 +46,31 @@ RESULT = "doc_id {id}, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 
 class ByteTokens:
-    """Tokens of a byte-level BPE file with the bytes of each id; strings of special tokens are plain text."""
+    """Tokens of a byte-level BPE file with the bytes of each id; strings of special tokens are plain text.
+
+    Its merges are ranked by the ids that they make, so ``tiktoken`` gives the file's own ids.
+    """
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path, plain=True)
-        letters = {letter: byte for byte, letter in byte_letters().items()}
-        size = self.encoder.tokenizer.get_vocab_size()
-        pieces = [self.encoder.tokenizer.id_to_token(i) or "" for i in range(size)]
+        import tiktoken
+
         with open(path, encoding="utf-8") as file:
-            added = {t["content"] for t in json.load(file)["added_tokens"]}
-        self.bytes = [p.encode() if p in added else bytes(letters[c] for c in p) for p in pieces]
+            parts = json.load(file)
+        added = {t["content"] for t in parts["added_tokens"]}
+        letters = {letter: byte for byte, letter in byte_letters().items()}
+        vocabulary = parts["model"]["vocab"]
+        merges = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in parts["model"]["merges"]]
+        if merges != sorted(merges):
+            raise ValueError(f"{path}: merges are not in the order of their ids")
+        ranks = {bytes(letters[c] for c in piece): i for piece, i in vocabulary.items() if piece not in added}
+        self.encoding = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [b""] * (max(vocabulary.values()) + 1)
+        for piece, i in ranks.items():
+            self.bytes[i] = piece
 
     def ids(self, text: str) -> np.ndarray:
-        """Ids of a blank and the text."""
-        return self.encoder.encode(" " + text).astype(np.int64)
+        """Ids of a blank and the text. Every byte has a token, so they always give its bytes back."""
+        return np.array(self.encoding.encode_ordinary(" " + text), np.int64)
 
 
 class PieceTokens:
@@ -68,15 +84,36 @@ class PieceTokens:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         # a blank between two other characters starts a token if no piece goes on over one
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in pieces)
-        self.words = Memo(self._word)
-
-    def _word(self, text: str) -> bytes:
-        return array("i", self.model.encode(text, num_threads=1)).tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        if not text or not self.cuts or text[:1].isspace() or UNEVEN.search(text):
-            return np.array(self.model.encode(text, num_threads=1), np.int64)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), np.int32).astype(np.int64)
+        self.words, self.older = {}, {}
+
+    def split(self, text: str) -> list[str] | None:
+        """The words of a text, if every blank in it is a certain cut."""
+        return text.split(" ") if text and self.cuts and not text[:1].isspace() and not UNEVEN.search(text) else None
+
+    def sound(self, text: str, ids: list[int]) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode()
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of the words that are not known yet, asked for at once; None where they do not give the bytes back."""
+        if len(self.words) > WORDS:
+            self.words, self.older = {}, self.words
+        new = []
+        for word in words:
+            if word not in self.words:
+                if word in self.older:
+                    self.words[word] = self.older[word]
+                else:
+                    new.append(word)
+        for word, ids in zip(new, self.model.encode(new, num_threads=1)):
+            self.words[word] = array("i", ids).tobytes() if self.sound(word, ids) else None
+
+    def ids(self, text: str, words: list[str] | None) -> np.ndarray | None:
+        """Ids of a blank and the text, or None where they do not give its bytes back."""
+        if words is None:
+            ids = self.model.encode(text, num_threads=1)
+            return np.array(ids, np.int64) if self.sound(text, ids) else None
+        found = list(map(self.words.__getitem__, words))
+        return None if None in found else np.frombuffer(b"".join(found), np.int32).astype(np.int64)
 
 
 def segments(text: str, cuts: bool) -> list[str]:
@@ -121,7 +158,6 @@ class Aligner:
     """Both tokenizers of a worker, and what is built from their vocabularies once."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = ByteTokens(a_path), PieceTokens(b_path)
         self.a_size, self.b_size = (np.array(list(map(len, t.bytes)), np.int64) for t in (self.a, self.b))
         names = [[str(i).encode() for i in range(len(t.bytes))] for t in (self.a, self.b)]
@@ -129,16 +165,19 @@ class Aligner:
         self.text = [n + mark for side, marks in zip(names, ((b",", b"|"), (b",", b";"))) for mark in marks for n in side]
         self.shift = len(names[0]), len(names[1])
 
-    def tokens(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides for each segment; none for a text whose bytes one of them does not give back."""
-        out = []
-        for part in segments(text, self.b.cuts) if text else ():
-            a, b = self.a.ids(part), self.b.ids(part)
-            raw = (" " + part).encode()
-            if any(b"".join(map(t.bytes.__getitem__, ids.tolist())) != raw for t, ids in ((self.a, a), (self.b, b))):
-                return []
-            out.append((a, b))
-        return out
+    def tokens(self, texts: list[str]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+        """For each text the ids of both sides of each segment; none where one side does not give the bytes back."""
+        start = size = 0
+        for end, text in enumerate(texts, 1):
+            size += len(text)
+            if size < CHARACTERS and end < len(texts):
+                continue
+            parts = [[(part, self.b.split(part)) for part in segments(t, self.b.cuts)] if t else [] for t in texts[start:end]]
+            self.b.learn({word for several in parts for _, words in several if words for word in words})
+            for several in parts:
+                b_ids = [self.b.ids(part, words) for part, words in several]
+                yield [] if any(ids is None for ids in b_ids) else [(self.a.ids(part), ids) for (part, _), ids in zip(several, b_ids)]
+            start, size = end, 0
 
     def align(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray | list]:
         """For each part its counts and its groups as text, and the linked ids with the part that they are in."""
@@ -168,7 +207,7 @@ def aligned_texts(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = per_worker(("align", a_path, b_path), lambda: Aligner(a_path, b_path))
         block = TaskContext.get().partitionId() << 32
-        for whole in batches:
+        for whole in merged_batches(batches, BLOCK_BYTES):
             for batch in row_slices(whole, "text", BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([block, *_block(aligner, batch)], types(batch), strict=True)], names)
                 block += 1
@@ -202,12 +241,12 @@ def _block(aligner: Aligner, batch: pa.RecordBatch) -> list:
         held.clear(), docs.clear()
 
     started = [False] * n
-    for doc, text in enumerate(batch.column("text")):
-        for part in aligner.tokens(text.as_py()):
+    for doc, parts in enumerate(aligner.tokens(batch.column("text").to_pylist())):
+        for part in parts:
             held.append(part)
             docs.append(doc)
             size += len(part[0]) + len(part[1])
-            if size >= SEGMENT:
+            if size >= TOKENS:
                 settle()
                 size = 0
     if held:
@@ -238,7 +277,7 @@ def align_documents(documents: DataFrame, a_path: str, b_path: str) -> DataFrame
     buckets = max(shuffle_parts(spark), documents.rdd.getNumPartitions())
     blocks = filed(aligned_texts(documents, a_path, b_path), "aligned", buckets)
     total = blocks.agg(F.sum(F.aggregate("kinds", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")).first()["n"] or 0
-    bits = bits_for(total, shuffle_parts(spark))
+    bits = bits_for(total)
 
     def pair_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -62,3 +62,16 @@ def row_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Re
         size += n or 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def merged_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together until they hold ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

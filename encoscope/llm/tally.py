@@ -4,6 +4,9 @@ Each block has a sorted list of distinct 64-bit keys, whose high bits are even (
 ``mixed``), with a number each. Keys are dealt into buckets by their high bits; the task of a bucket adds the
 numbers of equal keys and gives every block the totals of its own keys in their order. A key comes once
 from each block however often it occurs there, so no key is hot, and nothing passes through the driver.
+
+There are ``BUCKETS`` buckets, and more once they would hold over ``BUCKET_KEYS`` keys each. A block makes a
+row for each bucket that it has keys for; where buckets outnumber its keys, a row holds a single key.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from encoscope.functions.workers import per_worker
 from encoscope.llm.common import shuffle_parts, written
 from encoscope.session import scratch_path
 
-BUCKET_KEYS = 1 << 19
-PARTS = "block long, bucket int, keys binary, numbers binary"
+BUCKETS = 64
+BUCKET_KEYS = 1 << 21
+PARTS = "block long, bucket long, keys binary, numbers binary"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,9 +48,9 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64) * ODD
 
 
-def bits_for(keys: int, tasks: int) -> int:
-    """Bits of the bucket number for about ``keys`` keys in all, with work for ``tasks`` tasks at least."""
-    return min(30, max(1, math.ceil(math.log2(max(1, keys / BUCKET_KEYS, 2 * tasks)))))
+def bits_for(keys: int) -> int:
+    """Bits of the bucket number for about ``keys`` keys in all."""
+    return min(40, math.ceil(math.log2(max(BUCKETS, keys / BUCKET_KEYS))))
 
 
 def dealt(block: int, keys: np.ndarray, numbers: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -56,7 +60,7 @@ def dealt(block: int, keys: np.ndarray, numbers: np.ndarray, bits: int) -> pa.Re
     ends = np.append(starts[1:], len(keys))
     runs = [packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(starts, ends)]
     sums = [packed(np.ascontiguousarray(numbers[a:b], np.int64)) for a, b in zip(starts, ends)]
-    columns = [pa.array(np.full(len(starts), block)), pa.array(bucket[starts].astype(np.int32)), pa.array(runs, pa.binary()), pa.array(sums, pa.binary())]
+    columns = [pa.array(np.full(len(starts), block)), pa.array(bucket[starts]), pa.array(runs, pa.binary()), pa.array(sums, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "keys", "numbers"])
 
 
@@ -82,12 +86,12 @@ def totals(parts: DataFrame, tasks: int, largest: bool = False) -> DataFrame:
         return pa.table({"block": group["block"], "bucket": group["bucket"], "totals": pa.array(answers, pa.binary()), "found": pa.array(found)})
 
     placed = parts.repartition(tasks, "bucket")
-    return placed.groupBy("bucket").applyInArrow(add, "block long, bucket int, totals binary, found long")
+    return placed.groupBy("bucket").applyInArrow(add, "block long, bucket long, totals binary, found long")
 
 
 def tallied(parts: DataFrame, bits: int, name: str, largest: bool = False) -> DataFrame:
     """The totals, written to the shared folder."""
-    tasks = max(shuffle_parts(parts.sparkSession), 1 << max(0, bits - 2))
+    tasks = max(shuffle_parts(parts.sparkSession), 1 << max(0, bits - 3))
     return written(totals(parts, tasks, largest), name)
 
 

@@ -73,7 +73,7 @@ def plain_alignment(libraries, rows):
 
 
 ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", "\n", "a\nb \n c", "<|endoftext|> x <|endoftext|>", "<s> </s> <unk> <0x41>", "one\u2581two", "\u2581", "é \u0301 ﬁ ½ Å",
-       "日本語テキスト", "\U0001f600 \U0001f469\u200d\U0001f4bb", "\x00 \x01\x7f", "don't we'll 12345 3.14", "\t\ttab", "\u00a0nb\u00a0sp", "\u3000wide \u2003em", "x" * 300, "ÀÖß ñ", "a b c d"]
+       "日本語テキスト", "\U0001f600 \U0001f469\u200d\U0001f4bb", "\x00 \x01\x7f", "don't we'll 12345 3.14", "\t\ttab", "\u00a0nb\u00a0sp", "\u3000wide \u2003em", "x" * 300, "ÀÖß ñ", "a b c d", "\x1ca\x1d b\x1e\x1f", "\u0085x \u0085", "\u180e\u200b z\u2028\u2029y", "١٢٣ Ⅷ ²", "I'M we'RE 's''t"]
 
 
 def aligned(spark, rows):
