@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encoscope.llm.common import written
+from encoscope.llm.common import parts_for, written
 
 BITS = 4
 # Rows of one cell are dealt into 2**SUB_BITS blocks by a hash, so a cell with a third of all rows is spread.
@@ -61,14 +61,33 @@ def curve(dims: int, bits: int) -> list[int]:
 
 
 def ordinal(df: DataFrame, name: str) -> Column:
-    """A column as a number in the same order: numbers as they are, strings by their first six bytes; null is lowest."""
+    """A column that sorts as its values do: strings by all their bytes, numbers as they are; null is lowest."""
     if df.schema[name].dataType.typeName() == "string":
-        head = F.substring(F.rpad(F.hex(F.encode(F.col(name), "UTF-8")), 12, "0"), 1, 12)
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+        return F.col(name)
     value = F.col(name).cast("double")
     return F.when(F.isnan(value) | value.isNull(), F.lit(float("-inf"))).otherwise(value)
 
 
+def string_cuts(df: DataFrame, name: str, steps: int) -> list[str]:
+    """Values that cut the rows into ``steps`` nearly equal runs in the order of a string column.
+
+    Rows are counted by value first; the distinct values are ranged over partitions, counted up inside each,
+    and only the cuts leave the cluster.
+    """
+    spark = df.sparkSession
+    counts = written(df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n")), "values")
+    parts = parts_for(spark, counts.count(), 1 << 20)
+    ranged = written(counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("part").agg(F.sum("n").alias("size"))
+    nulls = df.where(F.col(name).isNull()).count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)) + nulls).withColumn("all", F.sum("size").over(Window.partitionBy()) + nulls)
+    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.join(F.broadcast(sizes), "part").withColumn("to", F.col("before") + F.sum("n").over(inside))
+    step = lambda at: F.floor(at * steps / F.col("all"))
+    return sorted(r["value"] for r in upto.where(step(F.col("to")) > step(F.col("to") - F.col("n"))).select("value").collect())
+
+
 def hilbert_runs(
     df: DataFrame, dims: Sequence[str], shards: int, tie: Sequence[str], bits: int = BITS
 ) -> DataFrame:
@@ -87,11 +106,12 @@ def hilbert_runs(
         raise ValueError("the table of curve cells is limited to 2**16 entries")
     # a dimension with few values keeps them apart only if cuts are distinct, so equal cuts count once
     shares = F.array(*[F.lit(k / (1 << bits)) for k in range(1, 1 << bits)])
-    numbers = df.select([ordinal(df, d).alias(f"d{i}") for i, d in enumerate(dims)])
-    found = numbers.agg(*[F.percentile_approx(f"d{i}", shares, ACCURACY).alias(f"d{i}") for i in range(width)]).first()
+    words = [df.schema[d].dataType.typeName() == "string" for d in dims]
+    numbers = df.select(F.lit(0).alias("d"), *[ordinal(df, d).alias(f"d{i}") for i, d in enumerate(dims) if not words[i]])
+    found = numbers.agg(F.count("*").alias("n"), *[F.percentile_approx(f"d{i}", shares, ACCURACY).alias(f"d{i}") for i in range(width) if not words[i]]).first()
     cell: Column = F.lit(0)
     for i, d in enumerate(dims):
-        cuts = sorted(set(found[i] or []))
+        cuts = string_cuts(df, d, 1 << bits) if words[i] else sorted(set(found[f"d{i}"] or []))
         value = ordinal(df, d)
         level = sum([F.when(value > cut, 1).otherwise(0) for cut in cuts], F.lit(0))
         cell = cell * (1 << bits) + level

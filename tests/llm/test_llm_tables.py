@@ -171,6 +171,21 @@ def test_shards_of_the_given_table_prune(spark):
     assert sum(r[1] < spread / 4 for r in boxes) >= 4
 
 
+def test_strings_with_one_beginning_are_told_apart(spark):
+    names = [f"https://example.org/{k:02d}" for k in range(40)]
+    rows = [(i, names[i % 40] if i % 3 else "https://hot.org", i) for i in range(1200)] + [(5000, None, 1)]
+    table = spark.createDataFrame(rows, "k long, source string, _x long")
+    placed = sharding.hilbert_runs(table, ["source"], 8, ["k"])
+    shards = {}
+    for r in placed.collect():
+        shards.setdefault(r["source"], set()).add(r["shard"])
+    # names that share a cell with the hot one may lie wherever its rows do
+    assert sum(len(s) <= 2 for s in shards.values()) >= 30 and len(set().union(*shards.values())) == 8
+    cuts = sharding.string_cuts(table, "source", 16)
+    assert cuts == sorted(cuts) and 10 <= len(cuts) <= 16 and set(cuts) <= {*names, "https://hot.org"}
+    assert sharding.string_cuts(table.limit(0), "source", 16) == []
+
+
 def test_written_shards(spark, tmp_path):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     path = f"{tmp_path}/shards"
