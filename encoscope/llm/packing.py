@@ -1,8 +1,9 @@
 """Best-fit packing of token pieces into sequences, by rounds of local best fit and a merge tree.
 
 Pieces are dealt into buckets by a hash; each bucket packs its pieces best-fit, longest first. Bins with
-no room worth filling are final. The others go on as items of their fill to the next round, where fewer
-buckets pack them together, until one bucket has packed the last of them.
+no room worth filling are final. All others go on as items of their fill to the next round, where as many
+buckets as they need pack them in a new deal, until one bucket has packed the last of them or a round
+saves next to nothing.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from encoscope.functions.workers import per_worker
 from encoscope.llm.common import written
 from encoscope.llm.tokens import Encoder
 
-# Items that one task packs at a time, and how many bins with room it may pass on.
+# Items that one task packs at a time.
 BUCKET_ITEMS = 25_000
-OPEN_BINS = 5_000
-FAN_IN = 8
+# A later round that makes less than this share fewer bins than it was given ends the packing.
+LEAST_SAVING = 1e-3
 # Tokens left in a bin that are not worth another round.
 SLACK = 4
 
@@ -92,7 +93,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, fills
 
 
-def _pack_round(items: DataFrame, buckets: int, level: int, capacity: int, last: bool) -> DataFrame:
+def _pack_round(items: DataFrame, buckets: int, level: int, capacity: int) -> DataFrame:
     """Adds bin, offset and open to items; bin ids are unique over rounds."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
@@ -100,11 +101,6 @@ def _pack_round(items: DataFrame, buckets: int, level: int, capacity: int, last:
         bins, offsets, fills = best_fit(group["length"].to_numpy(), capacity)
         fill = np.array(fills, dtype=np.int64)
         is_open = capacity - fill > SLACK
-        if last:
-            is_open[:] = False
-        elif is_open.sum() > OPEN_BINS:  # those with least room stay as they are
-            least = np.sort(capacity - fill)[-OPEN_BINS]
-            is_open &= capacity - fill >= least
         number = level << 58 | int(group["bucket"].iloc[0]) << 32
         return group.drop(columns="bucket").assign(
             bin=bins + number, offset=offsets, fill=fill[bins], open=is_open[bins]
@@ -121,21 +117,23 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 4096, e
     Empty and null texts hold the end id only; repeated rows are packed each; a full piece is a sequence
     of its own; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
 
-    A bucket packs about ``BUCKET_ITEMS`` items in memory. It passes on ``OPEN_BINS`` bins at most (more
-    only where rooms are equal), the emptiest; the rest remain as they are, so that no task grows where
-    pieces cannot share a sequence at all.
+    A bucket packs about ``BUCKET_ITEMS`` items in memory, in every round: where pieces cannot share a
+    sequence at all, as many buckets are needed as before, and the packing ends with the first round that
+    saves less than ``LEAST_SAVING`` of its bins.
     """
     pieces = written(token_pieces(documents, tokenizer, capacity, end_id), "pieces")
     full = pieces.where(F.col("length") == capacity).withColumn("bin", -1 - F.col("item")).withColumn("offset", F.lit(0).cast("long"))
     items, level, rounds = pieces.where(F.col("length") < capacity), 0, []
-    buckets = max(1, -(-items.count() // BUCKET_ITEMS))
+    given = items.count()
     while True:
-        done = written(_pack_round(items, buckets, level, capacity, buckets == 1), "packed")
+        buckets = max(1, -(-given // BUCKET_ITEMS))
+        done = written(_pack_round(items, buckets, level, capacity), "packed")
         rounds.append(done)
-        if buckets == 1:
+        made = done.where("offset = 0").agg(F.count("*").alias("bins"), F.count_if("open").alias("open")).first()
+        if buckets == 1 or made["open"] < 2 or (level and given - made["bins"] < LEAST_SAVING * given):
             break
-        opened = done.where("open and offset = 0").select(F.col("bin").alias("item"), F.col("fill").alias("length"))
-        buckets, level, items = max(1, min(buckets // FAN_IN, -(-opened.count() // BUCKET_ITEMS))), level + 1, opened
+        items = done.where("open and offset = 0").select(F.col("bin").alias("item"), F.col("fill").alias("length"))
+        given, level = made["open"], level + 1
 
     first, *later = rounds
     placed = first.drop("fill", "open")

@@ -168,9 +168,8 @@ def check_packing(rows, pieces, capacity, tokenizer, end_id):
 
 def test_packing_places_every_piece(spark, pair, monkeypatch):
     rows = ROWS + [(100 + i, "w " * (1 + i * 37 % 50)) for i in range(300)]
-    for items, opened in ((25_000, 5_000), (20, 5_000), (20, 3)):
+    for items in (25_000, 60, 20):
         monkeypatch.setattr(packing, "BUCKET_ITEMS", items)
-        monkeypatch.setattr(packing, "OPEN_BINS", opened)
         got = packing.pack_documents(frame(spark, rows), WORD, 64, 1).collect()
         bins = check_packing(rows, got, 64, pair[WORD][1], 1)
         least = -(-sum(r["length"] for r in got) // 64)
@@ -178,6 +177,25 @@ def test_packing_places_every_piece(spark, pair, monkeypatch):
     assert packing.pack_documents(frame(spark, []), WORD).collect() == []
 
 
+def test_small_buckets_need_hardly_more_sequences(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i * 7919 % 500)) for i in range(12_000)]
+    made = {}
+    for items in (25_000, 3000, 1000):
+        monkeypatch.setattr(packing, "BUCKET_ITEMS", items)
+        made[items] = packing.pack_documents(frame(spark, rows), WORD, 1024, 1).select("sequence_id").distinct().count()
+    assert max(made.values()) <= 1.001 * made[25_000]
+
+
+def test_pieces_that_share_no_sequence_stay_in_their_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ITEMS", 50)
+    sizes, whole = [], packing._pack_round
+    monkeypatch.setattr(packing, "_pack_round", lambda items, buckets, *rest: sizes.append((items.count(), buckets)) or whole(items, buckets, *rest))
+    rows = [(i, "w " * 40) for i in range(400)] + [(1000 + i, "w " * 20) for i in range(100)]
+    got = packing.pack_documents(frame(spark, rows), WORD, 64, 1)
+    assert got.select("sequence_id").distinct().count() == 400
+    assert all(n <= 50 * buckets for n, buckets in sizes) and len(sizes) <= 4
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_best_fit_fills_bins(lengths):
