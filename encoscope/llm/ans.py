@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encoscope.functions.workers import per_worker
-from encoscope.llm.common import parts_for, written
+from encoscope.llm.common import parts_for, row_slices, written
 from encoscope.llm.tokens import Encoder
 
 LANES = 1024
 EVERY = 128
 BLOCK_TOKENS = 1 << 19
+PART_TOKENS = 1 << 25
+# Bytes of text whose distinct words are looked up together.
+BATCH_BYTES = 8 << 20
 LOW = 1 << 31  # states stay in [2**31, 2**63)
 
 BLOCK = (
@@ -125,35 +128,47 @@ def decode(points: bytes, words: bytes, n: int, table: Table, lanes: int, every:
 
 
 def token_rows(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id and ids (16 or 32 bits each, little-endian) with the end id; a null text is empty."""
+    """doc_id and ids (16 or 32 bits each, little-endian) with the end id; a null text is empty.
+
+    The last row of a task holds no document but ``counts``: how often each id came, 64 bits each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("encode", tokenizer), lambda: Encoder(tokenizer))
-        end = np.array([end_id], dtype=encoder.dtype).tobytes()
-        for batch in batches:
-            ids = [encoder.encode(t.as_py()).tobytes() + end for t in batch.column("text")]
+        end = np.array([end_id], dtype=encoder.dtype)
+        counts = np.zeros(0, np.int64)
+
+        def rows(doc_ids: pa.Array, ids: list, tally: bytes | None) -> pa.RecordBatch:
             widths = [int(encoder.dtype[2:])] * len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(widths, pa.int32())], ["doc_id", "ids", "width"])
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.binary()), pa.array(widths, pa.int32()), pa.array([tally] * len(ids), pa.binary())], names)
 
+        for whole in batches:
+            for batch in row_slices(whole, "text", BATCH_BYTES):
+                ids = [np.concatenate([i, end]) for i in encoder.encode_many(batch.column("text"))]
+                one = np.bincount(np.concatenate(ids))
+                counts = np.pad(counts, (0, max(0, len(one) - len(counts))))
+                counts[: len(one)] += one
+                yield rows(batch.column("doc_id"), [i.tobytes() for i in ids], None)
+            kind = whole.schema.field("doc_id").type
+        if len(counts):
+            yield rows(pa.nulls(1, kind), [None], counts.astype("<i8").tobytes())
+
+    names = ["doc_id", "ids", "width", "counts"]
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, width int")
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, width int, counts binary")
 
 
 def symbol_counts(tokens: DataFrame) -> DataFrame:
-    """How often each id occurs; a task emits each id once."""
+    """How often each id occurs, from the counts of the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column("ids"), batch.column("width")):
-                one = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width.as_py()}"))
-                if len(one) > len(counts):
-                    counts = np.pad(counts, (0, len(one) - len(counts)))
-                counts[: len(one)] += one
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["symbol", "n"])
+            for raw in batch.column("counts"):
+                counts = np.frombuffer(raw.as_py(), "<i8")
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["symbol", "n"])
 
-    found = tokens.select("ids", "width").mapInArrow(run, "symbol long, n long")
+    found = tokens.select("counts").where("counts is not null").mapInArrow(run, "symbol long, n long")
     return found.groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
@@ -202,8 +217,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
     schema = BLOCK.format(id=kind)
     names = [f.name for f in T.StructType.fromDDL(schema)]
-    parts = parts_for(spark, tokens.count(), 200_000)
-    placed = tokens.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
+    parts = parts_for(spark, int(counts.sum()), PART_TOKENS)
+    placed = tokens.where("counts is null").select("doc_id", "ids", "width").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
     placed.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
 
 

@@ -15,6 +15,8 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Characters with the Unicode property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -82,12 +84,9 @@ class ChunkCache:
 
 
 class Encoder:
-    """Ids of texts as arrays of ``dtype``, as ``Tokenizer.encode`` gives them without special tokens.
+    """Ids of texts as arrays of ``dtype``, as ``Tokenizer.encode`` gives them without special tokens."""
 
-    With ``plain`` the strings of special tokens inside a text are ordinary text.
-    """
-
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,7 +99,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = plain
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.code = "H" if self.dtype == "<u2" else "I"
@@ -126,3 +124,65 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.cache.values(text or "")), dtype=self.dtype)
+
+    def learn(self, memo: Memo, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks through ``memo``; those of plain new ones are put together here."""
+        older, prefix, known, words, marks, tokenize = memo.older, memo.prefix, self.known, self.words, self.marks, self.model.tokenize
+        plain, code, table, lower = PLAIN.fullmatch, self.code, self.letters, self.lower
+        blank = "" if lower else table[32] if prefix else ""
+        out = list(map(memo.get, chunks))
+        for place, found in enumerate(out):
+            if found is not None:
+                continue
+            chunk = chunks[place]
+            found = older.get(chunk)
+            cut = plain(chunk) if found is None and known and chunk else None
+            if cut is not None and cut[1]:
+                word, mark = cut.groups()
+                word = word.lower() if lower else word
+                key = prefix + word if not lower else word
+                found = words.get(key)
+                if found is None:
+                    letters = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+                    found = array(code, [t.id for t in tokenize(blank + letters)]).tobytes()
+                    if len(words) < words.limit:
+                        words[key] = found
+                if mark:
+                    found += marks[mark]
+            if found is None:
+                out[place] = memo[chunk]
+                continue
+            if len(memo) >= memo.limit:
+                memo.older = dict(memo)
+                memo.clear()
+            out[place] = memo[chunk] = found
+        return out
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string column. Its distinct chunks are looked up once, and ids are gathered by chunk."""
+        cache, listed = self.cache, texts.to_pylist()
+        even = np.array([bool(t) and not UNEVEN.search(t) and not (cache.joined and cache.joined.search(t)) for t in listed], bool)
+        out = [None if e else self.encode(t) for t, e in zip(listed, even)]
+        if not even.any():
+            return out
+        mark = " \n" if cache.white_matters else " "
+        parts = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(even)), "\n", mark), " ")
+        flat, begin = parts.flatten(), parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        coded = flat.dictionary_encode()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        if cache.white_matters:  # the first chunk of a text has no blank in front
+            values = self.learn(cache.spaced, words) + list(map(cache.bare.__getitem__, flat.take(pa.array(begin)).to_pylist()))
+            codes[begin] = len(words) + np.arange(len(begin))
+        else:
+            values = self.learn(cache.bare, words)
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+        first = np.cumsum(sizes) - sizes
+        many = sizes[codes]
+        ends = np.cumsum(many)
+        ids = np.frombuffer(b"".join(values), self.dtype)[np.repeat(first[codes] - (ends - many), many) + np.arange(ends[-1])]
+        stops = np.append(begin[1:], len(codes))
+        cuts = np.concatenate([[0], ends])[stops]
+        for place, part in zip(np.flatnonzero(even).tolist(), np.split(ids, cuts[:-1])):
+            out[place] = part
+        return out
