@@ -123,28 +123,3 @@ def answers_of(batch: pa.RecordBatch, row: int, steps: int) -> Iterator[np.ndarr
         for step, raw in zip(given.field("step"), given.field("totals")):
             runs[step.as_py()].append(unpacked(raw.as_py()))
     return map(np.concatenate, runs)
-
-
-def gathered(parts: DataFrame, bits: int, buckets: int, name: str) -> DataFrame:
-    """block, totals (in the order of its keys), found: the totals of ``parts`` filed by block like the blocks.
-
-    Joined to blocks in as many ``buckets``, neither side is shuffled again, however many steps come after.
-    """
-    tasks = max(shuffle_parts(parts.sparkSession), 1 << max(0, bits - 3))
-    told = totals(parts, tasks).repartition(buckets, "block").groupBy("block")
-    runs = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "totals"))), lambda r: r["totals"])
-    return filed(told.agg(runs.alias("totals"), F.sum("found").alias("found")), name, buckets)
-
-
-def beside(blocks: DataFrame, steps: list[DataFrame]) -> DataFrame:
-    """``blocks`` (as filed) with ``totals_0`` and so on, the gathered totals of each step."""
-    for number, step in enumerate(steps):
-        blocks = blocks.join(step.select("block", F.col("totals").alias(f"totals_{number}")).hint("merge"), "block", "left")
-    return blocks
-
-
-def totals_of(batch: pa.RecordBatch, row: int, steps: int) -> Iterator[np.ndarray]:
-    """The totals of each step for one block of a batch."""
-    for number in range(steps):
-        runs = batch.column(f"totals_{number}")[row].as_py() or []
-        yield np.concatenate([np.zeros(0, np.int64), *map(unpacked, runs)])
