@@ -219,7 +219,7 @@ def study_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Target scores and survey scores, written as the study's JSON and CSV and read back.
 
     Every setup lists all tasks in one order, so that a survey block and a task have one index. A
-    participant's row holds a block of columns for each task, with blanks for models not ranked.
+    participant's line holds a block of cells for each task, with blanks for models not ranked.
     """
     target = target_scores(spark, sf_dir)
     tasks = target.select("task").distinct()
@@ -242,13 +242,9 @@ def study_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     json_path, csv_path = scratch_path(spark, "target"), scratch_path(spark, "survey")
     json.write.text(json_path)
 
-    names = [r["task"] for r in tasks.orderBy(F.col("task").cast("string")).collect()]  # the columns of the survey
-    votes = survey(spark, sf_dir).select("participant", "task", F.struct(-F.col("score"), "model").alias("vote"))
-    ranked = votes.groupBy("participant").pivot("task", names).agg(F.array_sort(F.collect_list("vote")))
-    blocks = [
-        F.get(F.col(f"`{task}`"), F.lit(k))["model"].cast("string").alias(f"t{at}-{k}") for at, task in enumerate(names) for k in range(POOL_SIZE)
-    ]
-    ranked.select(F.lit("now").alias("time"), F.col("participant").alias("who"), *blocks).coalesce(1).write.option("header", True).csv(csv_path)
+    votes = survey(spark, sf_dir).select("participant", "task", F.struct(-F.col("score"), F.col("model").cast("string").alias("model")).alias("vote"))
+    ranked = votes.groupBy("participant", "task").agg(F.array_sort(F.collect_list("vote")).alias("votes"))
+    rankings.write_survey(ranked.select("participant", "task", F.col("votes.model").alias("ranking")), csv_path, POOL_SIZE)
     read = rankings.read_target_rankings(spark, json_path)
     return read, ranking.survey_scores(rankings.read_survey(spark, csv_path, POOL_SIZE), POOL_SIZE)
 

@@ -376,3 +376,26 @@ def test_embed_texts_calls_the_factory_once_per_worker(spark):
 
     df = spark.createDataFrame([(1, "ab"), (2, "")], "id int, text string")
     assert {r["id"]: r["features"] for r in embed.embed_texts(df, factory).collect()} == {1: [2.0, 1.0], 2: [0.0, 1.0]}
+
+
+def test_surveys_of_many_tasks_go_out_and_come_back(spark, tmp_path):
+    # 21,000 cells in a line: more than a CSV reader takes as columns
+    tasks = spark.range(7_000).select(F.format_string("t%05d", "id").alias("task"), "id")
+    names = F.array(F.lit('m "1"'), F.lit("m,2\nx"), F.lit("m3"))
+    ranking_of = lambda p: F.when(F.pmod(F.col("id") + p, F.lit(3)) != 0, F.slice(names, F.pmod(F.col("id"), F.lit(3)) + 1, 2))
+    blocks = tasks.withColumn("participant", F.explode(F.array(F.lit("p"), F.lit("q")))).withColumn("ranking", ranking_of(F.length("participant")))
+    path = str(tmp_path / "survey")
+    rankings.write_survey(blocks.where("ranking IS NOT NULL OR participant = 'p'"), path, 3)
+    back = rankings.read_survey(spark, path, 3)
+    assert (back.count(), back.select("participant").distinct().count()) == (14_000, 2)
+    want = blocks.selectExpr("id AS task_idx", "posexplode(ranking) AS (at, model)").where("model IS NOT NULL")
+    got = back.selectExpr("task_idx", "posexplode(ranking) AS (at, model)").where("model IS NOT NULL")
+    key = lambda df: sorted((r["task_idx"], r["at"], r["model"]) for r in df.collect())
+    assert key(got) == key(want)
+
+
+def test_short_and_quoted_survey_lines(spark, tmp_path):
+    (tmp_path / "survey.csv").write_text('\ufeffwhen,"who\nare you",q1,q2,q3\r\n\r\nx,p,a,"b ""2"", c"\r\ny,q,,b,a,surplus\r\n')
+    blocks = rankings.read_survey(spark, str(tmp_path / "survey.csv"), 2).orderBy("participant", "task_idx").collect()
+    assert [(r["task_idx"], r["ranking"]) for r in blocks] == [(0, ["a", 'b "2", c']), (1, [None]), (0, [None, "b"]), (1, ["a"])]
+    assert len({r["participant"] for r in blocks}) == 2
