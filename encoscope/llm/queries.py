@@ -87,4 +87,4 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixtree.score_documents(table(spark, sf_dir, "documents"))
+    return suffixtree.score_documents(table(spark, sf_dir, "documents"), least=suffixtree.MIN_COUNT)

@@ -2,8 +2,7 @@
 
 A state of the tree is a context: a run of words that stands in front of a word. The root is the empty
 context, with smoothed word frequencies. A longer context is tested if the one without its first word is a
-state and it occurs ``least_count`` times, which grows with the root of the corpus; it becomes a state if its next-word distribution diverges from
-that of the shorter one: the mean log-likelihood of the training words after it, each left out of the counts
+state and it occurs ``least`` times; it becomes a state if its next-word distribution diverges from that of the shorter one: the mean log-likelihood of the training words after it, each left out of the counts
 it is judged by, must rise by ``MIN_GAIN``. The distribution of a state is smoothed by that of the next
 shorter one. A word is scored by the longest state that its text gives it.
 
@@ -98,14 +97,15 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def least_count(n_train: int) -> int:
-    """Occurrences that a context needs: ``MIN_COUNT``, and a ``MIN_ROOT``-th of the root of all training words."""
+    """Occurrences for callers who want fewer contexts in larger corpora: ``MIN_COUNT``, and a ``MIN_ROOT``-th of the root of all training words."""
     return max(MIN_COUNT, math.isqrt(n_train) // MIN_ROOT)
 
 
 class Words:
     """One block, taken down the levels of the tree by the totals of each step."""
 
-    def __init__(self, lead: int, held: np.ndarray, sizes: np.ndarray, words: np.ndarray, codes: np.ndarray, order: int):
+    def __init__(self, lead: int, held: np.ndarray, sizes: np.ndarray, words: np.ndarray, codes: np.ndarray, order: int, least: int):
+        self.least = least
         self.lead, self.order, self.words, self.codes = lead, order, words, codes
         n = len(codes)
         first = np.concatenate([[0], np.cumsum(sizes) + lead])  # pieces; the lead belongs to the first one
@@ -137,7 +137,6 @@ class Words:
         counts = np.empty(len(self.words), np.int64)
         counts[np.argsort(self.words, kind="stable")] = total
         self.counts = counts[self.codes]
-        self.least = least_count(n_train)
         self.root = (self.counts + 0.5) / (n_train + 0.5 * (n_types + 1))
         self.p = self.root.copy()
         self.seen = self.counts  # occurrences of the run of words that ends here
@@ -189,27 +188,27 @@ class Words:
         return self
 
 
-def _blocks_of(batch: pa.RecordBatch, order: int, steps: int, n_train: int, n_types: int) -> Iterator[tuple[int, Words]]:
+def _blocks_of(batch: pa.RecordBatch, order: int, steps: int, n_train: int, n_types: int, least: int) -> Iterator[tuple[int, Words]]:
     for i in range(batch.num_rows):
         cell = {c: batch.column(c)[i] for c in ("lead", "held", "sizes", "words", "codes")}
         held, sizes = np.array(cell["held"].as_py(), bool), np.array(cell["sizes"].as_py(), np.int64)
-        words = Words(cell["lead"].as_py(), held, sizes, unpacked(cell["words"].as_py(), np.uint64), unpacked(cell["codes"].as_py(), np.uint32), order)
+        words = Words(cell["lead"].as_py(), held, sizes, unpacked(cell["words"].as_py(), np.uint64), unpacked(cell["codes"].as_py(), np.uint32), order, least)
         yield i, words.replay(answers_of(batch, i, steps), n_train, n_types)
 
 
-def asked(given: DataFrame, steps: int, bits: int, order: int, n_train: int, n_types: int) -> DataFrame:
+def asked(given: DataFrame, steps: int, bits: int, order: int, n_train: int, n_types: int, least: int) -> DataFrame:
     """Each block's keys of the next step, dealt into buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, words in _blocks_of(batch, order, steps, n_train, n_types):
+            for i, words in _blocks_of(batch, order, steps, n_train, n_types, least):
                 found, sums = words.word_keys() if not steps else words.event_keys() if steps % 2 else words.context_keys()
                 yield dealt(batch.column("block")[i].as_py(), found, sums, bits)
 
     return given.mapInArrow(run, PARTS)
 
 
-def score_documents(documents: DataFrame, order: int = ORDER, part: int = 1, of: int = 5) -> DataFrame:
+def score_documents(documents: DataFrame, order: int = ORDER, part: int = 1, of: int = 5, least: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Tokens are runs of bytes other than ASCII white space, A-Z lower-cased, and one end; a null text is
@@ -217,7 +216,8 @@ def score_documents(documents: DataFrame, order: int = ORDER, part: int = 1, of:
     out of all counts; a row without an id is learnt from. Repeated rows count and are scored each. Without
     training documents all counts are zero. An empty table gives no rows. Other columns are not read.
 
-    ``base_score`` sums the root's log10 probabilities, ``score`` those of the longest state of each word.
+    A context needs ``least`` occurrences, whatever the size of the corpus; without it ``least_count`` says
+    how many. ``base_score`` sums the root's log10 probabilities, ``score`` those of the longest state of each word.
     Words, contexts and events are told apart by 64-bit hashes.
     """
     spark = documents.sparkSession
@@ -226,9 +226,10 @@ def score_documents(documents: DataFrame, order: int = ORDER, part: int = 1, of:
     size = blocks.agg(F.sum("n_train").alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)).alias("all")).first()
     n_train, n_tokens = size["n"] or 0, size["all"] or 0
     bits, n_types = bits_for(n_tokens), 0
+    needed = least_count(n_train) if least is None else least
     steps: list[DataFrame] = []
     for step in range(2 * order + 1):
-        parts = asked(answered(blocks, steps, buckets), step, bits, order, n_train, n_types)
+        parts = asked(answered(blocks, steps, buckets), step, bits, order, n_train, n_types, needed)
         steps.append(tallied(parts, bits, "totals"))
         if not step:
             n_types = steps[0].agg(F.sum("found").alias("n")).first()["n"] or 0
@@ -236,7 +237,7 @@ def score_documents(documents: DataFrame, order: int = ORDER, part: int = 1, of:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, words in _blocks_of(batch, order, taken, n_train, n_types):
+            for i, words in _blocks_of(batch, order, taken, n_train, n_types, needed):
                 sizes = np.array(batch.column("sizes")[i].as_py(), np.int64)
                 begin = np.cumsum(sizes) - sizes
                 known, base, score = (np.add.reduceat(v[words.lead :], begin) for v in ((words.counts > 0).astype(np.int64), np.log10(words.root), np.log10(words.p)))

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from encoscope.llm import suffixtree, tally
+from encoscope.llm import queries, suffixtree, tally
 
 SF = "/root/testdata/sf0.01"
 
@@ -126,6 +126,16 @@ def test_the_least_count_grows_with_the_root(spark, monkeypatch):
     assert max(map(len, states)) == 2 and scored(spark, rows) == want
 
 
+def test_the_query_needs_as_many_occurrences_in_any_corpus(spark, monkeypatch, tmp_path):
+    rows = prose(9, 150)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(suffixtree, "MIN_COUNT", 4)
+    monkeypatch.setattr(suffixtree, "MIN_ROOT", 1)  # stands for a corpus large enough that the root says more than 4
+    want, _ = plain_scores(rows, 2, 4, suffixtree.MIN_GAIN)
+    got = queries.QUERIES["op13_lm_scoring"](spark, str(tmp_path)).collect()
+    assert sorted((str(r[0]), *r[1:5], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
+
+
 def test_packed_numbers_round_trip():
     rng = np.random.default_rng(1)
     for values in (np.zeros(0, np.int64), rng.integers(-9, 9, 100), rng.integers(-(1 << 62), 1 << 62, 7)):
