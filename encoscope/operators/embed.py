@@ -7,12 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encoscope.functions.lookups import bounded_rows, lookup_join
+from encoscope.functions.lookups import bounded_rows, fetch_bounded, lookup_join
 from encoscope.functions.vectors import array_mean_pool, pooling, vector_mean
 from encoscope.functions.workers import function_key, per_worker
+from encoscope.operators import averages
 
 # Fixed value: the vocabulary entry that stands for unknown words.
 UNKNOWN_WORD = "UNK"
@@ -131,7 +133,7 @@ def words_from_lookup(
     """Mean vector of the pieces of each word, looked up by ``on``: ``(keys, pos, n_pieces, vec)``.
 
     Words are numbered before the lookup, so the sort carries no vectors; behind a broadcast inventory
-    none are shuffled at all, as rows already lie by sequence. Pieces that ``inventory`` (``on``, vec) does
+    none are shuffled or gathered in a hash table at all, as the rows of a word already lie together. Pieces that ``inventory`` (``on``, vec) does
     not hold are left out. With ``cls`` the first special piece of a sequence is kept as position -1.
     """
     so_far = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, 0)
@@ -141,6 +143,12 @@ def words_from_lookup(
     numbered = slim.withColumn("pos", (F.sum(begins).over(so_far) - 1).cast("int")).withColumn("_first", first)
     kept = numbered.where(~F.col("is_special") | (F.lit(cls) & (F.col(piece) == F.col("_first"))))
     placed = kept.select(*keys, F.when(F.col("is_special"), F.lit(CLS_POSITION)).otherwise(F.col("pos")).alias("pos"), on)
+    held = fetch_bounded(inventory.select(on, "vec"), VOCABULARY_ROWS) if averages.plain_keys(pieces, keys) else None
+    if held is not None and held.num_rows == pc.count_distinct(held[on], mode="all").as_py():
+        table = averages.matrix(held["vec"])
+        if table is not None:
+            flagged = placed.withColumn("_special", F.col("pos") == CLS_POSITION)
+            return averages.row_means(flagged, [*keys, "pos"], on, (held[on].to_pylist(), table), "_special", "n_pieces", "vec")
     known = lookup_join(placed, inventory, on, "inner", max_rows=VOCABULARY_ROWS)
     return known.groupBy(*keys, "pos").agg(F.count("*").alias("n_pieces"), vector_mean(F.col("vec")).alias("vec"))
 
