@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from encoscope.functions.lookups import fetch_bounded
 from encoscope.functions.vectors import pooling
-from encoscope.operators.embed import stack_vocabularies, static_vectors, token_rows
+from encoscope.operators import averages
+from encoscope.operators.embed import UNKNOWN_WORD, VOCABULARY_ROWS, stack_vocabularies, static_vectors, token_rows
 from encoscope.operators.labels import flatten_labels
 
 
@@ -30,8 +34,18 @@ def sequence_features(
     tokens: str = "tokens",
     label: str = "label",
 ) -> DataFrame:
-    """One row per sequence, encoder and pooling: ``(encoder, pooling, keys, features, label)``."""
-    rows = static_vectors(token_rows(df, [*keys, label], tokens), stack_vocabularies(encoders))
+    """One row per sequence, encoder and pooling: ``(encoder, pooling, keys, features, label)``.
+
+    A vocabulary within the bounds of a broadcast is looked up where the sequences lie, and only tokens are
+    shuffled; beyond them token vectors are joined and summed by shuffle.
+    """
+    stacked = stack_vocabularies(encoders)
+    tables = _tables(stacked, list(encoders)) if averages.plain_keys(df, [*keys, label]) else None
+    if tables is not None and all(pooling(how) for how in poolings):
+        some = df.where(F.size(tokens) > 0).select(*keys, F.col(label).alias("label"), F.col(tokens).alias("_tokens"))
+        rows = averages.sequence_means(some, [*keys, "label"], "_tokens", *tables, UNKNOWN_WORD, list(poolings))
+        return rows.select("encoder", "pooling", *keys, "features", "label")
+    rows = static_vectors(token_rows(df, [*keys, label], tokens), stacked)
     vectors = rows.select(*keys, label, "pos", F.inline("vec"))
     pooled = vectors.groupBy("encoder", *keys, label).agg(
         *[pooling(how)(F.col("vec"), F.col("pos"), None).alias(f"_{how}") for how in poolings]
@@ -42,6 +56,16 @@ def sequence_features(
     )
 
 
+def _tables(stacked: DataFrame, names: list[str]) -> tuple[list[str], dict[str, np.ndarray]] | None:
+    """Words of a stacked vocabulary and a matrix for each encoder, if they are within the bounds."""
+    held = fetch_bounded(stacked, VOCABULARY_ROWS)
+    if held is None:
+        return None
+    vectors = held["vec"].combine_chunks().flatten().field("vec")
+    tables = {name: averages.matrix(vectors.take(pa.array(range(k, len(vectors), len(names))))) for k, name in enumerate(names)}
+    return None if any(t is None for t in tables.values()) else (held["word"].to_pylist(), tables)
+
+
 def encode(
     df: DataFrame,
     keys: Sequence[str],
