@@ -26,15 +26,24 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
-    """Arrow batches of so many bytes for the jobs that run inside: rows of long texts otherwise fill 64 MB ones."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Arrow batches of so many bytes for the jobs that run inside: rows of long texts otherwise fill 64 MB ones."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Jobs that run inside remove their shuffle files when they end, not when the driver collects its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -24,16 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encoscope.llm.common import merged_batches, row_slices, shuffle_parts
-from encoscope.llm.tally import PARTS, answered, answers_of, bits_for, dealt, filed, packed, tallied, unpacked
+from encoscope.llm.common import merged_batches, row_slices, shuffle_parts, shuffles_dropped, small_batches
+from encoscope.llm.tally import PARTS, beside, bits_for, bucket_tasks, dealt, dealt_rows, filed, gathered, packed, told_of, totals, unpacked
 
 ORDER = 2
 MIN_COUNT, MIN_ROOT = 64, 64
 MIN_GAIN = 0.01  # in log10 units a word
 POWER = 0.8  # a state with n occurrences gives its shorter state the weight of n**POWER
 GAIN_UNITS = 1e6
-BLOCK_BYTES = 6 << 20
-BLOCK_TOKENS = 1 << 20
+SHARE = 1 << 17  # occurrences of a context whose events go to one bucket
+BLOCK_BYTES = 9 << 20
+BLOCK_TOKENS = 3 << 19
 END = b" "  # no word holds a blank
 
 BLOCK = "block long, lead long, n_train long, rows array<long>, doc_ids array<{id}>, held array<boolean>, sizes array<long>, words binary, codes binary"
@@ -71,13 +72,13 @@ def word_blocks(documents: DataFrame, order: int, part: int, of: int) -> DataFra
                     lead = min(order, int(inside[a]))
                     used, codes, often = np.unique(tokens[a - lead : b], return_inverse=True, return_counts=True)
                     place = np.empty(len(used), np.int64)
-                    place[np.argsort(-often, kind="stable")] = np.arange(len(used))  # frequent words have small numbers
+                    place[np.lexsort((words[used], -often))] = np.arange(len(used))  # frequent words have small numbers, and like ones are sorted
                     named = np.empty(len(used), np.uint64)
                     named[place] = words[used]
                     docs = np.arange(np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b - 1, side="right") + 1)
                     held_sizes = np.minimum(ends[docs], b) - np.maximum(ends[docs] - sizes[docs], a)
                     learnt = int(held_sizes[~held[docs]].sum())
-                    values = [block, lead, learnt, (row + docs).tolist(), batch.column("doc_id").take(pa.array(docs)).to_pylist(), held[docs].tolist(), held_sizes.tolist(), packed(named), packed(place[codes].astype(np.uint32))]
+                    values = [block, lead, learnt, (row + docs).tolist(), batch.column("doc_id").take(pa.array(docs)).to_pylist(), held[docs].tolist(), held_sizes.tolist(), packed(np.diff(named, prepend=np.uint64(0))), packed(place[codes].astype(np.uint32))]
                     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
                     block += 1
@@ -101,109 +102,146 @@ def least_count(n_train: int) -> int:
     return max(MIN_COUNT, math.isqrt(n_train) // MIN_ROOT)
 
 
+def arranged(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by bucket, then by key."""
+    order = np.argsort(key)
+    return order[np.argsort(bucket[order], kind="stable")]
+
+
 class Words:
-    """One block, taken down the levels of the tree by the totals of each step."""
+    """One block, taken down the levels of the tree by the totals of each step.
+
+    A run is a sequence of words that ends at a place; the runs of a level are numbered in the block. To
+    other blocks words are known by the numbers that the first step gives them.
+    """
 
-    def __init__(self, lead: int, held: np.ndarray, sizes: np.ndarray, words: np.ndarray, codes: np.ndarray, order: int, least: int):
-        self.least = least
-        self.lead, self.order, self.words, self.codes = lead, order, words, codes
+    def __init__(self, lead: int, held: np.ndarray, sizes: np.ndarray, words: np.ndarray, codes: np.ndarray, bits: int, least: int):
+        self.least, self.bits = max(1, least), bits
+        self.lead, self.words, self.codes = lead, words, codes
         n = len(codes)
-        first = np.concatenate([[0], np.cumsum(sizes) + lead])  # pieces; the lead belongs to the first one
-        start = np.repeat(first[:-1], np.diff(first))
-        self.before = np.arange(n) - start  # words of the same document in front
-        self.own = np.arange(n) >= lead
-        self.learn = self.own & ~np.repeat(held, np.diff(first))
-        self.hashes = words[codes]
-        self.context = np.zeros(n, np.uint64)
-        self.state = np.ones(n, bool)
+        first = np.concatenate([[0], np.cumsum(sizes) + lead]).astype(np.int32)  # pieces; the lead belongs to the first one
+        self.before = np.arange(n, dtype=np.int32) - np.repeat(first[:-1], np.diff(first))  # words of the same document in front
+        self.learn = ~np.repeat(held, np.diff(first))
+        self.learn[:lead] = False
         self.level = 0
 
-    def keys(self, values: np.ndarray, mask: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct values under the mask, their summed numbers, and which of them each place has."""
-        which, found = pd.factorize(values[mask])
-        order = np.argsort(found)
-        place = np.empty(len(found), np.int64)
-        place[order] = np.arange(len(found))
-        which = place[which]
-        sums = np.zeros(len(found), np.int64)
-        np.add.at(sums, which, numbers[mask])
-        return found[order], sums, which
-
-    def word_keys(self):
+    def word_keys(self) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(self.words, kind="stable")
         return self.words[order], np.bincount(self.codes[self.learn], minlength=len(self.words))[order]
 
-    def know_words(self, total: np.ndarray, n_train: int, n_types: int) -> None:
-        counts = np.empty(len(self.words), np.int64)
-        counts[np.argsort(self.words, kind="stable")] = total
-        self.counts = counts[self.codes]
+    def know_words(self, total: np.ndarray, places: np.ndarray, n_train: int, n_types: int) -> None:
+        order = np.argsort(self.words, kind="stable")
+        self.counts, self.numbers = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        self.counts[order], self.numbers[order] = total, places
         self.root = (self.counts + 0.5) / (n_train + 0.5 * (n_types + 1))
-        self.p = self.root.copy()
-        self.seen = self.counts  # occurrences of the run of words that ends here
+        self.p = self.root[self.codes]
+        self.state = np.ones(len(self.codes), bool)
+        self.run, self.often = self.codes, self.counts  # the run that ends at each place, and occurrences of each run
+        self.parts = [np.arange(len(order))]  # the words of each run
+
+    def bucket_of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def event_keys(self):
-        """Contexts one word longer with the word after them, where the context may be a state."""
+    def find_events(self) -> None:
+        """Contexts one word longer with the word after them, where the context may be a state.
+
+        Events go to the bucket of their context, those of a frequent one to several by the word: a share holds
+        about ``SHARE`` occurrences.
+        """
         self.level += 1
-        k, n = self.level, len(self.codes)
-        grams = np.concatenate([[0], self.seen[:-1]])[:n]
-        self.candidate = self.state & (self.before >= k) & (grams >= self.least)
-        self.grams = np.where(self.candidate, grams, 0)
-        earlier = np.concatenate([np.zeros(k, np.uint64), self.hashes[:-k]])[:n] if n > k else np.zeros(n, np.uint64)
-        self.context = mix(self.context + np.uint64(k), earlier)
-        found, sums, self.which = self.keys(mix(self.context, self.hashes), self.candidate, self.learn.astype(np.int64))
-        return found, sums
+        at = np.flatnonzero(self.state & (self.before >= self.level)).astype(np.int32)
+        at = at[self.often[self.run[at - 1]] >= self.least]
+        which, found = pd.factorize(self.run[at - 1].astype(np.int64) * len(self.words) + self.codes[at])
+        which = which.astype(np.int32)
+        run, word = (x.astype(np.int32) for x in np.divmod(found, len(self.words)))
+        runs, of = np.unique(run, return_inverse=True)
+        self.columns = [self.numbers[part[runs]] for part in self.parts]
+        hashes = np.zeros(len(runs), np.uint64)
+        for column in self.columns:
+            hashes = mix(hashes + np.uint64(1), column.astype(np.uint64))
+        rank = np.empty(len(runs), np.int64)
+        rank[np.lexsort(self.columns[::-1])] = np.arange(len(runs))
+        # what is known of each event: its context, the context's occurrences, the block's own count, the chance without it
+        grams, chance = self.often[run], np.empty(len(found))
+        chance[which] = self.p[at]
+        shares = np.left_shift(1, np.ceil(np.log2(np.maximum(1, self.often[runs] / SHARE))).astype(np.int64)).astype(np.uint64)
+        share = mix(np.zeros(1, np.uint64), self.numbers.astype(np.uint64))[word] & (shares - np.uint64(1))[of]
+        bucket = self.bucket_of(mix(hashes[of], share))
+        order = arranged(bucket, rank[of] << 32 | self.numbers[word])
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.at, self.which = at, place[which]
+        self.bucket, self.of, self.word, self.grams, self.chance = bucket[order], of[order], word[order], grams[order], chance[order]
+        self.own = np.bincount(self.which[self.learn[at]], minlength=len(order))
+        # contexts in the order in which they are sent
+        home = self.bucket_of(hashes)
+        order = arranged(home, rank)
+        self.home, self.columns, self.runs = home[order], [c[order] for c in self.columns], runs[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.of = place[self.of]
+
+    def event_rows(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        return self.bucket, [*(c[self.of] for c in self.columns), self.numbers[self.word]], self.own
 
     def know_events(self, total: np.ndarray) -> None:
-        self.seen = np.zeros(len(self.codes), np.int64)
-        self.seen[self.candidate] = total[self.which]
+        self.total = total
 
-    def context_keys(self):
-        """What each context gains on its training words, in units, by counts without the word itself."""
-        gain = np.zeros(len(self.codes), np.int64)
-        at = self.candidate & self.learn
+    def context_rows(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """What each context gains on its training words, in units above the least gain, by counts without the word itself."""
+        at = self.own > 0
         weight = self.grams[at] ** POWER
-        alone = (self.seen[at] - 1 + weight * self.p[at]) / (self.grams[at] - 1 + weight)
-        gain[at] = np.rint(np.log10(alone / self.p[at]) * GAIN_UNITS)
-        found, sums, self.which = self.keys(self.context, self.candidate, gain)
-        return found, sums
-
-    def know_contexts(self, total: np.ndarray) -> None:
+        alone = (self.total[at] - 1 + weight * self.chance[at]) / (self.grams[at] - 1 + weight)
+        gain = np.rint(np.log10(alone / self.chance[at]) * GAIN_UNITS).astype(np.int64) - round(MIN_GAIN * GAIN_UNITS)
+        sums = np.zeros(len(self.runs), np.int64)
+        np.add.at(sums, self.of[at], gain * self.own[at])
+        return self.home, self.columns, sums
+
+    def know_contexts(self, gains: np.ndarray) -> None:
+        """``gains`` are 1 where a context gains more than the least, as each of its occurrences has one word after it."""
+        state = (gains > 0)[self.of]
+        weight = self.grams ** POWER
+        chance = np.where(state, (self.total + weight * self.chance) / (self.grams + weight), self.chance)
+        self.p[self.at] = chance[self.which]
         self.state = np.zeros(len(self.codes), bool)
-        self.state[self.candidate] = total[self.which] > MIN_GAIN * GAIN_UNITS * self.grams[self.candidate]
-        at = self.state
-        weight = self.grams[at] ** POWER
-        self.p[at] = (self.seen[at] + weight * self.p[at]) / (self.grams[at] + weight)
-
-    def replay(self, answers: Iterator[np.ndarray], n_train: int, n_types: int) -> Words:
-        """Takes the totals given so far; the next keys may be asked for then."""
-        for step, total in enumerate(answers):
-            if step == 0:
-                self.know_words(total, n_train, n_types)
-            elif step % 2:
-                self.event_keys()
-                self.know_events(total)
-            else:
-                self.context_keys()
-                self.know_contexts(total)
-        return self
+        self.state[self.at] = state[self.which]
+        self.run = np.full(len(self.codes), len(self.total), np.int32)  # elsewhere a run that never occurs
+        self.run[self.at], self.often = self.which, np.append(self.total, 0)
+        self.parts = [*(part[self.runs[self.of]] for part in self.parts), self.word]
 
 
-def _blocks_of(batch: pa.RecordBatch, order: int, steps: int, n_train: int, n_types: int, least: int) -> Iterator[tuple[int, Words]]:
+def _blocks_of(batch: pa.RecordBatch, steps: int, bits: int, n_train: int, n_types: int, least: int) -> Iterator[tuple[int, Words]]:
+    """Blocks that know the totals given so far; the next keys may be asked for then."""
     for i in range(batch.num_rows):
         cell = {c: batch.column(c)[i] for c in ("lead", "held", "sizes", "words", "codes")}
         held, sizes = np.array(cell["held"].as_py(), bool), np.array(cell["sizes"].as_py(), np.int64)
-        words = Words(cell["lead"].as_py(), held, sizes, unpacked(cell["words"].as_py(), np.uint64), unpacked(cell["codes"].as_py(), np.uint32), order, least)
-        yield i, words.replay(answers_of(batch, i, steps), n_train, n_types)
+        words = Words(cell["lead"].as_py(), held, sizes, np.cumsum(unpacked(cell["words"].as_py(), np.uint64)), unpacked(cell["codes"].as_py(), np.uint32), bits, least)
+        for step in range(steps):
+            total = told_of(batch, i, step)
+            if step == 0:
+                words.know_words(total, told_of(batch, i, step, "places", np.uint32), n_train, n_types)
+            elif step % 2:
+                words.find_events()
+                words.know_events(total)
+            else:
+                words.know_contexts(total)
+        yield i, words
 
 
-def asked(given: DataFrame, steps: int, bits: int, order: int, n_train: int, n_types: int, least: int) -> DataFrame:
+def asked(given: DataFrame, steps: int, bits: int, n_train: int, n_types: int, least: int) -> DataFrame:
     """Each block's keys of the next step, dealt into buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, words in _blocks_of(batch, order, steps, n_train, n_types, least):
-                found, sums = words.word_keys() if not steps else words.event_keys() if steps % 2 else words.context_keys()
-                yield dealt(batch.column("block")[i].as_py(), found, sums, bits)
+            for i, words in _blocks_of(batch, steps, bits, n_train, n_types, least):
+                block = batch.column("block")[i].as_py()
+                if not steps:
+                    yield dealt(block, *words.word_keys(), bits)
+                elif steps % 2:
+                    words.find_events()
+                    yield dealt_rows(block, *words.event_rows())
+                else:
+                    yield dealt_rows(block, *words.context_rows())
 
     return given.mapInArrow(run, PARTS)
 
@@ -218,34 +256,38 @@ def score_documents(documents: DataFrame, order: int = ORDER, part: int = 1, of:
 
     A context needs ``least`` occurrences, whatever the size of the corpus; without it ``least_count`` says
     how many. ``base_score`` sums the root's log10 probabilities, ``score`` those of the longest state of each word.
-    Words, contexts and events are told apart by 64-bit hashes.
+    Words are told apart by 64-bit hashes, contexts and events by the numbers of their words.
     """
     spark = documents.sparkSession
     buckets = max(shuffle_parts(spark), documents.rdd.getNumPartitions())
-    blocks = filed(word_blocks(documents, order, part, of), "words", buckets)
+    with small_batches(spark):
+        blocks = filed(word_blocks(documents, order, part, of), "words", buckets)
     size = blocks.agg(F.sum("n_train").alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)).alias("all")).first()
     n_train, n_tokens = size["n"] or 0, size["all"] or 0
     bits, n_types = bits_for(n_tokens), 0
     needed = least_count(n_train) if least is None else least
     steps: list[DataFrame] = []
     for step in range(2 * order + 1):
-        parts = asked(answered(blocks, steps, buckets), step, bits, order, n_train, n_types, needed)
-        steps.append(tallied(parts, bits, "totals"))
+        parts = asked(beside(blocks, steps), step, bits, n_train, n_types, needed)
+        # keys are hashes of words, then by turns contexts with a word, and contexts
+        how = {"width": (step + 1) // 2 + step % 2, "sign": step % 2 == 0} if step else {"bits": bits}
+        with shuffles_dropped(spark):
+            steps.append(gathered(totals(parts, bucket_tasks(parts, bits), **how), "totals", buckets))
         if not step:
             n_types = steps[0].agg(F.sum("found").alias("n")).first()["n"] or 0
     taken = len(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, words in _blocks_of(batch, order, taken, n_train, n_types, needed):
+            for i, words in _blocks_of(batch, taken, bits, n_train, n_types, needed):
                 sizes = np.array(batch.column("sizes")[i].as_py(), np.int64)
                 begin = np.cumsum(sizes) - sizes
-                known, base, score = (np.add.reduceat(v[words.lead :], begin) for v in ((words.counts > 0).astype(np.int64), np.log10(words.root), np.log10(words.p)))
+                known, base, score = (np.add.reduceat(v[words.lead :], begin) for v in ((words.counts > 0).astype(np.int64)[words.codes], np.log10(words.root)[words.codes], np.log10(words.p)))
                 lists = [batch.column(c)[i].values for c in ("rows", "doc_ids", "held", "sizes")]
                 yield pa.RecordBatch.from_arrays([*lists, pa.array(known), pa.array(base), pa.array(score)], names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    pieces = answered(blocks, steps, buckets).mapInArrow(run, PIECE.format(id=kind))
+    pieces = beside(blocks, steps).mapInArrow(run, PIECE.format(id=kind))
     whole = pieces.groupBy("row").agg(*[F.first(c).alias(c) for c in names[1:3]], *[F.sum(c).alias(c) for c in names[3:]])
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

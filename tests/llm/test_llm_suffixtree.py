@@ -168,3 +168,84 @@ def test_totals(spark, largest):
             one, two = tally.answers_of(batch, i, 2)
             assert one.tolist() == two.tolist() == [want[k] for k in sorted(numbers)]
     assert step.agg({"found": "sum"}).first()[0] == sum(n > 0 for n in want.values())
+
+
+def test_coded_rows_round_trip():
+    rng = np.random.default_rng(2)
+    for width in (1, 2, 3):
+        for top in (2, 900, (1 << 32) - 1):
+            rows = np.unique(rng.integers(0, top, (400, width), endpoint=True), axis=0)
+            columns = [np.ascontiguousarray(c) for c in rows.T]
+            back = tally.decoded(tally.coded(columns), width)
+            assert len(back) == width and all((x == y).all() for x, y in zip(back, columns, strict=True))
+
+
+def test_rows_of_numbers_take_a_fraction_of_hashes():
+    rng = np.random.default_rng(3)
+    rows = np.unique(np.minimum(rng.zipf(1.3, (40_000, 2)), 1 << 31), axis=0)
+    hashes = np.unique(rng.integers(0, 1 << 63, len(rows)).astype(np.uint64))
+    assert len(tally.coded(list(rows.T))) < 0.4 * len(tally.packed(np.diff(hashes, prepend=np.uint64(0))))
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+@pytest.mark.parametrize("sign", [False, True])
+def test_totals_of_rows(spark, width, sign):
+    rng = random.Random(5)
+    given = {b: {tuple(rng.choice([3, (1 << 32) - 1, rng.randrange(40)]) for _ in range(width)): rng.randrange(-9, 9) for _ in range(90)} for b in range(7)}
+    rows, want, asked = [], Counter(), {}
+    for block, numbers in given.items():
+        asked[block] = sorted(numbers, key=lambda k: (k[0] % 4, k))  # equal keys go to equal buckets
+        columns = [np.array(c, np.int64) for c in zip(*asked[block])]
+        rows += tally.dealt_rows(block, columns[0] % 4, columns, np.array([numbers[k] for k in asked[block]])).to_pylist()
+        for k, n in numbers.items():
+            want[k] += n
+    table = spark.createDataFrame([tuple(r.values()) for r in rows], tally.PARTS)
+    blocks = tally.filed(spark.createDataFrame([(b,) for b in [*given, 99]], "block long"), "test", 4)
+    step = tally.gathered(tally.totals(table, 3, width=width, sign=sign), "test", 4)
+    for batch in tally.beside(blocks, [step, step]).toArrow().to_batches():
+        for i in range(batch.num_rows):
+            keys = asked.get(batch.column("block")[i].as_py(), [])
+            assert tally.told_of(batch, i, 0).tolist() == tally.told_of(batch, i, 1).tolist() == [int(want[k] > 0) if sign else want[k] for k in keys]
+
+
+def test_places_tell_keys_apart_and_are_small_for_large_totals(spark):
+    rng = random.Random(6)
+    given = {b: {rng.randrange(60) << 58 | rng.randrange(5): rng.randrange(9) for _ in range(70)} for b in range(6)}
+    rows = []
+    for block, numbers in given.items():
+        keys = np.array(sorted(numbers), np.uint64)
+        rows += tally.dealt(block, keys, np.array([numbers[int(k)] for k in keys], np.int64), 3).to_pylist()
+    table = spark.createDataFrame([tuple(r.values()) for r in rows], tally.PARTS)
+    blocks = tally.filed(spark.createDataFrame([(b,) for b in given], "block long"), "test", 4)
+    step = tally.gathered(tally.totals(table, 3, bits=3), "test", 4)
+    placed, counted = {}, {}
+    for batch in tally.beside(blocks, [step]).toArrow().to_batches():
+        for i in range(batch.num_rows):
+            keys = sorted(given[batch.column("block")[i].as_py()])
+            for k, place, total in zip(keys, tally.told_of(batch, i, 0, "places", np.uint32).tolist(), tally.told_of(batch, i, 0).tolist(), strict=True):
+                assert placed.setdefault(k, place) == place and place % 8 == k >> 61
+                counted[k] = total
+    assert len(set(placed.values())) == len(placed) == len({k for n in given.values() for k in n})
+    for a in placed:
+        assert all(placed[a] < placed[b] for b in placed if a >> 61 == b >> 61 and counted[a] > counted[b])
+
+
+def test_what_a_step_says_is_shuffled_once(spark, monkeypatch, capsys):
+    given, plain = [], suffixtree.asked
+    monkeypatch.setattr(suffixtree, "asked", lambda blocks, *more: (given.append(blocks), plain(blocks, *more))[1])
+    monkeypatch.setattr(suffixtree, "MIN_COUNT", 4)
+    assert scored(spark, prose(3, 40))
+    capsys.readouterr()
+    assert len(given) == 5
+    for blocks in given:
+        blocks.explain()
+        assert "Exchange" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("share", [1, 5])
+def test_events_of_frequent_contexts_go_to_several_buckets(spark, monkeypatch, share):
+    monkeypatch.setattr(suffixtree, "SHARE", share)
+    monkeypatch.setattr(suffixtree, "MIN_COUNT", 4)
+    monkeypatch.setattr(suffixtree, "BLOCK_TOKENS", 300)
+    rows = prose(11, 120) + ODD
+    assert scored(spark, rows) == plain_scores(rows, 2, 4, suffixtree.MIN_GAIN)[0]
