@@ -70,15 +70,16 @@ def word_blocks(documents: DataFrame, order: int, part: int, of: int) -> DataFra
                 for a in range(0, len(tokens), BLOCK_TOKENS):
                     b = min(len(tokens), a + BLOCK_TOKENS)
                     lead = min(order, int(inside[a]))
-                    used, codes, often = np.unique(tokens[a - lead : b], return_inverse=True, return_counts=True)
-                    place = np.empty(len(used), np.int64)
-                    place[np.lexsort((words[used], -often))] = np.arange(len(used))  # frequent words have small numbers, and like ones are sorted
-                    named = np.empty(len(used), np.uint64)
-                    named[place] = words[used]
+                    often = np.bincount(tokens[a - lead : b], minlength=len(words))
+                    used = np.flatnonzero(often)
+                    used = used[np.lexsort((words[used], -often[used]))]  # frequent words have small numbers, and like ones are sorted
+                    place = np.zeros(len(words), np.uint32)
+                    place[used] = np.arange(len(used))
+                    named = words[used]
                     docs = np.arange(np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b - 1, side="right") + 1)
                     held_sizes = np.minimum(ends[docs], b) - np.maximum(ends[docs] - sizes[docs], a)
                     learnt = int(held_sizes[~held[docs]].sum())
-                    values = [block, lead, learnt, (row + docs).tolist(), batch.column("doc_id").take(pa.array(docs)).to_pylist(), held[docs].tolist(), held_sizes.tolist(), packed(np.diff(named, prepend=np.uint64(0))), packed(place[codes].astype(np.uint32))]
+                    values = [block, lead, learnt, (row + docs).tolist(), batch.column("doc_id").take(pa.array(docs)).to_pylist(), held[docs].tolist(), held_sizes.tolist(), packed(np.diff(named, prepend=np.uint64(0))), packed(place[tokens[a - lead : b]])]
                     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
                     block += 1
@@ -105,7 +106,8 @@ def least_count(n_train: int) -> int:
 def arranged(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The order by bucket, then by key."""
     order = np.argsort(key)
-    return order[np.argsort(bucket[order], kind="stable")]
+    small = bucket.astype(np.uint16) if len(bucket) and bucket.max() >> 16 == 0 else bucket  # sorted by radix
+    return order[np.argsort(small[order], kind="stable")]
 
 
 class Words:
@@ -154,29 +156,31 @@ class Words:
         which, found = pd.factorize(self.run[at - 1].astype(np.int64) * len(self.words) + self.codes[at])
         which = which.astype(np.int32)
         run, word = (x.astype(np.int32) for x in np.divmod(found, len(self.words)))
-        runs, of = np.unique(run, return_inverse=True)
+        there = np.zeros(len(self.often), bool)
+        there[run] = True
+        runs, of = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[run]
         self.columns = [self.numbers[part[runs]] for part in self.parts]
         hashes = np.zeros(len(runs), np.uint64)
         for column in self.columns:
             hashes = mix(hashes + np.uint64(1), column.astype(np.uint64))
         rank = np.empty(len(runs), np.int64)
         rank[np.lexsort(self.columns[::-1])] = np.arange(len(runs))
-        # what is known of each event: its context, the context's occurrences, the block's own count, the chance without it
-        grams, chance = self.often[run], np.empty(len(found))
+        # what is known of each event: its context, the word, the block's own count, the chance without the context
+        grams, chance = self.often[runs], np.empty(len(found))
         chance[which] = self.p[at]
-        shares = np.left_shift(1, np.ceil(np.log2(np.maximum(1, self.often[runs] / SHARE))).astype(np.int64)).astype(np.uint64)
+        shares = np.left_shift(1, np.ceil(np.log2(np.maximum(1, grams / SHARE))).astype(np.int64)).astype(np.uint64)
         share = mix(np.zeros(1, np.uint64), self.numbers.astype(np.uint64))[word] & (shares - np.uint64(1))[of]
         bucket = self.bucket_of(mix(hashes[of], share))
-        order = arranged(bucket, rank[of] << 32 | self.numbers[word])
+        order = arranged(bucket, (rank << 32)[of] | self.numbers[word])
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.at, self.which = at, place[which]
-        self.bucket, self.of, self.word, self.grams, self.chance = bucket[order], of[order], word[order], grams[order], chance[order]
+        self.bucket, self.of, self.word, self.chance = bucket[order], of[order], word[order], chance[order]
         self.own = np.bincount(self.which[self.learn[at]], minlength=len(order))
-        # contexts in the order in which they are sent
+        # contexts in the order in which they are sent, and their occurrences
         home = self.bucket_of(hashes)
         order = arranged(home, rank)
-        self.home, self.columns, self.runs = home[order], [c[order] for c in self.columns], runs[order]
+        self.home, self.columns, self.runs, self.grams = home[order], [c[order] for c in self.columns], runs[order], grams[order]
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.of = place[self.of]
@@ -190,18 +194,19 @@ class Words:
     def context_rows(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """What each context gains on its training words, in units above the least gain, by counts without the word itself."""
         at = self.own > 0
-        weight = self.grams[at] ** POWER
-        alone = (self.total[at] - 1 + weight * self.chance[at]) / (self.grams[at] - 1 + weight)
+        of = self.of[at]
+        weight = self.grams**POWER
+        alone = (self.total[at] - 1 + weight[of] * self.chance[at]) / (self.grams - 1 + weight)[of]
         gain = np.rint(np.log10(alone / self.chance[at]) * GAIN_UNITS).astype(np.int64) - round(MIN_GAIN * GAIN_UNITS)
         sums = np.zeros(len(self.runs), np.int64)
-        np.add.at(sums, self.of[at], gain * self.own[at])
+        np.add.at(sums, of, gain * self.own[at])
         return self.home, self.columns, sums
 
     def know_contexts(self, gains: np.ndarray) -> None:
         """``gains`` are 1 where a context gains more than the least, as each of its occurrences has one word after it."""
         state = (gains > 0)[self.of]
-        weight = self.grams ** POWER
-        chance = np.where(state, (self.total + weight * self.chance) / (self.grams + weight), self.chance)
+        weight = self.grams**POWER
+        chance = np.where(state, (self.total + weight[self.of] * self.chance) / (self.grams + weight)[self.of], self.chance)
         self.p[self.at] = chance[self.which]
         self.state = np.zeros(len(self.codes), bool)
         self.state[self.at] = state[self.which]
