@@ -221,6 +221,7 @@ def _blocks_of(batch: pa.RecordBatch, steps: int, bits: int, n_train: int, n_typ
         cell = {c: batch.column(c)[i] for c in ("lead", "held", "sizes", "words", "codes")}
         held, sizes = np.array(cell["held"].as_py(), bool), np.array(cell["sizes"].as_py(), np.int64)
         words = Words(cell["lead"].as_py(), held, sizes, np.cumsum(unpacked(cell["words"].as_py(), np.uint64)), unpacked(cell["codes"].as_py(), np.uint32), bits, least)
+        total = None
         for step in range(steps):
             total = told_of(batch, i, step)
             if step == 0:
@@ -231,6 +232,7 @@ def _blocks_of(batch: pa.RecordBatch, steps: int, bits: int, n_train: int, n_typ
             else:
                 words.know_contexts(total)
         yield i, words
+        del words, total  # before the next block is built
 
 
 def asked(given: DataFrame, steps: int, bits: int, n_train: int, n_types: int, least: int) -> DataFrame:
@@ -247,6 +249,7 @@ def asked(given: DataFrame, steps: int, bits: int, n_train: int, n_types: int, l
                     yield dealt_rows(block, *words.event_rows())
                 else:
                     yield dealt_rows(block, *words.context_rows())
+                del words
 
     return given.mapInArrow(run, PARTS)
 
@@ -290,6 +293,7 @@ def score_documents(documents: DataFrame, order: int = ORDER, part: int = 1, of:
                 known, base, score = (np.add.reduceat(v[words.lead :], begin) for v in ((words.counts > 0).astype(np.int64)[words.codes], np.log10(words.root)[words.codes], np.log10(words.p)))
                 lists = [batch.column(c)[i].values for c in ("rows", "doc_ids", "held", "sizes")]
                 yield pa.RecordBatch.from_arrays([*lists, pa.array(known), pa.array(base), pa.array(score)], names)
+                del words
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
